@@ -1 +1 @@
-"""Queries (filled in below)."""
+"""Encoding queries live in q_clean (C and D share bindings)."""
