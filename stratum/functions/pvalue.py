@@ -64,10 +64,12 @@ def t_sf2(t, df, n: int = N_INTERVALS) -> Column:
 # ---------------------------------------------------------------- DuckDB text
 
 def _simpson_sql(a: str, b: str, d1: str, d2: str, n: int) -> str:
-    h = f"(({b}) - ({a})) / {float(n)}"
-    return (f"(list_sum(list_transform(range(0, {n + 1}), lambda i: "
-            f"(CASE WHEN i = 0 OR i = {n} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * "
-            f"pow(cos(({a}) + i * {h}), ({d2}) - 1.0) * pow(sin(({a}) + i * {h}), ({d1}) - 1.0))) * {h} / 3.0)")
+    # A correlated subquery over range() (DuckDB decorrelates it into a join);
+    # list lambdas capturing outer columns are avoided on purpose.
+    h = f"((({b}) - ({a})) / {float(n)})"
+    return (f"((SELECT sum((CASE WHEN g.i = 0 OR g.i = {n} THEN 1.0 WHEN g.i % 2 = 1 THEN 4.0 ELSE 2.0 END) * "
+            f"pow(cos(({a}) + g.i * {h}), ({d2}) - 1.0) * pow(sin(({a}) + g.i * {h}), ({d1}) - 1.0)) "
+            f"FROM range(0, {n + 1}) AS g(i)) * {h} / 3.0)")
 
 
 def f_sf_sql(f: str, d1: str, d2: str, n: int = N_INTERVALS) -> str:
