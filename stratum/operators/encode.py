@@ -38,14 +38,14 @@ def label_encode(df: DataFrame, cols: list[str] | None = None, key: str = "row_i
     """level → 0-based rank among the sorted distinct levels."""
     cols = cols or categorical_columns(df, exclude=(key,))
     lv = fit_levels(df, cols)
-    ex = {c: _lit_map({v: i for i, v in enumerate(lv[c])})[F.col(c)].alias(c) for c in cols}
+    ex = {c: F.try_element_at(_lit_map({v: i for i, v in enumerate(lv[c])}), F.col(c)).alias(c) for c in cols}
     return df.select(*[ex.get(c, F.col(c)) for c in df.columns])
 
 
 def ordinal_map(df: DataFrame, maps: dict[str, dict] | None = None) -> DataFrame:
     """Fixed ordinal maps; an unmapped value becomes NULL."""
     maps = maps or ORDINAL_MAPS
-    ex = {c: _lit_map(m)[F.col(c)].alias(c) for c, m in maps.items() if c in df.columns}
+    ex = {c: F.try_element_at(_lit_map(m), F.col(c)).alias(c) for c, m in maps.items() if c in df.columns}
     return df.select(*[ex.get(c, F.col(c)) for c in df.columns])
 
 
@@ -59,7 +59,7 @@ def frequency_encode(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVEL
         if tot[f"d{i}"] <= max_levels:
             counts = {r[c]: r["c"] for r in df.where(F.col(c).isNotNull()).groupBy(c).agg(
                 F.count(F.lit(1)).alias("c")).collect()}
-            out = out.withColumn(c, _lit_map({k: v / n for k, v in counts.items()})[F.col(c)])
+            out = out.withColumn(c, F.try_element_at(_lit_map({k: v / n for k, v in counts.items()}), F.col(c)))
         else:
             g = df.groupBy(c).agg((F.count(F.lit(1)) / F.lit(float(n))).alias("_f"))
             out = out.join(g, c, "left").withColumn(c, F.col("_f")).drop("_f")
@@ -95,9 +95,9 @@ def adaptive_encode(df: DataFrame, cols: list[str] | None = None, key: str = "ro
         if len(levels) == 2:
             a = first[c]
             b = [v for v in levels if v != a][0]
-            ex[c] = _lit_map({a: 0, b: 1})[F.col(c)].alias(c)
+            ex[c] = F.try_element_at(_lit_map({a: 0, b: 1}), F.col(c)).alias(c)
         elif len(levels) <= 5:
-            ex[c] = _lit_map({v: i for i, v in enumerate(levels)})[F.col(c)].alias(c)
+            ex[c] = F.try_element_at(_lit_map({v: i for i, v in enumerate(levels)}), F.col(c)).alias(c)
         else:
             hot.append(c)
     base = [ex.get(c, F.col(c)) for c in df.columns if c not in hot]
@@ -138,7 +138,7 @@ def derived_target(df: DataFrame, cols: list[str] | None = None, key: str = "row
 def scaled_answer(c) -> Column:
     """'3 (Moderate)' → 3 via the fixed answer map; unknown or missing → 0."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(_lit_map({v: i for i, v in enumerate(SCALE_0_5)})[c], F.lit(0))
+    return F.coalesce(F.try_element_at(_lit_map({v: i for i, v in enumerate(SCALE_0_5)}), c), F.lit(0))
 
 
 def leading_int(c) -> Column:

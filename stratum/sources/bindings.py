@@ -8,6 +8,8 @@ the scale factor.  ``row_id`` is always a natural key.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,6 +255,9 @@ def with_sql(body: str, *names: str, extra: str = "") -> str:
     if extra.strip():
         ctes.append(extra.strip().strip(","))
     b = body.lstrip()
+    m = re.match(r"WITH\s+RECURSIVE\s", b, re.I)
+    if m:
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + b[m.end():]
     if b[:5].upper() == "WITH ":  # the query's own CTEs continue the list
         return "WITH " + ",\n".join(ctes) + ",\n" + b[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
