@@ -1 +1,204 @@
-"""Queries (filled in below)."""
+"""Queries for learners, voting, tuning and contests (H) — property-checked
+(no oracle: learners are randomised / iterative).  Configurations are the
+small ones (≤ 20 trees, ≤ 4 grid points, one repeat) so the check stays
+quick; the operators take the reference sizes as parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stratum.operators import features as E
+from stratum.operators import metrics as I
+from stratum.operators import models as H
+from stratum.operators import sampling as G
+from stratum.operators import stats as S
+from stratum.plans.catalog import register
+from stratum.session import scratch_path
+from stratum.sources import bindings as bd
+from stratum.sources.io import model_load, model_store
+
+DOC_NUM = ["n_chars", "n_words", "digit_share", "upper_share"]
+
+
+def _docs(spark, sf):
+    return bd.docs(spark, sf).select("row_id", *DOC_NUM, "label")
+
+
+@register("clf_logistic")
+def q_clf_logistic(spark, sf):
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_logistic(C=1.0))
+
+
+@register("clf_tree")
+def q_clf_tree(spark, sf):
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_tree(max_depth=4))
+
+
+@register("clf_forest")
+def q_clf_forest(spark, sf):
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_forest(num_trees=20, max_depth=10))
+
+
+@register("clf_gbt")
+def q_clf_gbt(spark, sf):
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_gbt(max_iter=20))
+
+
+@register("clf_boosted_deep")
+def q_clf_boosted_deep(spark, sf):
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_boosted_deep(max_iter=20))
+
+
+@register("clf_mlp")
+def q_clf_mlp(spark, sf):
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_mlp(len(DOC_NUM), hidden=16, max_iter=50))
+
+
+def _svm(spark, sf, kind):
+    d = _docs(spark, sf)
+    feats = DOC_NUM
+    if kind == "rbf":
+        d = H.rff_features(E.scale_standard(d, DOC_NUM), DOC_NUM, n_components=32)
+        feats = [f"rff{i}" for i in range(32)]
+    s = G.split_stratified(d.withColumn("label", F.col("label").cast("double")), "label", 0.2, 42).persist()
+    m = H.fit_pipeline(s.where(~F.col("is_test")), feats, H.clf_svm(kind, C=1.2), poly=(kind == "poly"))
+    tr, te = H.predict(m, s.where(~F.col("is_test"))), H.predict(m, s.where(F.col("is_test")))
+    return H.platt(tr, te)
+
+
+@register("clf_svm")
+def q_clf_svm(spark, sf):
+    """Degree-2 polynomial map + linear SVM + Platt probabilities."""
+    return _svm(spark, sf, "poly")
+
+
+@register("clf_svm_rbf")
+def q_clf_svm_rbf(spark, sf):
+    """Random Fourier features (RBF kernel map) + linear SVM + Platt probabilities."""
+    return _svm(spark, sf, "rbf")
+
+
+@register("vote_soft")
+def q_vote_soft(spark, sf):
+    d = _docs(spark, sf)
+    members = [H.clf_logistic(), H.clf_forest(num_trees=20, max_depth=8), H.clf_gbt(max_iter=20)]
+    return H.vote_soft([H.train_eval(d, DOC_NUM, m) for m in members])
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    _, tab = H.grid_search(_docs(spark, sf), DOC_NUM, H.clf_forest(num_trees=10),
+                           {"numTrees": [10, 20], "maxDepth": [4, 8]}, folds=3)
+    return tab
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf):
+    return H.cross_validate(_docs(spark, sf), DOC_NUM, H.clf_forest(num_trees=10, max_depth=8), k=5)
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf):
+    return H.cv_summary(H.cross_validate(_docs(spark, sf), DOC_NUM, H.clf_logistic(), k=5))
+
+
+def _metrics_row(pred, name):
+    acc = I.accuracy(pred).withColumn("_k", F.lit(1))
+    cur = I.curve_areas(pred, "y", "p1").withColumn("_k", F.lit(1))
+    return acc.join(cur, "_k").select(F.lit(name).alias("dataset"), "accuracy", "roc_auc", "pr_auc")
+
+
+@register("train_eval_resampled")
+def q_train_eval_resampled(spark, sf):
+    """min-max → forest → accuracy / ROC-AUC / PR-AUC for each resampled training set."""
+    d = _docs(spark, sf)
+    out = None
+    for name, data in (("original", d), ("undersampled", G.undersample_random(d, "label", 1.0)),
+                       ("smote", G.smote(d, DOC_NUM, "label", 1.0).drop("synthetic"))):
+        r = _metrics_row(H.train_eval(data, DOC_NUM, H.clf_forest(num_trees=20, max_depth=8)), name)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _balanced_sets(d):
+    return {"original": d, "undersampled": G.undersample_random(d, "label", 1.0),
+            "smote": G.smote(d, DOC_NUM, "label", 1.0).drop("synthetic"),
+            "combined": G.smote_undersample(d, DOC_NUM, "label").drop("synthetic", "undersample_applied")}
+
+
+@register("compare_balancers_ttest")
+def q_compare_balancers_ttest(spark, sf):
+    """{original, undersampled, smote, combined} × folds forest accuracy → paired t vs original."""
+    d = _docs(spark, sf)
+    scores = H.balancing_fold_scores(_balanced_sets(d), DOC_NUM, H.clf_forest(num_trees=10, max_depth=6),
+                                     repeats=1, k=5).persist()
+    orig = scores.where("method = 'original'").select("repeat", "fold", F.col("accuracy").alias("original"))
+    out = None
+    for m in ("undersampled", "smote", "combined"):
+        j = orig.join(scores.where(F.col("method") == m).select("repeat", "fold", F.col("accuracy").alias(m)),
+                      ["repeat", "fold"])
+        t = S.ttest_paired(j, "original", m, comparison=f"original_vs_{m}")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("compare_reduction")
+def q_compare_reduction(spark, sf):
+    """Baseline vs PCA (95 % variance) vs ICA features, forest accuracy on one split."""
+    d = _docs(spark, sf)
+    pca, _ = E.pca_project(d, DOC_NUM, var_threshold=0.95)
+    ica, _ = E.ica_components(d, DOC_NUM, max_iter=100)
+    rows = []
+    for i, (name, data) in enumerate((("baseline", d), ("pca", pca), ("ica", ica))):
+        feats = [c for c in data.columns if c not in ("row_id", "label")]
+        p = H.train_eval(data, feats, H.clf_forest(num_trees=20, max_depth=8))
+        rows.append(I.accuracy(p).select(F.lit(name).alias("approach"), F.lit(i).alias("declared"), "accuracy"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@register("rank_approaches")
+def q_rank_approaches(spark, sf):
+    return H.rank_approaches(q_compare_reduction(spark, sf))
+
+
+@register("model_compare_ttest")
+def q_model_compare_ttest(spark, sf):
+    """Fold accuracies of logistic vs forest on the same folds → paired t."""
+    d = _docs(spark, sf)
+    a = H.cross_validate(d, DOC_NUM, H.clf_logistic(), k=5).withColumnRenamed("accuracy", "logistic")
+    b = H.cross_validate(d, DOC_NUM, H.clf_forest(num_trees=10, max_depth=8), k=5).withColumnRenamed("accuracy",
+                                                                                                     "forest")
+    return S.ttest_paired(a.join(b, "fold"), "logistic", "forest", comparison="logistic_vs_forest")
+
+
+@register("train_select")
+def q_train_select(spark, sf):
+    """Scaler contest (standard vs min-max, min-max only if strictly better) then
+    ensemble vs best single member."""
+    d = _docs(spark, sf)
+    acc = lambda p: p.agg(F.avg((F.col("y") == F.col("yhat")).cast("double"))).first()[0]
+    std = acc(H.train_eval(d, DOC_NUM, H.clf_logistic(), scaler="standard"))
+    mm = acc(H.train_eval(d, DOC_NUM, H.clf_logistic(), scaler="minmax"))
+    scaler = "minmax" if mm > std else "standard"
+    members = {"logistic": H.clf_logistic(), "forest": H.clf_forest(num_trees=20, max_depth=8),
+               "gbt": H.clf_gbt(max_iter=20)}
+    preds = {k: H.train_eval(d, DOC_NUM, m, scaler=scaler) for k, m in members.items()}
+    scores = {k: acc(p) for k, p in preds.items()}
+    ens = acc(H.vote_soft(list(preds.values())))
+    best = max(scores, key=lambda k: scores[k])
+    chosen = "ensemble" if ens >= scores[best] else best
+    rows = [("scaler", scaler, float(max(mm, std))), *[(f"member:{k}", k, float(v)) for k, v in scores.items()],
+            ("ensemble", "vote_soft", float(ens)), ("chosen", chosen, float(max(ens, scores[best])))]
+    return spark.createDataFrame(rows, "step string, choice string, accuracy double")
+
+
+@register("model_store")
+def q_model_store(spark, sf):
+    """Fit → persist to the shared scratch folder → reload → predict."""
+    d = _docs(spark, sf)
+    m = H.fit_pipeline(d, DOC_NUM, H.clf_forest(num_trees=10, max_depth=6))
+    path = model_store(m, scratch_path(spark, "model"))
+    return H.predict(model_load(path), d)
