@@ -1,20 +1,22 @@
-"""Exact k-nearest neighbours without an all-pairs join.
-
-Every point gets a 1-D projection p = x·v (v ∝ per-feature standard
-deviation) and a bucket id floor((p − p_min) / w), with w sized so a bucket
-holds ~``density`` points on average.  Because |p_x − p_y| ≤ ‖x − y‖ (v is a
-unit vector), all true neighbours of x within radius R lie in the buckets
-covering [p_x − R, p_x + R]:
-
-1. *radius*: each query looks only at its own bucket ± h; the k-th smallest
-   distance found is an upper bound R_x of its true k-th distance.  Queries
-   with fewer than k candidates double h (a few rounds, only for them).
-2. *exact*: each query is exploded over the buckets covering its band and
-   equi-joined to the points on the bucket id; candidates with distance ≤ R_x
-   are ranked by (distance, id) per query and the first k kept.
-
-Joins are on bucket ids (hash-partitioned), so work is proportional to the
-band populations, never to all pairs.  Squared distances are summed in a fixed
+"""Exact k-nearest neighbours (self-join kNN) without an all-pairs join.
+
+Every point gets a 1-D projection p = x·v with v a unit vector (∝ per-feature
+standard deviation).  Because |p_x − p_y| ≤ ‖x − y‖, all neighbours of x within
+radius R have projections in [p_x − R, p_x + R]:
+
+1. *radius*: points are ranked exactly by p (``running_totals``: range
+   partitions + per-range offsets, no single-partition sort) and cut into
+   blocks of ``depth`` ≥ 2k consecutive points.  A point's own block ± 1 holds
+   at least k other points, so the k-th smallest distance among them, R_x, is
+   an upper bound of its true k-th neighbour distance.  Candidates per point
+   are ≤ 3·depth: linear work.
+2. *exact*: p is also cut into equal-width cells (~``depth`` points per cell on
+   average); each point is exploded over the cells covering [p_x − R_x, p_x + R_x]
+   and equi-joined to the points on the cell id; candidates within R_x are
+   ranked by (distance, id) per point and the first k kept.
+
+All joins are equi-joins on block / cell ids, so work follows the band
+populations, never all pairs.  Squared distances are summed in a fixed
 feature order, so results are bit-identical to a brute-force reference.
 """
 
@@ -25,75 +27,66 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.operators.windows import running_totals
+
 
 def _d2(feats, a="q_", b="p_"):
     return sum((F.pow(F.col(f"{a}{f}") - F.col(f"{b}{f}"), 2) for f in feats[1:]),
                F.pow(F.col(f"{a}{feats[0]}") - F.col(f"{b}{feats[0]}"), 2))
 
 
-def knn(points: DataFrame, key: str, feats: list[str], k: int, queries: DataFrame | None = None,
-        exclude_self: bool = True, density: int = 32, max_rounds: int = 40) -> DataFrame:
+def _top_k(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q_id").orderBy("dist2", "p_id")
+    return pairs.withColumn("nn_rank", F.row_number().over(w) - 1).where(F.col("nn_rank") < k)
+
+
+def knn(points: DataFrame, key: str, feats: list[str], k: int, exclude_self: bool = True,
+        density: int = 16) -> DataFrame:
     """(query id ``q_id``, neighbour rank ``nn_rank`` 0..k-1, neighbour id ``nn_id``,
-    squared distance ``dist2``) for every query row (default: every point)."""
-    same = queries is None
-    # every later step reads the projected inputs several times: persist them once
-    points = points.select(key, *feats).persist()
-    queries = points if same else queries.select(key, *feats).persist()
-    st = points.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.stddev_pop(F.col(f).cast("double")).alias(f"s{i}") for i, f in enumerate(feats)]).first()
+    squared distance ``dist2``) for every point against all other points."""
+    points = points.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).persist()
+    st = points.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)]).first()
     n = st["n"] or 0
     sd = [float(st[f"s{i}"] or 0.0) for i in range(len(feats))]
-    norm = math.sqrt(sum(s * s for s in sd)) or 1.0
-    v = [s / norm for s in sd] if any(sd) else [1.0 / math.sqrt(len(feats))] * len(feats)
-    proj = sum((F.lit(v[i]) * F.col(f).cast("double") for i, f in enumerate(feats[1:], 1)),
-               F.lit(v[0]) * F.col(feats[0]).cast("double"))
-    pr = points.select(F.min(proj).alias("lo"), F.max(proj).alias("hi")).first()
-    lo, hi = float(pr["lo"] or 0.0), float(pr["hi"] or 0.0)
-    w = max((hi - lo) * density / max(n, 1), 1e-12)
-    bucket = lambda c: F.floor((c - F.lit(lo)) / F.lit(w)).cast("long")
-
-    P = points.select(F.col(key).alias("p_id"), *[F.col(f).cast("double").alias(f"p_{f}") for f in feats],
-                      proj.alias("p_p")).withColumn("b", bucket(F.col("p_p")))
-    Q = queries.select(F.col(key).alias("q_id"), *[F.col(f).cast("double").alias(f"q_{f}") for f in feats],
-                       proj.alias("q_p")).withColumn("q_b", bucket(F.col("q_p")))
-    qcols = ["q_id", *[f"q_{f}" for f in feats], "q_p", "q_b"]
-
-    def candidates(qs: DataFrame, lo_b, hi_b, radius=None) -> DataFrame:
-        e = qs.select(*qcols, *([radius] if radius is not None else []),
-                      F.explode(F.sequence(lo_b, hi_b)).alias("b"))
-        j = e.join(P, "b")
-        if exclude_self:
-            j = j.where(F.col("p_id") != F.col("q_id"))
-        j = j.select(*qcols, *(["_r2"] if radius is not None else []), "p_id", _d2(feats).alias("dist2"))
-        if radius is not None:
-            j = j.where(F.col("dist2") <= F.col("_r2"))
-        wr = Window.partitionBy("q_id").orderBy("dist2", "p_id")
-        return j.withColumn("nn_rank", F.row_number().over(wr) - 1).where(F.col("nn_rank") < k)
-
-    # 1. radius bound, widening the bucket window only for under-filled queries
-    h, pending, bounds = 1, Q, []
-    for _ in range(max_rounds):
-        c = candidates(pending, F.col("q_b") - h, F.col("q_b") + h)
-        r = c.groupBy("q_id").agg(F.count(F.lit(1)).alias("_c"), F.max("dist2").alias("_r2"))
-        full = r.where(F.col("_c") >= k).select("q_id", "_r2").persist()
-        bounds.append(full)
-        nxt = pending.join(full.select("q_id"), "q_id", "left_anti").persist()
-        done = h * w > (hi - lo) or nxt.limit(1).count() == 0
-        pending = nxt
-        if done:
-            break
-        h *= 2
-    # whatever is still pending has fewer than k other points in total: its radius is everything
-    bounds.append(pending.select("q_id", F.lit(float("inf")).alias("_r2")))
-    R = bounds[0]
-    for b in bounds[1:]:
-        R = R.unionByName(b)
-
-    # 2. exact band join
-    Qr = Q.join(R, "q_id")
+    norm = math.sqrt(sum(s * s for s in sd))
+    v = [s / norm for s in sd] if norm > 0 else [1.0 / math.sqrt(len(feats))] * len(feats)
+    proj = sum((F.lit(v[i]) * F.col(f) for i, f in enumerate(feats[1:], 1)), F.lit(v[0]) * F.col(feats[0]))
+    depth = max(2 * k, density)
+
+    base = points.select(F.col(key).alias("p_id"), *[F.col(f).alias(f"p_{f}") for f in feats], proj.alias("p_p"))
+    # exact rank on the projection → equi-depth blocks
+    ranked = running_totals(base.select("p_id", "p_p", F.lit(1).alias("_one")), "p_p", ["_one"])
+    blocks = ranked.select("p_id", F.floor((F.col("cum__one") - 1) / depth).cast("long").alias("eb"))
+    P = base.join(blocks, "p_id").persist()
+    lim = P.agg(F.min("p_p").alias("lo"), F.max("p_p").alias("hi")).first()
+    lo, hi = float(lim["lo"] or 0.0), float(lim["hi"] or 0.0)
+    w = max((hi - lo) * depth / max(n, 1), 1e-12)
+    cell = lambda c: F.floor((c - F.lit(lo)) / F.lit(w)).cast("long")
+    P = P.withColumn("cb", cell(F.col("p_p")))
+    Q = P.select(F.col("p_id").alias("q_id"), *[F.col(f"p_{f}").alias(f"q_{f}") for f in feats],
+                 F.col("p_p").alias("q_p"), F.col("eb").alias("q_eb"))
+    pcols = ["p_id", *[f"p_{f}" for f in feats]]
+
+    # 1. radius from the own block ± 1
+    c = (Q.select("q_id", *[f"q_{f}" for f in feats], F.explode(F.sequence(F.col("q_eb") - 1, F.col("q_eb") + 1))
+                  .alias("eb"))
+         .join(P.select(*pcols, "eb"), "eb"))
+    if exclude_self:
+        c = c.where(F.col("p_id") != F.col("q_id"))
+    c = _top_k(c.select("q_id", "p_id", _d2(feats).alias("dist2")), k)
+    R = c.groupBy("q_id").agg(F.count(F.lit(1)).alias("_c"), F.max("dist2").alias("_r2"))
+    # fewer than k candidates only when the whole set has ≤ k points: radius = everything
+    R = R.select("q_id", F.when(F.col("_c") >= k, F.col("_r2")).otherwise(F.lit(float("inf"))).alias("_r2"))
+
+    # 2. exact band join on equal-width cells
+    Qr = Q.join(R, "q_id", "left").withColumn("_r2", F.coalesce("_r2", F.lit(float("inf"))))
     rad = F.sqrt(F.col("_r2"))
-    lo_b = F.when(F.col("_r2") == float("inf"), F.lit(bucket(F.lit(lo)))).otherwise(bucket(F.col("q_p") - rad))
-    hi_b = F.when(F.col("_r2") == float("inf"), F.lit(bucket(F.lit(hi)))).otherwise(bucket(F.col("q_p") + rad))
-    Qr = Qr.select(*qcols, "_r2", lo_b.alias("_lo"), hi_b.alias("_hi"))
-    res = candidates(Qr, F.col("_lo"), F.col("_hi"), radius=F.col("_r2"))
+    lo_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(lo))).otherwise(cell(F.col("q_p") - rad))
+    hi_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(hi))).otherwise(cell(F.col("q_p") + rad))
+    e = Qr.select("q_id", *[f"q_{f}" for f in feats], "_r2", F.explode(F.sequence(lo_c, hi_c)).alias("cb"))
+    j = e.join(P.select(*pcols, "cb"), "cb")
+    if exclude_self:
+        j = j.where(F.col("p_id") != F.col("q_id"))
+    j = j.select("q_id", "p_id", "_r2", _d2(feats).alias("dist2")).where(F.col("dist2") <= F.col("_r2"))
+    res = _top_k(j, k)
     return res.select("q_id", F.col("nn_rank").cast("int").alias("nn_rank"), F.col("p_id").alias("nn_id"), "dist2")
