@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.exprs import safe_div, stack
 from stratum.functions.hashing import hash_uniform
-from stratum.functions.pvalue import f_sf, t_sf2
+from stratum.functions.pvalue import f_sf, t_sf2, with_f_sf, with_t_sf2
 
 WIDE_LIMIT = 40  # above this many columns, correlation goes through ml.stat.Correlation
 
@@ -75,7 +75,8 @@ def point_biserial(df: DataFrame, binary: str, numeric: list[str], top: int | No
     t = one.select(F.lit(binary).alias("binary"), F.inline(arr))
     r2 = F.col("correlation") * F.col("correlation")
     t2 = F.when(r2 >= 1, F.lit(None).cast("double")).otherwise(r2 * (F.col("n") - 2) / (F.lit(1.0) - r2))
-    p = F.when(r2 >= 1, F.lit(0.0)).otherwise(f_sf(t2, F.lit(1.0), F.col("n") - 2))
+    t = with_f_sf(t.withColumn("_t2", t2), ["feature"], F.col("_t2"), F.lit(1.0), F.col("n") - 2, out="_p")
+    p = F.when(r2 >= 1, F.lit(0.0)).otherwise(F.col("_p"))
     out = t.select("binary", "feature", "correlation", p.alias("p_value"), "n")
     if top:
         out = out.orderBy(F.abs("correlation").desc_nulls_last(), "feature").limit(top)
@@ -84,18 +85,32 @@ def point_biserial(df: DataFrame, binary: str, numeric: list[str], top: int | No
 
 # ---------------------------------------------------------------------- moments
 
-def class_moments(df: DataFrame, label: str, features: list[str], classes=(0, 1)) -> DataFrame:
-    """(feature, n_c, mean_c, var_c for each class c) from ONE aggregation."""
+def class_moments(df: DataFrame, label: str, features: list[str], classes=(0, 1), wide_limit: int = 16) -> DataFrame:
+    """(feature, n_c, mean_c, var_c for each class c) from ONE pass.
+
+    Few features: one wide aggregation.  Many features: rows are unpivoted to
+    (feature, value) and grouped by feature with conditional aggregates — a
+    handful of expressions instead of 6·d (fast codegen), partial aggregation
+    map-side, and the final aggregation spread over features."""
+    if len(features) <= wide_limit:
+        aggs = []
+        for i, f in enumerate(features):
+            x = F.col(f).cast("double")
+            for c in classes:
+                xc = F.when(F.col(label) == c, x)
+                aggs += [F.count(xc).alias(f"n{c}_{i}"), F.avg(xc).alias(f"m{c}_{i}"),
+                         F.var_samp(xc).alias(f"v{c}_{i}")]
+        one = df.agg(*aggs)
+        fields = lambda i: [F.lit(features[i]).alias("feature")] + [
+            F.col(f"{k}{c}_{i}").alias(f"{k}{c}") for c in classes for k in ("n", "m", "v")]
+        return one.select(F.inline(F.array(*[F.struct(*fields(i)) for i in range(len(features))])))
+    long = df.select(F.col(label).alias("_y"),
+                     F.inline(stack([(f, F.col(f).cast("double")) for f in features], "feature", "_x")))
     aggs = []
-    for i, f in enumerate(features):
-        x = F.col(f).cast("double")
-        for c in classes:
-            xc = F.when(F.col(label) == c, x)
-            aggs += [F.count(xc).alias(f"n{c}_{i}"), F.avg(xc).alias(f"m{c}_{i}"), F.var_samp(xc).alias(f"v{c}_{i}")]
-    one = df.agg(*aggs)
-    fields = lambda i: [F.lit(features[i]).alias("feature")] + [
-        F.col(f"{k}{c}_{i}").alias(f"{k}{c}") for c in classes for k in ("n", "m", "v")]
-    return one.select(F.inline(F.array(*[F.struct(*fields(i)) for i in range(len(features))])))
+    for c in classes:
+        xc = F.when(F.col("_y") == c, F.col("_x"))
+        aggs += [F.count(xc).alias(f"n{c}"), F.avg(xc).alias(f"m{c}"), F.var_samp(xc).alias(f"v{c}")]
+    return long.groupBy("feature").agg(*aggs)
 
 
 def welch_ttest_features(df: DataFrame, label: str, features: list[str], alpha: float = 0.05) -> DataFrame:
@@ -112,7 +127,7 @@ def welch_ttest_features(df: DataFrame, label: str, features: list[str], alpha:
     eff = F.when(pooled == 0, F.lit(0.0)).otherwise(diff / pooled)
     r = m.select("feature", t.alias("t_statistic"), dfw.alias("df"), F.col("m0").alias("mean_class_0"),
                  F.col("m1").alias("mean_class_1"), diff.alias("mean_difference"), eff.alias("effect_size"))
-    r = r.withColumn("p_value", t_sf2(F.col("t_statistic"), F.col("df")))
+    r = with_t_sf2(r, ["feature"], F.col("t_statistic"), F.col("df"))
     d = len(features)
     return r.select(
         "feature", "t_statistic", "p_value", "mean_class_0", "mean_class_1", "mean_difference", "effect_size",
@@ -146,8 +161,8 @@ def anova_oneway(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
     fstat = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("ntot") - F.col("k")))
     r = s.select("categorical", "numeric", fstat.alias("f_statistic"), (F.col("k") - 1).alias("_d1"),
                  (F.col("ntot") - F.col("k")).alias("_d2"))
-    return r.select("categorical", "numeric", "f_statistic",
-                    f_sf(F.col("f_statistic"), F.col("_d1"), F.col("_d2")).alias("p_value"))
+    r = with_f_sf(r, ["categorical", "numeric"], F.col("f_statistic"), F.col("_d1"), F.col("_d2"))
+    return r.select("categorical", "numeric", "f_statistic", "p_value")
 
 
 # ------------------------------------------------------------------------ t tests
@@ -187,8 +202,12 @@ POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))
 
 
 def poisson1(u: Column) -> Column:
-    """Inverse-CDF Poisson(1) draw from a uniform column."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON1_CDF]), lambda c: c < u))
+    """Inverse-CDF Poisson(1) draw from a uniform column: the number of CDF values
+    below u, as a CASE chain (stays inside whole-stage codegen, unlike a lambda)."""
+    e = F.when(u <= F.lit(POISSON1_CDF[0]), F.lit(0))
+    for j, c in enumerate(POISSON1_CDF[1:], 1):
+        e = e.when(u <= F.lit(c), F.lit(j))
+    return e.otherwise(F.lit(len(POISSON1_CDF)))
 
 
 def bootstrap_replicas(df: DataFrame, key: str = "row_id", y: str = "y", yhat: str = "yhat", n_boot: int = 1000,
