@@ -19,19 +19,41 @@ LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 # ----------------------------------------------------------------------------- A
 
-@register("csv_roundtrip", uses=("people_nulls",), dbl=("c_acctbal", "avg_price"),
-          sql="SELECT * FROM people_nulls")
-def q_csv_roundtrip(spark, sf):
-    """people_nulls → CSV sink (nulls as 'NA', names with spaces) → scan_csv with
-    schema + normalize_columns: must equal the source."""
+def _csv_roundtrip(spark, sf):
     p = bd.people_nulls(spark, sf)
     path = scratch_path(spark, "people_csv")
+    # header names with spaces and padding, nulls written as the token 'NA'
     src = p.select(*[F.col(c).alias(f" {c.replace('_', ' ')} ") for c in p.columns])
     A.sink_table(src, path, fmt="csv", null_token="NA")
-    schema = T.StructType([T.StructField(c.replace(" ", "_"), p.schema[c].dataType) for c in p.columns])
-    back = A.scan_csv(spark, path, schema)
-    # names come back as "row id" → "row_id" etc.
-    return back.select(*[F.col(c.replace("_", "_")) for c in back.columns]).toDF(*p.columns)
+    schema = T.StructType([T.StructField(c, p.schema[c].dataType) for c in p.columns])
+    return A.scan_csv(spark, path, schema)
+
+
+@register("scan_csv", uses=("people_nulls",), dbl=("c_acctbal", "avg_price"), sql="SELECT * FROM people_nulls")
+def q_scan_csv(spark, sf):
+    """people_nulls → CSV (nulls as 'NA', names with spaces) → typed scan with
+    pandas-like null tokens and normalised names: equals the source."""
+    return _csv_roundtrip(spark, sf)
+
+
+@register("csv_roundtrip", uses=("people_nulls",), dbl=("c_acctbal", "avg_price"), sql="SELECT * FROM people_nulls")
+def q_csv_roundtrip(spark, sf):
+    return _csv_roundtrip(spark, sf)
+
+
+@register("normalize_columns", uses=("people",), dbl=("c_acctbal", "avg_price"), sql="SELECT * FROM people")
+def q_normalize_columns(spark, sf):
+    p = bd.people(spark, sf)
+    messy = p.toDF(*[f"  {c.replace('_', ' ')} " for c in p.columns])
+    return A.normalize_columns(messy)
+
+
+@register("sink_table", uses=("people",), dbl=("c_acctbal", "avg_price"), sql="SELECT * FROM people")
+def q_sink_table(spark, sf):
+    """Parquet sink partitioned by region, read back."""
+    path = A.sink_table(bd.people(spark, sf), scratch_path(spark, "people_pq"), partition_by=["r_name"])
+    back = spark.read.parquet(path)
+    return back.select(*bd.people(spark, sf).columns)
 
 
 # ----------------------------------------------------------------------------- C

@@ -188,3 +188,12 @@ def _boot_sql(b=1000, seed=42):
                "p_value_vs_baseline"))
 def q_bootstrap_ci(spark, sf):
     return S.bootstrap_ci(bd.scores(spark, sf), n_boot=1000, seed=42)
+
+
+@register("top_k_significant", uses=("vecs",), dbl=("p_value", "effect_size"),
+          ctes="w AS (" + _welch_sql("vecs", "binary", VEC) + ")", sql="""
+    SELECT feature, p_value, effect_size FROM w WHERE significant ORDER BY p_value, feature LIMIT 10""")
+def q_top_k_significant(spark, sf):
+    """Top-10 significant features by p-value (a top-k report: the limit is the feature)."""
+    w = S.welch_ttest_features(bd.vecs(spark, sf), "binary", VEC)
+    return w.where("significant").orderBy("p_value", "feature").limit(10).select("feature", "p_value", "effect_size")
