@@ -220,3 +220,23 @@ def _viterbi_sql():
 def q_viterbi_decode(spark, sf):
     """Most likely Low/Moderate/High path per user over their ordered event types."""
     return K.viterbi_decode(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
+
+
+@register("viterbi_scores_long", uses=("obs",), dbl=("log_prob",), sql=_viterbi_sql().replace(
+    "SELECT user_id, CAST(t AS INTEGER) AS n_obs, fin.v AS log_prob, fin.p AS path",
+    "SELECT user_id, CAST(t AS BIGINT) AS n_obs, fin.v AS log_prob"))
+def q_viterbi_scores_long(spark, sf):
+    """Scale path (max-plus segments over range partitions): per-user best log-probability."""
+    from stratum.operators.sequence import viterbi_decode_long
+
+    _, scores = viterbi_decode_long(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
+    return scores.select("user_id", "n_obs", "log_prob")
+
+
+@register("viterbi_states_long")
+def q_viterbi_states_long(spark, sf):
+    """Scale path: one decoded state per event (an optimal path; exact ties may resolve differently)."""
+    from stratum.operators.sequence import viterbi_decode_long
+
+    states, _ = viterbi_decode_long(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
+    return states

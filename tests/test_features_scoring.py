@@ -109,3 +109,28 @@ def test_stream_equals_batch(spark):
     got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
     exp = sorted(tuple(r) for r in flatten_reply(K.score_answers(a)).collect())
     assert got == exp
+
+
+def test_viterbi_long_hot_key_spans_partitions(spark):
+    from stratum.operators.sequence import viterbi_decode_long
+
+    rng = np.random.default_rng(7)
+    syms = ["view", "click", "purchase", "signup", "error", "unseen"]
+    rows = [(1, t, t, syms[rng.integers(0, 6)]) for t in range(400)] + \
+           [(2, t, t, syms[rng.integers(0, 6)]) for t in range(7)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string")
+    states, scores = viterbi_decode_long(df, "user_id", ["ts", "event_id"], "event_type", n_partitions=16)
+    assert states.count() == 407
+    seq = {r["user_id"]: r for r in K.viterbi_decode(df, "user_id", ["ts", "event_id"], "event_type").collect()}
+    got = {r["user_id"]: r["log_prob"] for r in scores.collect()}
+    paths = {}
+    for r in states.orderBy("user_id", "ts").collect():
+        paths.setdefault(r["user_id"], []).append(r["state"])
+    E_ = K.EVENT_EMISSIONS
+    for u, path in paths.items():
+        obs = [r[3] for r in rows if r[0] == u]
+        lp = math.log(FX.TRANSITIONS["Low"][path[0]]) + math.log(E_[path[0]].get(obs[0], FX.UNKNOWN_EMISSION))
+        for t in range(1, len(obs)):
+            lp += math.log(FX.TRANSITIONS[path[t - 1]][path[t]]) + math.log(E_[path[t]].get(obs[t], FX.UNKNOWN_EMISSION))
+        assert lp == pytest.approx(got[u], rel=1e-9)           # the decoded path is optimal
+        assert got[u] == pytest.approx(seq[u]["log_prob"], rel=1e-9)
