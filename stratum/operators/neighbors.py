@@ -40,11 +40,46 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("nn_rank", F.row_number().over(w) - 1).where(F.col("nn_rank") < k)
 
 
-def knn(points: DataFrame, key: str, feats: list[str], k: int, exclude_self: bool = True,
-        density: int = 16) -> DataFrame:
+COPY_CHUNK = 1_000_000  # rows per salted sort task inside one group of identical points
+
+
+def knn(points: DataFrame, key: str, feats: list[str], k: int, density: int = 16) -> DataFrame:
     """(query id ``q_id``, neighbour rank ``nn_rank`` 0..k-1, neighbour id ``nn_id``,
-    squared distance ``dist2``) for every point against all other points."""
-    points = points.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).persist()
+    squared distance ``dist2``) for every point against all other points; ties by id.
+
+    Groups of identical points (possibly a third of all rows) are not compared
+    pairwise: within a group of m ≥ k+2 copies only the k+1 smallest ids
+    ("heads") take part in the band join — any other copy is dominated by
+    them in (distance, id) order — and every other copy's neighbours are the
+    first k heads of its group at distance 0.  The heads are found with
+    per-group salting (each sort task ≤ ``COPY_CHUNK`` rows) and a merge of
+    (k+1)·salts candidates per group."""
+    from stratum.functions.hashing import hash_uniform
+
+    pts = points.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).persist()
+    # partial aggregation: a hot group of copies is combined map-side
+    big = pts.groupBy(*feats).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= k + 2)
+    tagged = pts.join(big, feats, "left")
+    bigpts = tagged.where(F.col("_m").isNotNull())
+    salts = F.ceil(F.col("_m") / F.lit(COPY_CHUNK))
+    sal = bigpts.withColumn("_s", F.floor(hash_uniform(key, 0, "copy") * salts))
+    first = sal.withColumn("_r1", F.row_number().over(Window.partitionBy(*feats, "_s").orderBy(key))) \
+        .where(F.col("_r1") <= k + 1)
+    heads_big = first.withColumn("_r2", F.row_number().over(Window.partitionBy(*feats).orderBy(key))) \
+        .where(F.col("_r2") <= k + 1).select(key, *feats, "_r2").persist()
+    heads = tagged.where(F.col("_m").isNull()).select(key, *feats).unionByName(heads_big.select(key, *feats))
+    nn_heads = _band_knn(heads, key, feats, k, density)
+    rest = bigpts.select(key, *feats).join(heads_big.select(key), key, "left_anti")
+    nn_rest = rest.join(heads_big.where(F.col("_r2") <= k).select(F.col(key).alias("nn_id"), *feats, "_r2"), feats) \
+        .select(F.col(key).alias("q_id"), (F.col("_r2") - 1).cast("int").alias("nn_rank"), "nn_id",
+                F.lit(0.0).alias("dist2"))
+    return nn_heads.unionByName(nn_rest)
+
+
+def _band_knn(points: DataFrame, key: str, feats: list[str], k: int, density: int = 16,
+              exclude_self: bool = True) -> DataFrame:
+    """Block + band kNN over points with at most k+1 copies of any point."""
+    points = points.select(key, *feats).persist()
     st = points.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)]).first()
     n = st["n"] or 0
     sd = [float(st[f"s{i}"] or 0.0) for i in range(len(feats))]

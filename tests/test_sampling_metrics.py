@@ -116,3 +116,17 @@ def test_classification_report_zero_division(spark):
     df = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "row_id long, y int, yhat int")
     rep = {r["class"]: r for r in I.classification_report(df).collect()}
     assert rep["1"]["precision"] == 0.0 and rep["accuracy"]["f1"] == 0.5
+
+
+def test_knn_hot_copy_group(spark):
+    """A third of the points are one copy group: exact results, no pairwise copies."""
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(90, 2))
+    X[::3] = X[0]
+    pts = {i: tuple(map(float, X[i])) for i in range(len(X))}
+    df = spark.createDataFrame([(i, *v) for i, v in pts.items()], "row_id long, a double, b double")
+    got = {}
+    for r in knn(df, "row_id", ["a", "b"], 3).collect():
+        got.setdefault(r["q_id"], {})[r["nn_rank"]] = r["nn_id"]
+    exp = _brute_knn(pts, 3)
+    assert {q: [v[i] for i in range(3)] for q, v in got.items()} == exp
