@@ -32,8 +32,11 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
                        for c in df.columns])
 
 
-def _median(c):
-    return F.percentile(F.col(c).cast("double"), F.lit(0.5))
+def _medians(df: DataFrame, cols: list[str]) -> dict:
+    from stratum.operators.quantiles import exact_quantiles
+
+    q = exact_quantiles(df, cols, [0.5])
+    return {c: (q[c][0] if q[c] else None) for c in cols}
 
 
 def impute_policy(df: DataFrame, cols: list[str] | None = None, key: str = "row_id",
@@ -44,9 +47,13 @@ def impute_policy(df: DataFrame, cols: list[str] | None = None, key: str = "row_
     cols = cols or numeric_columns(df, exclude=(key,))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"k{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"), _median(c).alias(f"q{i}")]
+        aggs += [F.count(c).alias(f"k{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}")]
     p = _fit(df, aggs)
     n = p["_n"] or 1
+    need_median = [c for i, c in enumerate(cols) if (n - p[f"k{i}"]) / n >= knn_limit]
+    med = _medians(df, need_median) if need_median else {}
+    for i, c in enumerate(cols):
+        p[f"q{i}"] = med.get(c)
     policy, exprs = [], {}
     for i, c in enumerate(cols):
         share = (n - p[f"k{i}"]) / n
@@ -77,15 +84,15 @@ def impute_mode(df: DataFrame, cols: list[str] | None = None, key: str = "row_id
 
 
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, approx: bool = False) -> dict:
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        q = F.percentile_approx(x, [0.25, 0.75], 100000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-        aggs.append(q.alias(f"q{i}"))
-    p = _fit(df, aggs)
+    from stratum.operators.quantiles import exact_quantiles
+
+    if approx:
+        p = _fit(df, [F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], 100000).alias(c) for c in cols])
+    else:
+        p = exact_quantiles(df, cols, [0.25, 0.75])
     out = {}
     for i, c in enumerate(cols):
-        q = p[f"q{i}"]
+        q = p[c]
         if q is None or q[0] is None:
             continue
         iqr = q[1] - q[0]

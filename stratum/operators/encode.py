@@ -116,9 +116,12 @@ def binarize_target(df: DataFrame, col: str, mode: str = "split3", out: str = "t
         mx = df.agg(F.max(x)).first()[0]
         return df.withColumn(out, x.cast("int") if mx is not None and mx <= 1 else (x >= 3).cast("int"))
     if mode == "median":
-        r = df.agg(F.count_distinct(x).alias("d"), F.percentile(x.cast("double"), F.lit(0.5)).alias("m")).first()
-        if r["d"] > 2:
-            return df.withColumn(out, F.coalesce((x > F.lit(r["m"])).cast("int"), F.lit(0)))
+        from stratum.operators.quantiles import exact_quantiles
+
+        # "more than 2 levels?" needs at most 3 distinct values back (distributed distinct + limit)
+        if df.select(x).where(x.isNotNull()).distinct().limit(3).count() > 2:
+            m = exact_quantiles(df, [col], [0.5])[col][0]
+            return df.withColumn(out, F.coalesce((x > F.lit(m)).cast("int"), F.lit(0)))
         return df.withColumn(out, x.cast("int"))
     raise ValueError(mode)
 
@@ -130,8 +133,10 @@ def derived_target(df: DataFrame, cols: list[str] | None = None, key: str = "row
     s = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
     k = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
     rm = F.try_divide(s, k.cast("double"))
+    from stratum.operators.quantiles import exact_quantiles
+
     t = df.withColumn("_rm", rm)
-    med = t.agg(F.percentile("_rm", F.lit(0.5))).first()[0]
+    med = exact_quantiles(t, ["_rm"], [0.5])["_rm"][0]
     return t.withColumn(out, F.coalesce((F.col("_rm") > F.lit(med)).cast("int"), F.lit(0))).drop("_rm")
 
 

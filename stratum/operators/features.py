@@ -91,13 +91,16 @@ def scale_standard(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def scale_robust(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """(x − median)/IQR (exact quantiles by default); IQR 0 keeps divisor 1."""
+    from stratum.operators.quantiles import exact_quantiles
+
     probs = [0.25, 0.5, 0.75]
-    q = (lambda c: F.percentile_approx(F.col(c).cast("double"), probs, 100000)) if approx else \
-        (lambda c: F.percentile(F.col(c).cast("double"), F.array(*[F.lit(x) for x in probs])))
-    p = _fit(df, [q(c).alias(f"q{i}") for i, c in enumerate(cols)])
+    if approx:
+        p = _fit(df, [F.percentile_approx(F.col(c).cast("double"), probs, 100000).alias(c) for c in cols])
+    else:
+        p = exact_quantiles(df, cols, probs)
     ex = {}
     for i, c in enumerate(cols):
-        q1, med, q3 = p[f"q{i}"]
+        q1, med, q3 = p[c]
         iqr = (q3 - q1) or 1.0
         ex[c] = ((F.col(c).cast("double") - F.lit(med)) / F.lit(float(iqr))).alias(c)
     return df.select(*[ex.get(c, F.col(c)) for c in df.columns])

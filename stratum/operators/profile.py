@@ -33,23 +33,26 @@ def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """count, mean, std (ddof=1), min, q25, q50, q75, max per numeric column.
 
-    Exact quantiles (linear interpolation) by default; ``approx=True`` uses
-    mergeable sketches with bounded memory for very high-cardinality columns.
-    """
+    Moments come from one aggregation; quartiles are exact (linear
+    interpolation) via ``exact_quantiles`` — distributed selection, never a
+    single task holding a column's distinct values — or approximate sketches
+    with ``approx=True``.  The result has one row per column."""
+    from stratum.operators.quantiles import exact_quantiles
+
     cols = cols or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), _quantiles(c, (0.25, 0.5, 0.75), approx).alias(f"q{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                              F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-                              F.col(f"q{i}")[0].alias("q25"), F.col(f"q{i}")[1].alias("q50"),
-                              F.col(f"q{i}")[2].alias("q75"), F.col(f"hi{i}").alias("max"))
-                     for i, c in enumerate(cols)])
-    return one.select(F.inline(rows))
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if approx:
+            aggs.append(_quantiles(c, (0.25, 0.5, 0.75), True).alias(f"q{i}"))
+    r = df.agg(*aggs).first()
+    q = {c: r[f"q{i}"] for i, c in enumerate(cols)} if approx else exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    rows = [(c, r[f"n{i}"], r[f"m{i}"], r[f"s{i}"], r[f"lo{i}"], *(q[c] or [None] * 3), r[f"hi{i}"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, "
+                                                 "q25 double, q50 double, q75 double, max double")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -70,3 +70,16 @@ def test_bootstrap_rows_and_cells_agree_in_distribution(spark):
     assert a["accuracy"] == b["accuracy"]
     assert a["accuracy_ci_lower"] < a["accuracy"] < a["accuracy_ci_upper"]
     assert abs(a["accuracy_ci_lower"] - b["accuracy_ci_lower"]) < 0.05
+
+
+def test_exact_quantiles_distributed_path_equals_percentile(spark):
+    from stratum.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(0)
+    x = rng.lognormal(0, 2, 20000)
+    x[::3] = 5.0                                  # one value holds a third of the rows
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = exact_quantiles(df, ["x"], probs, small_distinct=100, max_collect=50, bins=64)["x"]
+    ref = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0])
+    assert got == ref
