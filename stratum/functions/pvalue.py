@@ -88,33 +88,37 @@ def t_sf2_sql(t: str, df: str, n: int = N_INTERVALS) -> str:
 
 
 def with_f_sf(df, keys: list[str], f, d1, d2, out: str = "p_value", n: int = N_INTERVALS):
-    """DataFrame form of ``f_sf`` for result tables with many rows: the Simpson
-    nodes are exploded into rows, weighted terms are computed in one codegen'd
-    projection and summed per key (partial aggregation), then joined back.
-    ``keys`` must identify the rows of ``df``."""
+    """DataFrame form of ``f_sf`` for result tables with many rows: each row is
+    exploded into its Simpson nodes (one node when no integral is needed),
+    weighted terms are computed in one codegen'd projection and summed per key;
+    the row's other columns ride along (``first``), so the input is evaluated
+    once and never joined back.  ``keys`` must identify the rows of ``df``."""
+    cols = [c for c in df.columns if c not in keys]
     fc, d1c, d2c = _c(f).cast("double"), _c(d1).cast("double"), _c(d2).cast("double")
-    g = df.select(*keys, fc.alias("_f"), d1c.alias("_d1"), d2c.alias("_d2"))
-    phi0 = F.atan(F.sqrt(F.try_divide(F.col("_d1") * F.col("_f"), F.col("_d2"))))
-    cap = F.least(F.lit(math.pi / 2), F.try_divide(F.sqrt("_d1") + F.lit(40.0), F.sqrt("_d2")))
-    valid = (F.col("_f").isNotNull() & F.col("_d1").isNotNull() & F.col("_d2").isNotNull() & (F.col("_d1") > 0)
-             & (F.col("_d2") > 0) & ~F.isnan("_f"))
-    g = g.select(*keys, "_d1", "_d2", valid.alias("_ok"), phi0.alias("_a"), cap.alias("_cap"))
-    live = g.where(F.col("_ok") & (F.col("_a") < F.col("_cap")))
-    i = F.col("_i")
+    g = df.select("*", fc.alias("__pk_f"), d1c.alias("__pk_d1"), d2c.alias("__pk_d2"))
+    phi0 = F.atan(F.sqrt(F.try_divide(F.col("__pk_d1") * F.col("__pk_f"), F.col("__pk_d2"))))
+    cap = F.least(F.lit(math.pi / 2), F.try_divide(F.sqrt("__pk_d1") + F.lit(40.0), F.sqrt("__pk_d2")))
+    ok = (F.col("__pk_f").isNotNull() & F.col("__pk_d1").isNotNull() & F.col("__pk_d2").isNotNull() & (F.col("__pk_d1") > 0)
+          & (F.col("__pk_d2") > 0) & ~F.isnan("__pk_f"))
+    g = g.select("*", ok.alias("__pk_ok"), phi0.alias("__pk_a"), cap.alias("__pk_cap"))
+    live = F.coalesce(F.col("__pk_ok") & (F.col("__pk_a") < F.col("__pk_cap")), F.lit(False))
+    nodes = F.when(live, F.sequence(F.lit(0), F.lit(n))).otherwise(F.array(F.lit(0)))
+    e = g.select("*", F.explode(nodes).alias("__pk_i"))
+    i = F.col("__pk_i")
     w = F.when((i == 0) | (i == n), F.lit(1.0)).when(i % 2 == 1, F.lit(4.0)).otherwise(F.lit(2.0))
-    hn = (F.col("_cap") - F.col("_a")) / F.lit(float(n))
-    hd = F.col("_cap") / F.lit(float(n))
-    pn = F.col("_a") + i.cast("double") * hn
+    hn = (F.col("__pk_cap") - F.col("__pk_a")) / F.lit(float(n))
+    hd = F.col("__pk_cap") / F.lit(float(n))
+    pn = F.col("__pk_a") + i.cast("double") * hn
     pd = i.cast("double") * hd
-    e = live.select(*keys, "_a", "_cap", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_i"), "_d1", "_d2")
-    terms = e.select(*keys, hn.alias("_hn"), hd.alias("_hd"),
-                     (w * F.pow(F.cos(pn), F.col("_d2") - 1.0) * F.pow(F.sin(pn), F.col("_d1") - 1.0)).alias("_tn"),
-                     (w * F.pow(F.cos(pd), F.col("_d2") - 1.0) * F.pow(F.sin(pd), F.col("_d1") - 1.0)).alias("_td"))
-    s = terms.groupBy(*keys).agg((F.sum("_tn") * F.first("_hn") / (F.sum("_td") * F.first("_hd"))).alias("_p"))
-    p = (F.when(~F.col("_ok"), F.lit(None).cast("double")).when(F.col("_a") >= F.col("_cap"), F.lit(0.0))
-         .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_p")))))
-    pv = g.join(s, keys, "left").select(*keys, p.alias(out))
-    return df.join(pv, keys, "left")
+    tn = w * F.pow(F.cos(pn), F.col("__pk_d2") - 1.0) * F.pow(F.sin(pn), F.col("__pk_d1") - 1.0)
+    td = w * F.pow(F.cos(pd), F.col("__pk_d2") - 1.0) * F.pow(F.sin(pd), F.col("__pk_d1") - 1.0)
+    s = e.groupBy(*keys).agg(*[F.first(c).alias(c) for c in cols],
+                             F.first("__pk_ok").alias("__pk_ok"), F.first("__pk_a").alias("__pk_a"), F.first("__pk_cap").alias("__pk_cap"),
+                             (F.sum(tn) * F.first(hn) / (F.sum(td) * F.first(hd))).alias("__pk_p"))
+    p = (F.when(~F.coalesce(F.col("__pk_ok"), F.lit(False)), F.lit(None).cast("double"))
+         .when(F.col("__pk_a") >= F.col("__pk_cap"), F.lit(0.0))
+         .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__pk_p")))))
+    return s.select(*keys, *cols, p.alias(out))
 
 
 def with_t_sf2(df, keys: list[str], t, dfree, out: str = "p_value", n: int = N_INTERVALS):
