@@ -153,9 +153,17 @@ def align_on_index(a: DataFrame, b: DataFrame, key: str = "row_id", how: str = "
     return a.join(b, key, how)
 
 
+def dedup_keep_first(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Whole-row distinct over the non-key columns keeping the smallest key
+    (deterministic, unlike an arbitrary surviving row); one hash aggregation."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(*rest).agg(F.min(key).alias(key)).select(*df.columns)
+
+
 def clean_data(df: DataFrame, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """dedup → numeric imputation policy → categorical mode → IQR capping."""
-    d = df.dropDuplicates([c for c in df.columns if c != key])
+    """dedup → numeric imputation policy → categorical mode → IQR capping (every
+    numeric column, the target included, as in the reference)."""
+    d = dedup_keep_first(df, key)
     d, _ = impute_policy(d, key=key)
     cats = categorical_columns(d, exclude=(key,))
     if cats:

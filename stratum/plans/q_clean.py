@@ -274,3 +274,36 @@ def q_parse_scaled_answer(spark, sf):
                     D.scaled_answer("Financial_Stress").alias("fin_map"),
                     D.leading_int("Depression_Score").alias("dep_int"),
                     D.leading_int("Anxiety_Score").alias("anx_int"))
+
+
+_CLEAN_NUM = ["c_acctbal", "n_orders", "avg_price", "label"]
+
+
+def _clean_sql():
+    # dedup (smallest key) → mean / median imputation by null share → mode → IQR caps on every numeric column
+    imp = {
+        "c_acctbal": "coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM d))",
+        "n_orders": "CAST(n_orders AS DOUBLE)",
+        "avg_price": "coalesce(avg_price, (SELECT quantile_cont(avg_price, 0.5) FROM d))",
+        "label": "CAST(label AS DOUBLE)",
+    }
+    qs = ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in _CLEAN_NUM)
+    cl = ", ".join(f"least(greatest({c}, a_{c} - 1.5 * (b_{c} - a_{c})), b_{c} + 1.5 * (b_{c} - a_{c})) AS {c}"
+                   for c in _CLEAN_NUM)
+    return f"""WITH d AS (SELECT min(row_id) AS row_id, c_acctbal, n_orders, avg_price, c_mktsegment, r_name, label
+                         FROM people_nulls GROUP BY ALL),
+        i AS (SELECT row_id, {imp['c_acctbal']} AS c_acctbal, {imp['n_orders']} AS n_orders,
+                     {imp['avg_price']} AS avg_price,
+                     coalesce(c_mktsegment, (SELECT c_mktsegment FROM d WHERE c_mktsegment IS NOT NULL
+                                             GROUP BY 1 ORDER BY count(*) DESC, c_mktsegment LIMIT 1)) AS c_mktsegment,
+                     r_name, {imp['label']} AS label FROM d),
+        q AS (SELECT {qs} FROM i)
+        SELECT row_id, {cl.replace(' AS n_orders', ' AS n_orders').replace(' AS label', ' AS label')}, c_mktsegment, r_name
+        FROM i, q"""
+
+
+@register("clean_data", uses=("people_nulls",), dbl=tuple(_CLEAN_NUM), sql=_clean_sql())
+def q_clean_data(spark, sf):
+    """The reference's cleaning chain: dedup → imputation policy → mode → IQR capping."""
+    out, _ = C.clean_data(bd.people_nulls(spark, sf))
+    return out.select("row_id", *[F.col(c).cast("double").alias(c) for c in _CLEAN_NUM], "c_mktsegment", "r_name")

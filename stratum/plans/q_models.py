@@ -202,3 +202,20 @@ def q_model_store(spark, sf):
     m = H.fit_pipeline(d, DOC_NUM, H.clf_forest(num_trees=10, max_depth=6))
     path = model_store(m, scratch_path(spark, "model"))
     return H.predict(model_load(path), d)
+
+
+@register("workflow_balancing_contest")
+def q_workflow_balancing_contest(spark, sf):
+    """Pipeline 1: split → three balancers on training rows → forest each → comparison (long)."""
+    from stratum.plans.workflows import balancing_contest
+
+    _, long, _ = balancing_contest(_docs(spark, sf), DOC_NUM)
+    return long
+
+
+@register("workflow_choice")
+def q_workflow_choice(spark, sf):
+    from stratum.plans.workflows import balancing_contest
+
+    _, _, choice = balancing_contest(_docs(spark, sf), DOC_NUM)
+    return choice

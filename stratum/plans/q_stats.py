@@ -197,3 +197,18 @@ def q_top_k_significant(spark, sf):
     """Top-10 significant features by p-value (a top-k report: the limit is the feature)."""
     w = S.welch_ttest_features(bd.vecs(spark, sf), "binary", VEC)
     return w.where("significant").orderBy("p_value", "feature").limit(10).select("feature", "p_value", "effect_size")
+
+
+@register("significance_report", uses=("docs", "scores"),
+          dbl=("accuracy", "accuracy_ci_lower", "accuracy_ci_upper", "baseline", "t_statistic_vs_baseline",
+               "p_value_vs_baseline"),
+          sql=f"""SELECT s.n_features, s.n_significant, s.n_bonferroni, b.* FROM
+    (SELECT count(*) AS n_features, CAST(sum(CAST(significant AS INTEGER)) AS BIGINT) AS n_significant,
+            CAST(sum(CAST(bonferroni_significant AS INTEGER)) AS BIGINT) AS n_bonferroni
+     FROM ({_welch_sql("docs", "label", DOC_NUM)}) w) s,
+    ({_boot_sql()}) b""")
+def q_significance_report(spark, sf):
+    """Pipeline 2 summary: feature t-tests + bootstrap interval vs the majority baseline."""
+    from stratum.plans.workflows import significance_report
+
+    return significance_report(bd.scores(spark, sf), bd.docs(spark, sf), DOC_NUM, "label")
