@@ -45,6 +45,11 @@ def scratch_dir(spark: SparkSession) -> str:
     local runs) a fresh folder is created and registered as the checkpoint dir.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # pragma: no cover - connect sessions have no sparkContext
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="stratum-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
