@@ -52,8 +52,11 @@ def scratch_dir(spark: SparkSession) -> str:
             d = None
     if not d:
         d = tempfile.mkdtemp(prefix="stratum-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # some deployments reject setting core confs at runtime
+            pass
     else:
         try:
             if spark.sparkContext.getCheckpointDir() is None:
