@@ -158,11 +158,18 @@ def category_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> DataFrame:
     """Per group: q1, median, q3, whiskers (extreme data inside 1.5·IQR) and the
-    number of points beyond them."""
+    number of points beyond them.  Quartiles are exact per group without a
+    per-group task (``grouped_exact_quantiles``), or sketches with ``approx``."""
+    from stratum.operators.quantiles import grouped_exact_quantiles
+
     x = F.col(value).cast("double")
-    q = (df.where(x.isNotNull()).groupBy(group)
-         .agg(_quantiles(value, (0.25, 0.5, 0.75), approx).alias("_q"))
-         .select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    if approx:
+        q = (df.where(x.isNotNull()).groupBy(group)
+             .agg(_quantiles(value, (0.25, 0.5, 0.75), True).alias("_q"))
+             .select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    else:
+        q = grouped_exact_quantiles(df, group, value, [0.25, 0.5, 0.75]).select(
+            group, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     j = df.where(x.isNotNull()).select(group, x.alias("_v")).join(q, group)

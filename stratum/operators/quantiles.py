@@ -150,3 +150,43 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], small_di
             res.append(_interp(value[(c, math.floor(pos))], value[(c, math.ceil(pos))], pos))
         out[c] = res
     return out
+
+
+def grouped_exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float],
+                            n_ranges: int = 256) -> DataFrame:
+    """(group, q0, q1, …) exact per-group quantiles without a per-group task.
+
+    Rows collapse to (group, value, count) with a partial aggregation (a hot
+    value costs one row); running counts per group come from
+    ``running_totals`` (value ranges split a hot group over many tasks); the
+    value covering rank r is the one with cum − count ≤ r < cum.  Only the
+    ≤ 2·len(probs) covering rows per group are aggregated at the end."""
+    from stratum.operators.windows import running_totals
+
+    x = F.col(value).cast("double")
+    g = df.where(x.isNotNull() & F.col(group).isNotNull()).groupBy(group, x.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    c = running_totals(g, "_v", ["_c"], by=[group], n_ranges=n_ranges)
+    n = c.groupBy(group).agg(F.max("cum__c").alias("_n"))
+    c = c.join(n, group)
+    lo_prev = F.col("cum__c") - F.col("_c")
+    aggs = []
+    for k, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        rlo, rhi = F.floor(pos), F.ceil(pos)
+        cov = lambda r: (lo_prev <= r) & (r < F.col("cum__c"))
+        aggs += [F.max(F.when(cov(rlo), F.col("_v"))).alias(f"_lo{k}"), F.max(F.when(cov(rhi), F.col("_v"))).alias(f"_hi{k}"),
+                 F.first(pos).alias(f"_pos{k}")]
+    cond = F.lit(False)
+    for p in probs:
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        for r in (F.floor(pos), F.ceil(pos)):
+            cond = cond | ((lo_prev <= r) & (r < F.col("cum__c")))
+    s = c.where(cond).groupBy(group).agg(*aggs)
+    outs = []
+    for k, _ in enumerate(probs):
+        lo_v, hi_v, pos = F.col(f"_lo{k}"), F.col(f"_hi{k}"), F.col(f"_pos{k}")
+        q = F.when((lo_v == hi_v) | (pos == F.floor(pos)), lo_v).otherwise(
+            (F.ceil(pos) - pos) * lo_v + (pos - F.floor(pos)) * hi_v)
+        outs.append(q.alias(f"q{k}"))
+    return s.select(group, *outs)

@@ -43,10 +43,11 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
     t = df.withColumn("_rid", rid)
     tot = t.groupBy(*by, "_rid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wpre = Window.partitionBy(*by).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    # at most |by| × n_ranges rows: this window and broadcast are size-bounded
     off = tot.select(*by, "_rid", *[F.coalesce(F.sum(f"_t_{c}").over(wpre), F.lit(0)).alias(f"_o_{c}")
                                     for c in sum_cols])
-    t = t.join(F.broadcast(off), [*by, "_rid"])
+    # without groups the offset table has ≤ n_ranges rows: a proven broadcast bound;
+    # with groups it has |groups| × n_ranges rows and AQE chooses the join at run time
+    t = t.join(F.broadcast(off) if not by else off, [*by, "_rid"])
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*by, "_rid").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
     return t.select(*[c for c in t.columns if not c.startswith("_o_") and c != "_rid"],

@@ -83,3 +83,19 @@ def test_exact_quantiles_distributed_path_equals_percentile(spark):
     got = exact_quantiles(df, ["x"], probs, small_distinct=100, max_collect=50, bins=64)["x"]
     ref = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0])
     assert got == ref
+
+
+def test_grouped_exact_quantiles_equal_percentile(spark):
+    from stratum.operators.quantiles import grouped_exact_quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [(("hot" if i % 3 else f"g{i % 7}"), float(np.round(rng.lognormal(), 3)) if i % 5 else 1.0)
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.25, 0.5, 0.75, 0.9]
+    got = {r["g"]: [r[f"q{k}"] for k in range(4)] for r in grouped_exact_quantiles(df, "g", "v", probs, 16).collect()}
+    ref = {r["g"]: list(r["q"]) for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    assert got.keys() == ref.keys()
+    for g in ref:
+        assert got[g] == pytest.approx(ref[g], rel=1e-12)
