@@ -20,10 +20,16 @@ def accuracy(df: DataFrame, y="y", yhat="yhat", by: list[str] | None = None) ->
     return df.groupBy(*by).agg(F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("accuracy"))
 
 
+MAX_CLASSES = 1000
+
+
 def _labels(df: DataFrame, y: str, yhat: str) -> list:
-    """Class levels (a bounded list: the label domain)."""
+    """Class levels (the label domain; refused beyond ``MAX_CLASSES``)."""
     a = df.select(F.col(y).alias("l")).union(df.select(F.col(yhat).alias("l"))).distinct()
-    return sorted(r["l"] for r in a.collect() if r["l"] is not None)
+    got = a.limit(MAX_CLASSES + 1).collect()
+    if len(got) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: not a classification label")
+    return sorted(r["l"] for r in got if r["l"] is not None)
 
 
 def confusion_matrix(df: DataFrame, y="y", yhat="yhat", labels: list | None = None) -> DataFrame:

@@ -17,9 +17,15 @@ from stratum.operators.windows import hash_rank
 from stratum.session import cut_lineage
 
 
+MAX_CLASSES = 1000
+
+
 def _class_counts(df: DataFrame, label: str) -> dict:
-    """Class sizes (a bounded table: the label domain)."""
-    return {r[label]: r["c"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).collect()}
+    """Class sizes (the label domain; refused beyond ``MAX_CLASSES``)."""
+    got = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).limit(MAX_CLASSES + 1).collect()
+    if len(got) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}: not a class label")
+    return {r[label]: r["c"] for r in got}
 
 
 def _per_class_lit(counts: dict, label: str, fn):
