@@ -32,30 +32,38 @@ def _labels(df: DataFrame, y: str, yhat: str) -> list:
     return sorted(r["l"] for r in got if r["l"] is not None)
 
 
+def _cells(df: DataFrame, y: str, yhat: str) -> DataFrame:
+    """(actual, predicted, count) for the non-empty cells: one partial aggregation
+    whose output is bounded by classes²."""
+    return (df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
+            .groupBy(F.col(y).alias("actual"), F.col(yhat).alias("predicted")).agg(F.count(F.lit(1)).alias("count")))
+
+
 def confusion_matrix(df: DataFrame, y="y", yhat="yhat", labels: list | None = None) -> DataFrame:
-    """Long confusion table (actual, predicted, count) with zero cells kept; one pass."""
+    """Long confusion table (actual, predicted, count) with zero cells kept."""
     labels = labels if labels is not None else _labels(df, y, yhat)
-    cells = [(a, p) for a in labels for p in labels]
-    one = df.agg(*[F.sum(((F.col(y) == a) & (F.col(yhat) == p)).cast("long")).alias(f"c{i}")
-                   for i, (a, p) in enumerate(cells)])
-    arr = F.array(*[F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"),
-                             F.coalesce(F.col(f"c{i}"), F.lit(0).cast("long")).alias("count"))
-                    for i, (a, p) in enumerate(cells)])
-    return one.select(F.inline(arr))
+    spark = df.sparkSession
+    lv = F.array(*[F.lit(v) for v in labels])
+    # the label grid is generated from the bounded label list (no join of two tables)
+    grid = spark.range(1).select(F.explode(lv).alias("actual")).select("actual", F.explode(lv).alias("predicted"))
+    return grid.join(_cells(df, y, yhat), ["actual", "predicted"], "left").select(
+        "actual", "predicted", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
 def _per_class(df: DataFrame, y: str, yhat: str, labels: list) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(labels):
-        aggs += [F.sum(((F.col(y) == c) & (F.col(yhat) == c)).cast("long")).alias(f"tp{i}"),
-                 F.sum(((F.col(y) != c) & (F.col(yhat) == c)).cast("long")).alias(f"fp{i}"),
-                 F.sum(((F.col(y) == c) & (F.col(yhat) != c)).cast("long")).alias(f"fn{i}"),
-                 F.sum((F.col(y) == c).cast("long")).alias(f"sup{i}")]
-    one = df.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(str(c)).alias("class"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"),
-                             F.col(f"fn{i}").alias("fn"), F.col(f"sup{i}").alias("support"), F.col("_n").alias("n"))
-                    for i, c in enumerate(labels)])
-    t = one.select(F.inline(arr))
+    """(class, tp, fp, fn, support, n, precision, recall, f1) from the cell counts."""
+    c = _cells(df, y, yhat)
+    spark = df.sparkSession
+    lv = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in labels])).alias("cls"))
+    tp = c.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("count").alias("tp"))
+    sup = c.groupBy(F.col("actual").alias("cls")).agg(F.sum("count").alias("support"))
+    pred = c.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("npred"))
+    n = df.agg(F.count(F.lit(1)).alias("n"))
+    t = (lv.join(tp, "cls", "left").join(sup, "cls", "left").join(pred, "cls", "left")
+         .select("cls", *[F.coalesce(F.col(k), F.lit(0).cast("long")).alias(k) for k in ("tp", "support", "npred")]))
+    t = t.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    t = t.select(F.col("cls").cast("string").alias("class"), "tp", (F.col("npred") - F.col("tp")).alias("fp"),
+                 (F.col("support") - F.col("tp")).alias("fn"), "support", "n")
     prec = F.coalesce(safe_div("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(safe_div("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
     t = t.select("*", prec.alias("precision"), rec.alias("recall"))
