@@ -120,3 +120,29 @@ def q_summary_report(spark, sf):
     FROM (SELECT y, count(*) AS c FROM scores GROUP BY y)""")
 def q_majority_baseline(spark, sf):
     return I.majority_baseline(bd.scores(spark, sf))
+
+
+def _members(spark, sf):
+    """Three deterministic member probabilities per document (fixed logistic forms)."""
+    d = bd.docs(spark, sf)
+    sig = lambda z: F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6)
+    base = d.select("row_id", F.col("label").alias("y"),
+                    sig(F.lit(2.0) - F.lit(25.0) * F.col("upper_share")
+                        + F.lit(0.3) * (F.log(F.col("n_chars")) - F.lit(7.3))).alias("m1"),
+                    sig(F.lit(1.0) - F.lit(30.0) * F.col("upper_share")).alias("m2"),
+                    sig(F.lit(0.5) * (F.log(F.col("n_chars")) - F.lit(7.0))).alias("m3"))
+    return [base.select("row_id", "y", F.col(m).alias("p1")) for m in ("m1", "m2", "m3")]
+
+
+@register("vote_soft_scores", uses=("docs",), dbl=("p1",), sql="""
+    SELECT row_id, y, CAST(p1 > 0.5 AS INTEGER) AS yhat, p1 FROM (
+      SELECT row_id, label AS y,
+             (round(1.0 / (1.0 + exp(-(2.0 - 25.0 * upper_share + 0.3 * (ln(n_chars) - 7.3)))), 6)
+              + round(1.0 / (1.0 + exp(-(1.0 - 30.0 * upper_share))), 6)
+              + round(1.0 / (1.0 + exp(-(0.5 * (ln(n_chars) - 7.0)))), 6)) / 3.0 AS p1
+      FROM docs)""")
+def q_vote_soft_scores(spark, sf):
+    """Soft vote of three fixed member probabilities (class 1 iff mean > 0.5)."""
+    from stratum.operators.models import vote_soft
+
+    return vote_soft(_members(spark, sf))
