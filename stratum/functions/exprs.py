@@ -45,3 +45,18 @@ def categorical_columns(df, exclude=()) -> list[str]:
 def stack(pairs: list[tuple[str, Column]], name_col: str = "column", value_col: str = "value") -> Column:
     """array<struct<name,value>> for unpivoting a wide one-row aggregate; use with F.inline."""
     return F.array(*[F.struct(F.lit(n).alias(name_col), v.alias(value_col)) for n, v in pairs])
+
+
+def merge_one_row(*frames):
+    """Combine one-row result frames side by side without a join: each row is
+    fetched (bounded: one row) and a single row is rebuilt with the union of
+    the schemas."""
+    from pyspark.sql.types import StructType
+
+    spark = frames[0].sparkSession
+    fields, values = [], []
+    for f in frames:
+        r = f.first()
+        fields += list(f.schema.fields)
+        values += list(r) if r is not None else [None] * len(f.schema.fields)
+    return spark.createDataFrame([tuple(values)], StructType(fields))

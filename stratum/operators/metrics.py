@@ -8,10 +8,10 @@ window).  Every metric accepts ``by`` to evaluate many methods in one pass.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.functions.exprs import safe_div, stack
+from stratum.functions.exprs import merge_one_row, safe_div, stack
 from stratum.operators.windows import running_totals
 
 
@@ -58,12 +58,12 @@ def _per_class(df: DataFrame, y: str, yhat: str, labels: list) -> DataFrame:
     tp = c.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("count").alias("tp"))
     sup = c.groupBy(F.col("actual").alias("cls")).agg(F.sum("count").alias("support"))
     pred = c.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("npred"))
-    n = df.agg(F.count(F.lit(1)).alias("n"))
     t = (lv.join(tp, "cls", "left").join(sup, "cls", "left").join(pred, "cls", "left")
          .select("cls", *[F.coalesce(F.col(k), F.lit(0).cast("long")).alias(k) for k in ("tp", "support", "npred")]))
-    t = t.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # n = all scored rows: the sum of the (non-null) cell counts, as a window over ≤ classes rows
+    n = F.sum("support").over(Window.partitionBy(F.lit(0)))
     t = t.select(F.col("cls").cast("string").alias("class"), "tp", (F.col("npred") - F.col("tp")).alias("fp"),
-                 (F.col("support") - F.col("tp")).alias("fn"), "support", "n")
+                 (F.col("support") - F.col("tp")).alias("fn"), "support", n.alias("n"))
     prec = F.coalesce(safe_div("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(safe_div("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
     t = t.select("*", prec.alias("precision"), rec.alias("recall"))
@@ -157,8 +157,5 @@ def majority_baseline(df: DataFrame, y="y") -> DataFrame:
 
 def summary_report(df: DataFrame, y="y", yhat="yhat", score="score") -> DataFrame:
     """One combined row: n, accuracy, roc_auc, pr_auc, majority baseline."""
-    acc = df.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("accuracy"),
-                 F.lit(1).alias("_k"))
-    cur = curve_areas(df, y, score).withColumn("_k", F.lit(1))
-    base = majority_baseline(df, y).withColumn("_k", F.lit(1))
-    return acc.join(cur, "_k").join(base, "_k").select("n", "accuracy", "roc_auc", "pr_auc", "baseline")
+    acc = df.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("accuracy"))
+    return merge_one_row(acc, curve_areas(df, y, score), majority_baseline(df, y).select("baseline"))

@@ -103,9 +103,10 @@ def q_cv_summary(spark, sf):
 
 
 def _metrics_row(pred, name):
-    acc = I.accuracy(pred).withColumn("_k", F.lit(1))
-    cur = I.curve_areas(pred, "y", "p1").withColumn("_k", F.lit(1))
-    return acc.join(cur, "_k").select(F.lit(name).alias("dataset"), "accuracy", "roc_auc", "pr_auc")
+    from stratum.functions.exprs import merge_one_row
+
+    row = merge_one_row(I.accuracy(pred), I.curve_areas(pred, "y", "p1"))
+    return row.select(F.lit(name).alias("dataset"), "accuracy", "roc_auc", "pr_auc")
 
 
 @register("train_eval_resampled")

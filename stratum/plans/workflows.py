@@ -18,6 +18,7 @@ from stratum.operators import metrics as I
 from stratum.operators import models as H
 from stratum.operators import sampling as G
 from stratum.operators import stats as S
+from stratum.functions.exprs import merge_one_row
 from stratum.session import cut_lineage
 
 ORDER = ["undersampled", "smote", "smote_tomek"]
@@ -56,5 +57,4 @@ def significance_report(scored: DataFrame, features: DataFrame, feats: list[str]
                 F.sum(F.col("significant").cast("int")).alias("n_significant"),
                 F.sum(F.col("bonferroni_significant").cast("int")).alias("n_bonferroni"))
     b = S.bootstrap_ci(scored, n_boot=n_boot, seed=seed)
-    # one row each: an equi-join on a constant key
-    return sig.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return merge_one_row(sig, b)
