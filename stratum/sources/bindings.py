@@ -53,18 +53,29 @@ def people_nulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    """documents ⋈ labels with per-document text statistics (whole texts)."""
+    """documents ⋈ labels with per-document text statistics (whole texts).
+
+    The statistics are computed map-side on the documents scan first, so the
+    join shuffles a few numbers per document instead of the texts."""
     d = read_table(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
-    lab = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
-    j = d.join(lab, "doc_id")
     n = F.col("n_chars").cast("double")
-    return j.select(
-        F.col("doc_id").alias("row_id"),
-        n.alias("n_chars"),
-        F.regexp_count("text", F.lit(WS_TOKEN)).cast("double").alias("n_words"),
-        F.try_divide(F.regexp_count("text", F.lit("[0-9]")).cast("double"), n).alias("digit_share"),
-        F.try_divide(F.regexp_count("text", F.lit("[A-Z]")).cast("double"), n).alias("upper_share"),
-        "lang", "source", "quality", "toxic", F.col("quality").alias("label"))
+    t = F.col("text")
+
+    def n_matches(char_class: str):
+        # characters removed by deleting a single-character class = its match count (no match arrays)
+        return (F.length(t) - F.length(F.regexp_replace(t, char_class, ""))).cast("double")
+
+    # tokens: each whitespace-free run becomes one 'x', then whitespace is dropped
+    n_tokens = F.length(F.regexp_replace(F.regexp_replace(t, WS_TOKEN, "x"), r"[ \t\n\r]+", "")).cast("double")
+    stats = d.select(
+        "doc_id", n.alias("n_chars"), n_tokens.alias("n_words"),
+        F.try_divide(n_matches("[0-9]"), n).alias("digit_share"),
+        F.try_divide(n_matches("[A-Z]"), n).alias("upper_share"),
+        "lang", "source")
+    lab = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
+    j = stats.join(lab, "doc_id")
+    return j.select(F.col("doc_id").alias("row_id"), "n_chars", "n_words", "digit_share", "upper_share",
+                    "lang", "source", "quality", "toxic", F.col("quality").alias("label"))
 
 
 def vecs(spark: SparkSession, sf: str) -> DataFrame:
