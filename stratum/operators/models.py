@@ -212,3 +212,36 @@ def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], est, rep
             folds = cross_validate(d, feats, est, "label", k, r, key).collect()
             rows += [(method, r, f["fold"], f["accuracy"]) for f in folds]
     return spark.createDataFrame(rows, "method string, repeat int, fold int, accuracy double")
+
+
+def reference_grids(n_features: int, n_rows: int) -> dict:
+    """The five tuning grids of the reference mapped onto Spark ML params.
+
+    Dropped (no Spark equivalent): forest ``min_samples_split``; SVM ``gamma``
+    (the RBF map is fixed) and the kernel choice (a separate pipeline); MLP
+    ``alpha`` and learning-rate schedule.  ``max_depth=None`` → Spark's max 30.
+    Returns {family: (estimator, {param: values})}."""
+    n = max(n_rows, 1)
+    return {
+        "forest": (clf_forest(), {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}),
+        "gbt": (clf_gbt(), {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]}),
+        "svm": (clf_svm("poly", n=n), {"regParam": [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]}),
+        "mlp": (clf_mlp(n_features), {"layers": [[n_features, 50, 2], [n_features, 100, 2], [n_features, 50, 50, 2]]}),
+        "boosted_deep": (clf_boosted_deep(), {"maxIter": [100, 200], "maxDepth": [3, 5, 7],
+                                              "stepSize": [0.05, 0.1, 0.2]}),
+    }
+
+
+def tune_families(df: DataFrame, feats: list[str], grids: dict, label: str = "label", folds: int = 3,
+                  seed: int = 0):
+    """Grid-search every family on the same hash folds; returns (best models by
+    family, table (family, params, mean_accuracy, is_best)); the overall best
+    single model is the strictly highest mean accuracy (first family wins ties)."""
+    best, rows = {}, []
+    for fam, (est, grid) in grids.items():
+        m, tab = grid_search(df, feats, est, grid, label, folds, seed)
+        best[fam] = m
+        top = max(r["mean_accuracy"] for r in tab.collect())
+        rows += [(fam, r["params"], float(r["mean_accuracy"]), r["mean_accuracy"] == top) for r in tab.collect()]
+    spark = df.sparkSession
+    return best, spark.createDataFrame(rows, "family string, params string, mean_accuracy double, is_best boolean")

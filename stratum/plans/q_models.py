@@ -220,3 +220,13 @@ def q_workflow_choice(spark, sf):
 
     _, _, choice = balancing_contest(_docs(spark, sf), DOC_NUM)
     return choice
+
+
+@register("tune_families")
+def q_tune_families(spark, sf):
+    """Per-family grid search on shared hash folds (small grids here; the
+    reference grids are ``models.reference_grids``)."""
+    grids = {"forest": (H.clf_forest(num_trees=10), {"maxDepth": [4, 8]}),
+             "gbt": (H.clf_gbt(max_iter=5), {"stepSize": [0.05, 0.1]})}
+    _, tab = H.tune_families(_docs(spark, sf), DOC_NUM, grids, folds=3)
+    return tab
