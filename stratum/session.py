@@ -21,7 +21,7 @@ _LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.driver.memory": os.environ.get("STRATUM_DRIVER_MEMORY", "6g"),
+    "spark.driver.memory": os.environ.get("STRATUM_DRIVER_MEMORY", "12g"),
 }
 
 
