@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.exprs import safe_div, stack
 from stratum.functions.hashing import hash_uniform
-from stratum.functions.pvalue import f_sf, t_sf2, with_f_sf, with_t_sf2
+from stratum.functions.pvalue import t_sf2, with_f_sf, with_t_sf2
 
 WIDE_LIMIT = 40  # above this many columns, correlation goes through ml.stat.Correlation
 

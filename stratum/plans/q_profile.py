@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from stratum.operators import analytics as J
 from stratum.operators import profile as B
 from stratum.plans.catalog import register

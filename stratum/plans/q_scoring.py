@@ -4,7 +4,6 @@ sequence decoding and the streaming scorer (K)."""
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import functions as F
 

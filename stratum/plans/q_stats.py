@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from stratum.functions.hashing import hash_uniform_sql
 from stratum.functions.pvalue import f_sf_sql, t_sf2_sql
 from stratum.operators import stats as S
