@@ -251,15 +251,25 @@ def bootstrap_replicas_cells(df: DataFrame, y: str = "y", yhat: str = "yhat", n_
     return reps.mapInPandas(draw, "replica long, accuracy double")
 
 
+ROW_REPLICA_LIMIT = 2_000_000_000  # rows × replicas above which "auto" switches to the cell path
+
+
 def bootstrap_ci(df: DataFrame, key: str = "row_id", y: str = "y", yhat: str = "yhat", n_boot: int = 1000,
-                 seed: int = 42, alpha: float = 0.05, method: str = "rows") -> DataFrame:
+                 seed: int = 42, alpha: float = 0.05, method: str = "auto") -> DataFrame:
     """accuracy, percentile CI of replica accuracies, majority baseline, and the
-    one-sample t of the replicas against the baseline."""
+    one-sample t of the replicas against the baseline.
+
+    ``method``: "rows" (hash-seeded Poisson weight per row and replica, exact
+    and reproducible value by value), "cells" (O(replicas), same distribution)
+    or "auto" (rows while rows × replicas ≤ ``ROW_REPLICA_LIMIT``)."""
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("a")).first()
+    acc = st["a"]
+    if method == "auto":
+        method = "rows" if (st["n"] or 0) * n_boot <= ROW_REPLICA_LIMIT else "cells"
     reps = (bootstrap_replicas(df, key, y, yhat, n_boot, seed) if method == "rows"
             else bootstrap_replicas_cells(df, y, yhat, n_boot, seed))
     base = df.groupBy(F.col(y).alias("cls")).agg(F.count(F.lit(1)).alias("c")).agg(
         (F.max("c") / F.sum("c")).alias("baseline")).first()["baseline"]
-    acc = df.agg(F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("a")).first()["a"]
     s = reps.agg(F.percentile("accuracy", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"),
                  F.avg("accuracy").alias("m"), F.stddev_samp("accuracy").alias("sd"), F.count("accuracy").alias("n"))
     t = F.try_divide(F.col("m") - F.lit(base), F.col("sd") / F.sqrt("n"))
