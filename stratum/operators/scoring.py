@@ -176,9 +176,12 @@ EVENT_EMISSIONS = {
 }
 
 
+MAX_SEQUENTIAL = 1_000_000  # events per key folded in one task; beyond: viterbi_decode_long
+
+
 def viterbi_decode(obs: DataFrame, key: str, order: list[str], symbol: str, states=FX.STATES,
                    trans=FX.TRANSITIONS, emis=EVENT_EMISSIONS, initial_from: str = "Low",
-                   unknown: float = FX.UNKNOWN_EMISSION) -> DataFrame:
+                   unknown: float = FX.UNKNOWN_EMISSION, max_sequential: int = MAX_SEQUENTIAL) -> DataFrame:
     """Most likely hidden-state path per key (log space).  Initial scores use the
     transition row of ``initial_from``; an unseen symbol has emission ``unknown``;
     ties go to the lexicographically largest state.
@@ -186,6 +189,9 @@ def viterbi_decode(obs: DataFrame, key: str, order: list[str], symbol: str, stat
     Per key the ordered observations are folded with ``aggregate`` carrying the
     three scores and back-pointers; the path is recovered by a second fold over
     the reversed pointers.  Output: key, n_obs, log_prob, path (comma-joined)."""
+    longest = obs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if longest > max_sequential:
+        raise ValueError(f"a key holds {longest} events; use sequence.viterbi_decode_long (max-plus segments)")
     S = list(states)
     lt = [[math.log(trans[a][b]) for b in S] for a in S]
     lunk = math.log(unknown)
