@@ -176,7 +176,9 @@ EVENT_EMISSIONS = {
 }
 
 
-MAX_SEQUENTIAL = 1_000_000  # events per key folded in one task; beyond: viterbi_decode_long
+# events per key folded in one task: the fold appends back-pointers to an
+# immutable array (O(T²) copying), so beyond this use viterbi_decode_long
+MAX_SEQUENTIAL = 100_000
 
 
 def viterbi_decode(obs: DataFrame, key: str, order: list[str], symbol: str, states=FX.STATES,
