@@ -125,11 +125,14 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                       F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
 
 
-def kde_grid(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
+def kde_grid(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, prebin: int | None = None) -> DataFrame:
     """Gaussian KDE on a ``grid``-point grid spanning [min - cut·bw, max + cut·bw],
     Scott bandwidth std·n^(-1/5).  Rows are first collapsed to distinct values
     (exact), then each distinct value contributes to every grid point and a
-    partial aggregation sums per grid point, so the shuffle is grid-sized."""
+    partial aggregation sums per grid point, so the shuffle is grid-sized.
+    ``prebin=B`` (opt-in, for continuous columns with ~n distinct values)
+    replaces each value by the centre of its bin among B equal-width bins
+    first: work O(grid × B), position error ≤ half a bin width."""
     x = F.col(col).cast("double")
     p = _scalars(df, F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
     n, sd, mn, mx = p["n"], p["sd"], p["mn"], p["mx"]
@@ -139,7 +142,11 @@ def kde_grid(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> Data
     bw = sd * n ** (-0.2)
     lo, hi = mn - cut * bw, mx + cut * bw
     step = (hi - lo) / (grid - 1)
-    distinct = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    v = x
+    if prebin and mx > mn:
+        bw_bin = (mx - mn) / prebin
+        v = F.lit(mn) + (F.least(F.floor((x - F.lit(mn)) / F.lit(bw_bin)), F.lit(prebin - 1)) + 0.5) * F.lit(bw_bin)
+    distinct = df.where(x.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     g = F.col("point").cast("double") * F.lit(step) + F.lit(lo)
     contrib = (distinct.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
                .select("point", (F.col("c") * F.exp(F.lit(-0.5) * F.pow((g - F.col("v")) / F.lit(bw), 2))).alias("k")))

@@ -100,3 +100,13 @@ def test_scaled_answers(spark):
     r = df.select(D.scaled_answer("v").alias("m"), D.leading_int("v").alias("i")).collect()
     assert [x["m"] for x in r] == [3, 0, 0]
     assert [x["i"] for x in r] == [3, None, None]
+
+
+def test_kde_prebin_close_to_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=3000)], "x double")
+    ex = {r["point"]: r["density"] for r in B.kde_grid(df, "x").collect()}
+    ap = {r["point"]: r["density"] for r in B.kde_grid(df, "x", prebin=2000).collect()}
+    assert max(abs(ex[k] - ap[k]) for k in ex) < 1e-3
