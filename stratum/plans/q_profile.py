@@ -161,3 +161,8 @@ def q_category_counts(spark, sf):
     FROM people p JOIN q ON p.c_mktsegment = q.c_mktsegment GROUP BY 1, 2, 3, 4""")
 def q_box_stats(spark, sf):
     return B.box_stats(bd.people(spark, sf), "c_mktsegment", "c_acctbal")
+
+
+@register("select_by_role_categorical", uses=("people",), sql="SELECT row_id, c_mktsegment, r_name FROM people")
+def q_select_by_role_categorical(spark, sf):
+    return B.select_by_role(bd.people(spark, sf), "categorical")
