@@ -45,11 +45,18 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda's own variable is, while a
+    column named in a lambda may be computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _shingles(words: Column) -> Column:
     """Hashes of all shingles in order; none if there are too few words."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))),
-                                                        lambda i: F.xxhash64(F.slice(h, i, SHINGLE)))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(
+        F.size(h) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1))),
+                                          lambda i: F.xxhash64(F.slice(h, i, SHINGLE)))).otherwise(none))
 
 
 def _id_key(c: Column) -> Column:
