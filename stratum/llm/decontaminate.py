@@ -112,7 +112,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     need = lambda m: F.ceil(F.lit(similarity / (1 + similarity)) * m - F.lit(1e-9)).cast("int")  # noqa: E731  of both sides' shingles
 
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), text_crc(text).alias("_crc"), text.alias("_text"))
+    base = docs.select(_id_key(F.col(f"`{id_col}`")).alias("_id"), text_crc(text).alias("_crc"), text.alias("_text"))
     # 1. seeds: positions of shingles that items have, then the dense places
     seeds = (base.select("_id", "_crc", F.posexplode(_shingles(_words(F.col("_text")))).alias("_p", "_h"))
              .join(_few(item_sh.select("_h", "_item", "_n", "_m"), broadcast_rows), "_h"))
@@ -120,7 +120,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     held = (seeds.groupBy("_id", "_crc", "_item", "_n", "_m").agg(F.sort_array(F.collect_set("_p")).alias("_at")))
     # a document shorter than the item is caught by its own size below, so the bound here allows for it
     held = cut_lineage(held.where(F.size("_at") >= need(F.col("_m"))))
-    same = _id_key(F.col("_id")).eqNullSafe(_id_key(F.col("_hid"))) & (F.col("_crc") == F.col("_hcrc"))
+    same = (F.col("_id") == F.col("_hid")) & (F.col("_crc") == F.col("_hcrc"))
     sizes = base.join(_few(held.select(F.col("_id").alias("_hid"), F.col("_crc").alias("_hcrc")).distinct(), broadcast_rows), same, "left_semi")
     texts = (sizes.dropDuplicates(["_id", "_crc"]).select("_id", "_crc", _words(F.col("_text")).alias("_w"))
              .select("_id", "_crc", F.size("_w").alias("_len"), _shingles(F.col("_w")).alias("_dsh")))
@@ -158,7 +158,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
               .where(F.col("_similarity") >= similarity))
     best = scored.groupBy("_id", "_crc", "_item", "_iid").agg(
         F.max_by(F.struct("_start", F.col("_n").alias("_words"), "_hamming", "_similarity"), F.struct("_similarity", -F.col("_start"))).alias("_b"))
-    return best.select("_id", "_crc", "_iid", F.col("_b._start").alias("_start"), F.col("_b._words").alias("_words"),
+    ident = F.when(F.col("_id") != "n", F.substring("_id", 2, 1 << 30)).cast(docs.schema[id_col].dataType)
+    return best.select(ident.alias("_id"), "_crc", "_iid", F.col("_b._start").alias("_start"), F.col("_b._words").alias("_words"),
                        F.col("_b._hamming").alias("_hamming"), F.col("_b._similarity").alias("_similarity"))
 
 
