@@ -29,10 +29,6 @@ def r(c, digits: int = 6) -> Column:
     return F.round(col(c).cast("double"), digits)
 
 
-def is_numeric_type(dt) -> bool:
-    return isinstance(dt, T.NumericType) and not isinstance(dt, T.DecimalType) or isinstance(dt, T.DecimalType)
-
-
 def numeric_columns(df, exclude=()) -> list[str]:
     """Plan-time role split: numeric columns by schema (no job)."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]

@@ -78,8 +78,12 @@ def impute_mean(df: DataFrame, cols: list[str] | None = None, key: str = "row_id
 def impute_mode(df: DataFrame, cols: list[str] | None = None, key: str = "row_id") -> DataFrame:
     """Categorical fill with the most frequent level; ties → smallest level."""
     cols = cols or categorical_columns(df, exclude=(key,))
-    p = _fit(df, [F.mode(c, deterministic=True).alias(f"m{i}") for i, c in enumerate(cols)])
-    ex = {c: F.coalesce(F.col(c), F.lit(p[f"m{i}"])).alias(c) for i, c in enumerate(cols)}
+    # levels are counted by group (a row per level, on any number of tasks), then the best is taken
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])))
+    n = long.where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("i").agg(F.min(F.struct(-F.col("n"), "v")).alias("b")).select("i", F.col("b.v").alias("v"))
+    p = {r["i"]: r["v"] for r in best.collect()}  # one row per column
+    ex = {c: F.coalesce(F.col(c), F.lit(p.get(i))).alias(c) for i, c in enumerate(cols)}
     return df.select(*[ex.get(c, F.col(c)) for c in df.columns])
 
 

@@ -1,10 +1,9 @@
 """D. Encoders and targets.
 
-Fit = one aggregation that returns level lists / counts for all columns at
-once (level lists are bounded by ``max_levels``, checked before collecting);
-apply = one projection with literal maps, so encodings never need a join.
-Frequency encoding of a column with more levels than the bound falls back to
-an equi-join with the grouped counts (planned by AQE).
+Label and frequency encoding join a grouped level table (any number of levels;
+AQE broadcasts a small one and splits a hot level).  Where levels become columns
+(one-hot) or literals (adaptive), the fit is one aggregation whose level lists
+are bounded by ``max_levels``, checked by sketch before they are collected.
 """
 
 from __future__ import annotations
@@ -25,21 +24,32 @@ def _lit_map(d: dict) -> Column:
 
 
 def fit_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted distinct non-null levels per column; refuses unbounded columns."""
-    nd = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    too_many = [c for i, c in enumerate(cols) if nd[f"d{i}"] > max_levels]
+    """Sorted distinct non-null levels per column; refuses unbounded columns (by a
+    mergeable sketch, with room for its error, so no exact distinct runs first)."""
+    nd = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    too_many = [c for i, c in enumerate(cols) if nd[f"d{i}"] > 1.1 * max_levels]
     if too_many:
         raise ValueError(f"columns {too_many} exceed {max_levels} levels; use frequency_encode")
     row = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"l{i}") for i, c in enumerate(cols)]).first()
     return {c: list(row[f"l{i}"]) for i, c in enumerate(cols)}
 
 
+def _by_level(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """Replace each column by its code, from (level, code) tables of distinct levels."""
+    t = df
+    for i, (c, table) in enumerate(codes.items()):
+        lv = table.select(F.col(table.columns[0]).alias(f"_l{i}"), F.col(table.columns[1]).alias(f"_e{i}"))
+        t = t.join(lv, F.col(c) == F.col(f"_l{i}"), "left")
+    at = {c: F.col(f"_e{i}").alias(c) for i, c in enumerate(codes)}
+    return t.select(*[at.get(c, F.col(c)) for c in df.columns])
+
+
 def label_encode(df: DataFrame, cols: list[str] | None = None, key: str = "row_id") -> DataFrame:
-    """level → 0-based rank among the sorted distinct levels."""
+    """level → 0-based rank among the sorted distinct levels, however many."""
+    from stratum.operators.windows import distinct_rank
+
     cols = cols or categorical_columns(df, exclude=(key,))
-    lv = fit_levels(df, cols)
-    ex = {c: F.try_element_at(_lit_map({v: i for i, v in enumerate(lv[c])}), F.col(c)).alias(c) for c in cols}
-    return df.select(*[ex.get(c, F.col(c)) for c in df.columns])
+    return _by_level(df, {c: distinct_rank(df, c) for c in cols})
 
 
 def ordinal_map(df: DataFrame, maps: dict[str, dict] | None = None) -> DataFrame:
@@ -49,21 +59,11 @@ def ordinal_map(df: DataFrame, maps: dict[str, dict] | None = None) -> DataFrame
     return df.select(*[ex.get(c, F.col(c)) for c in df.columns])
 
 
-def frequency_encode(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> DataFrame:
+def frequency_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """level → relative frequency among non-null values."""
-    out = df
-    tot = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    for i, c in enumerate(cols):
-        n = tot[f"n{i}"] or 1
-        if tot[f"d{i}"] <= max_levels:
-            counts = {r[c]: r["c"] for r in df.where(F.col(c).isNotNull()).groupBy(c).agg(
-                F.count(F.lit(1)).alias("c")).collect()}
-            out = out.withColumn(c, F.try_element_at(_lit_map({k: v / n for k, v in counts.items()}), F.col(c)))
-        else:
-            g = df.groupBy(c).agg((F.count(F.lit(1)) / F.lit(float(n))).alias("_f"))
-            out = out.join(g, c, "left").withColumn(c, F.col("_f")).drop("_f")
-    return out
+    n = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return _by_level(df, {c: df.where(F.col(c).isNotNull()).groupBy(c).agg((F.count(F.lit(1)) / F.lit(float(n[i] or 1))).alias("f"))
+                          for i, c in enumerate(cols)})
 
 
 def one_hot(df: DataFrame, cols: list[str], drop_first: bool = False, levels: dict[str, list] | None = None,
@@ -147,6 +147,6 @@ def scaled_answer(c) -> Column:
 
 
 def leading_int(c) -> Column:
-    """Integer before the first space ('3 (Moderate)' → 3); unparsable → NULL."""
+    """The first run without whitespace as an integer ('3 (Moderate)' → 3); else NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.split(c, " ").getItem(0).try_cast("int")
+    return F.regexp_extract(c, r"^\s*(\S+)", 1).try_cast("int")

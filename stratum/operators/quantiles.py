@@ -1,21 +1,20 @@
 """Exact quantiles (linear interpolation, as pandas / DuckDB ``quantile_cont``)
 without holding a column's distinct values in one task.
 
-Spark's exact ``percentile`` keeps a value→count map that is merged in a
-single task: fine for low-cardinality columns, fatal for 10¹¹ distinct values.
-``exact_quantiles`` therefore
+Spark's exact ``percentile`` keeps a value→count map that is merged in a single
+task: fine for few distinct values, fatal for 10¹¹.  ``exact_quantiles`` takes
+one path at every size:
 
-1. estimates the distinct count (HLL sketch) and, below ``small_distinct``,
-   simply uses ``percentile`` (bounded map);
-2. otherwise brackets every needed rank with ``percentile_approx`` (GK sketch,
-   mergeable), then repeatedly counts rows below / inside each bracket and
-   histograms the inside into ``bins`` equal-width bins (one aggregation over
-   targets × bins cells), narrowing each bracket to the bin holding its rank;
-3. once a bracket holds ≤ ``max_collect`` values (or a single distinct value),
-   those values — a bounded set — are collected and the rank is read off.
+1. one aggregation for all columns counts values and brackets every needed rank
+   with ``percentile_approx`` (GK sketch, mergeable);
+2. one aggregation counts rows below / inside each bracket; a bracket with one
+   distinct value is done, a missed one is widened;
+3. brackets of up to ``small`` rows are sorted inside the aggregation and the
+   rank is read off there; larger ones are histogrammed into ``bins`` equal
+   widths (targets × bins cells) and narrowed to the bin of their rank, until
+   none is left.
 
-Every pass is one partially-aggregated job; only bracket statistics and
-histograms (targets × bins) reach the driver.
+Only bracket statistics and histograms reach the driver.
 """
 
 from __future__ import annotations
@@ -33,127 +32,75 @@ def _interp(lo_v, hi_v, pos):
     return float((math.ceil(pos) - pos) * lo_v + (pos - lo) * hi_v)
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], small_distinct: int = 1_000_000,
-                    accuracy: int = 10000, bins: int = 1024, max_collect: int = 100_000,
-                    max_rounds: int = 12) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000, bins: int = 1024,
+                    small: int = 10_000) -> dict[str, list[float | None]]:
     """{column: [quantile for each prob]} (None for an all-null column)."""
     x = {c: F.col(c).cast("double") for c in cols}
+    around = [q for p in probs for q in (max(0.0, p - 3.0 / accuracy), min(1.0, p + 3.0 / accuracy))]
     head = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                  *[F.approx_count_distinct(x[c], 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    out: dict[str, list] = {}
-    small = [c for i, c in enumerate(cols) if head[f"d{i}"] <= small_distinct]
-    large = [c for c in cols if c not in small]
-    if small:
-        r = df.agg(*[F.percentile(x[c], F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-                     for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)
-    if not large:
-        return out
-
-    n_of = {c: head[f"n{cols.index(c)}"] for c in large}
-    # targets: (column, rank) pairs needed by the interpolation
-    targets = []
-    for c in large:
-        n = n_of[c]
-        if n == 0:
-            continue
-        for p in probs:
-            pos = (n - 1) * p
-            for rk in {math.floor(pos), math.ceil(pos)}:
-                if (c, rk) not in targets:
-                    targets.append((c, rk))
-    # bracket each rank with the mergeable GK sketch (error ≤ n/accuracy), widened by a margin
-    qs = {}
-    for c in large:
-        n = n_of[c]
-        ranks = sorted(rk for cc, rk in targets if cc == c)
-        qs[c] = []
-        for rk in ranks:
-            qs[c] += [max(0.0, rk / max(n - 1, 1) - 3.0 / accuracy), min(1.0, rk / max(n - 1, 1) + 3.0 / accuracy)]
-    ar = df.agg(*[F.percentile_approx(x[c], qs[c], accuracy).alias(f"a{i}") for i, c in enumerate(large)]).first()
-    br = {}
-    for i, c in enumerate(large):
-        ranks = sorted(rk for cc, rk in targets if cc == c)
-        vals = ar[f"a{i}"]
-        for j, rk in enumerate(ranks):
-            br[(c, rk)] = [float(vals[2 * j]), float(vals[2 * j + 1])]
+                  *[F.percentile_approx(x[c], around, accuracy).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    n_of = {c: head[f"n{i}"] for i, c in enumerate(cols)}
+    # (column, rank) pairs that the interpolation needs, each with its bracket
+    bracket: dict[tuple, list[float]] = {}
+    for i, c in enumerate(cols):
+        for j, p in enumerate(probs):
+            pos = (n_of[c] - 1) * p
+            for rank in {math.floor(pos), math.ceil(pos)} if n_of[c] else ():
+                bracket.setdefault((c, rank), [float(v) for v in head[f"a{i}"][2 * j:2 * j + 2]])
     value: dict[tuple, float] = {}
-    for _ in range(max_rounds):
-        open_t = [t for t in targets if t not in value]
-        if not open_t:
-            break
+    while open_t := [t for t in bracket if t not in value]:
+        inside = {t: (x[t[0]] >= F.lit(bracket[t][0])) & (x[t[0]] <= F.lit(bracket[t][1])) for t in open_t}
         aggs = []
-        for k, (c, rk) in enumerate(open_t):
-            lo, hi = br[(c, rk)]
-            inside = (x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi))
-            aggs += [F.count(F.when(x[c] < F.lit(lo), 1)).alias(f"b{k}"), F.count(F.when(inside, 1)).alias(f"i{k}"),
-                     F.min(F.when(inside, x[c])).alias(f"mn{k}"), F.max(F.when(inside, x[c])).alias(f"mx{k}")]
+        for k, t in enumerate(open_t):
+            v = x[t[0]]
+            aggs += [F.count(F.when(v < F.lit(bracket[t][0]), 1)).alias(f"b{k}"), F.count(F.when(inside[t], 1)).alias(f"i{k}"),
+                     F.min(F.when(inside[t], v)).alias(f"mn{k}"), F.max(F.when(inside[t], v)).alias(f"mx{k}")]
         st = df.agg(*aggs).first()
-        collect, hist = [], []
+        few, many = [], []
         for k, t in enumerate(open_t):
-            below, inside, mn, mx = st[f"b{k}"], st[f"i{k}"], st[f"mn{k}"], st[f"mx{k}"]
-            c, rk = t
-            if below > rk:                       # bracket too high: widen down
-                br[t][0] = -math.inf
-                continue
-            if below + inside <= rk:             # bracket too low: widen up
-                br[t][1] = math.inf
-                continue
-            if mn == mx:
+            below, count, mn, mx = st[f"b{k}"], st[f"i{k}"], st[f"mn{k}"], st[f"mx{k}"]
+            if below > t[1]:                       # bracket too high: widen down
+                bracket[t][0] = -math.inf
+            elif below + count <= t[1]:            # bracket too low: widen up
+                bracket[t][1] = math.inf
+            elif mn == mx:
                 value[t] = float(mn)
-            elif inside <= max_collect:
-                collect.append((k, t, below))
+            elif count <= small:
+                few.append((k, t, below))
             else:
-                hist.append((k, t, below, mn, mx))
-        for k, t, below in collect:
-            c, rk = t
-            lo, hi = br[t]
-            # the bracket holds ≤ max_collect values: a bounded, sorted fetch
-            vals = (df.select(x[c].alias("v")).where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-                    .orderBy("v").limit(rk - below + 1).collect())
-            value[t] = float(vals[rk - below]["v"])
-        if hist:
+                many.append((k, t, below, mn, mx))
+        if few:
+            got = df.agg(*[F.element_at(F.sort_array(F.collect_list(F.when(inside[t], x[t[0]]))), int(t[1] - below + 1)).alias(f"v{k}")
+                           for k, t, below in few]).first()
+            value.update({t: float(got[f"v{k}"]) for k, t, _ in few})
+        if many:
             cells = []
-            for k, t, below, mn, mx in hist:
-                c, _ = t
-                w = (mx - mn) / bins
-                b = F.least(F.floor((x[c] - F.lit(mn)) / F.lit(w)), F.lit(bins - 1)).cast("int")
-                cells.append(F.when((x[c] >= F.lit(mn)) & (x[c] <= F.lit(mx)),
-                                    F.struct(F.lit(k).alias("t"), b.alias("bin"))))
-            h = (df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
-                 .groupBy("s.t", "s.bin").agg(F.count(F.lit(1)).alias("c")).collect())
+            for k, t, _, mn, mx in many:
+                b = F.least(F.floor((x[t[0]] - F.lit(mn)) / F.lit((mx - mn) / bins)), F.lit(bins - 1)).cast("int")
+                cells.append(F.when((x[t[0]] >= F.lit(mn)) & (x[t[0]] <= F.lit(mx)), F.struct(F.lit(k).alias("t"), b.alias("bin"))))
             counts: dict[int, dict[int, int]] = {}
-            for r in h:
+            for r in (df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
+                      .groupBy("s.t", "s.bin").agg(F.count(F.lit(1)).alias("c")).collect()):  # at most targets × bins rows
                 counts.setdefault(r["t"], {})[r["bin"]] = r["c"]
-            for k, t, below, mn, mx in hist:
-                c, rk = t
-                w = (mx - mn) / bins
-                acc = below
+            for k, t, below, mn, mx in many:
+                width, acc = (mx - mn) / bins, below
                 for bi in range(bins):
-                    cnt = counts.get(k, {}).get(bi, 0)
-                    if acc + cnt > rk:
-                        lo = mn + bi * w
-                        hi = mn + (bi + 1) * w if bi < bins - 1 else mx
+                    here = counts.get(k, {}).get(bi, 0)
+                    if acc + here > t[1]:
                         # float edges: keep the bracket closed and slightly generous
-                        br[t] = [math.nextafter(lo, -math.inf), math.nextafter(hi, math.inf)]
+                        bracket[t] = [max(mn, math.nextafter(mn + bi * width, -math.inf)),
+                                      mx if bi == bins - 1 else min(mx, math.nextafter(mn + (bi + 1) * width, math.inf))]
                         break
-                    acc += cnt
-    for c in large:
-        n = n_of[c]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        res = []
-        for p in probs:
-            pos = (n - 1) * p
-            res.append(_interp(value[(c, math.floor(pos))], value[(c, math.ceil(pos))], pos))
-        out[c] = res
+                    acc += here
+    out: dict[str, list] = {}
+    for c in cols:
+        pos = [(n_of[c] - 1) * p for p in probs]
+        out[c] = [_interp(value[(c, math.floor(q))], value[(c, math.ceil(q))], q) if n_of[c] else None for q in pos]
     return out
 
 
 def grouped_exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float],
-                            n_ranges: int = 256) -> DataFrame:
+                            n_ranges: int | None = None) -> DataFrame:
     """(group, q0, q1, …) exact per-group quantiles without a per-group task.
 
     Rows collapse to (group, value, count) with a partial aggregation (a hot

@@ -96,10 +96,9 @@ def smote(df: DataFrame, feats: list[str], label: str = "label", ratio: float =
     m = df.where(F.col(label) == mino).select(key, *[F.col(f).cast("double").alias(f) for f in feats]).persist()
     nn = knn(m, key, feats, kk)
     r = hash_rank(m, key, seed, rank_col="_rk", draw="smote")
-    # row of rank r serves draws r, r + n_min, r + 2·n_min, ... < need
-    cnt = F.when(F.col("_rk") < need, F.floor((F.lit(need - 1) - F.col("_rk")) / n_min) + 1).otherwise(0)
-    draws = r.select(key, *feats, "_rk", F.explode(F.sequence(F.lit(0), (cnt - 1).cast("int"))).alias("_j")) \
-        .where(F.col("_j") >= 0)
+    # row of rank r serves draws r, r + n_min, r + 2·n_min, ... < need; rows of rank ≥ need serve none
+    last = F.floor((F.lit(need - 1) - F.col("_rk")) / n_min).cast("int")
+    draws = r.where(F.col("_rk") < need).select(key, *feats, "_rk", F.explode(F.sequence(F.lit(0), last)).alias("_j"))
     d = (F.col("_rk") + F.col("_j") * n_min).cast("long")
     draws = draws.select(key, *feats, d.alias("_d"))
     draws = draws.select("*", F.floor(hash_uniform(key, seed, F.concat(F.col("_d").cast("string"), F.lit("|nn")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,6 @@ from stratum.functions.exprs import safe_div, stack
 from stratum.functions.hashing import hash_uniform
 from stratum.functions.pvalue import t_sf2, with_f_sf, with_t_sf2
 
-WIDE_LIMIT = 40  # above this many columns, correlation goes through ml.stat.Correlation
-
-
 # ------------------------------------------------------------------ correlation
 
 def _pair_corr(a: str, b: str) -> Column:
@@ -32,27 +31,47 @@ def _pair_corr(a: str, b: str) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long table (a, b, corr) for every pair a < b (column order)."""
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if len(cols) > WIDE_LIMIT:
-        return _corr_wide(df, cols)
-    one = df.agg(*[_pair_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("corr"))
-                    for k, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(arr))
-
-
-def _corr_wide(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Many columns: complete rows → VectorAssembler → Correlation (tree aggregation of
-    one d×d Gram matrix), then the matrix is turned into the long table."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    v = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(df.na.drop(subset=cols))
-    m = Correlation.corr(v, "_v").first()[0].toArray()
-    rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else float(m[i, j]))
-            for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    """Long table (a, b, corr) for every pair a < b (column order): Pearson over the
+    rows in which both are there, at every width; NULL if one is constant there.
+
+    Values are shifted by the column's minimum (which changes no correlation).
+    Each task reduces its rows to six sums per pair with a handful of matrix
+    products, so the shuffle is pairs x tasks short rows, partially aggregated."""
+    x = [F.col(c).cast("double") for c in cols]
+    low = df.agg(*[F.min(v).alias(f"c{i}") for i, v in enumerate(x)]).first()
+    low = [low[i] or 0.0 for i in range(len(cols))]
+    slim = df.select(*[(v - F.lit(float(m))).alias(f"c{i}") for i, (v, m) in enumerate(zip(x, low))])
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(batches):
+        d, total = len(cols), None
+        for batch in batches:
+            v = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
+            here = ~np.isnan(v)
+            v, m = np.where(here, v, 0.0), here.astype(float)
+            # [i, j]: count, sum of i, sum of i squared, sum of i times j, over rows that have both
+            part = np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(d, 1)
+            n, s1, s2, s11 = total
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int32()), pa.array(j, pa.int32()),
+                 *[pa.array(t) for t in (n[i, j], s1[i, j], s1[j, i], s2[i, j], s2[j, i], s11[i, j])]],
+                names=["i", "j", *names])
+
+    t = (slim.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+         .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names]))
+    var = lambda one, two: F.col(two) - F.col(one) * F.col(one) / F.col("n")
+    # what a constant leaves behind is rounding of the sum of squares
+    solid = lambda one, two: F.when(var(one, two) > F.col(two) * 1e-12, var(one, two))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(solid("sa", "saa") * solid("sb", "sbb"))
+    name = F.array(*[F.lit(c) for c in cols])
+    got = t.where("n > 0").select("i", "j", r.alias("corr"))
+    # pairs that no row holds together are NULL, like constants: the pair table is fixed by the columns
+    pairs = df.sparkSession.createDataFrame([(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))], "i int, j int")
+    return pairs.join(F.broadcast(got), ["i", "j"], "left").select(
+        F.element_at(name, F.col("i") + 1).alias("a"), F.element_at(name, F.col("j") + 1).alias("b"), "corr")
 
 
 def top_correlated(corr_long: DataFrame, target: str, k: int = 4) -> DataFrame:
@@ -197,77 +216,39 @@ def ttest_1samp(df: DataFrame, col: str, mu) -> DataFrame:
 
 # ---------------------------------------------------------------------- bootstrap
 
-# Poisson(1) cumulative probabilities P(K <= k), k = 0..17 (rule: e^-1 · Σ 1/i!).
-POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(18)]
+def poisson_draw(mean: Column, u1: Column, u2: Column) -> Column:
+    """A Poisson draw by the Cornish-Fisher expansion of its quantile at a normal
+    deviate z (Box-Muller): mean + sd z + (z^2 - 1)/6 + (z - z^3)/(72 sd), rounded,
+    0 at least.  The same expression at every mean, and in any SQL engine."""
+    z = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)
+    sd = F.sqrt(mean)
+    q = mean + sd * z + (z * z - 1) / 6.0 + (z - z * z * z) / (sd * 72.0)
+    return F.when(mean <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.floor(q + 0.5).cast("double")))
 
 
-def poisson1(u: Column) -> Column:
-    """Inverse-CDF Poisson(1) draw from a uniform column: the number of CDF values
-    below u, as a CASE chain (stays inside whole-stage codegen, unlike a lambda)."""
-    e = F.when(u <= F.lit(POISSON1_CDF[0]), F.lit(0))
-    for j, c in enumerate(POISSON1_CDF[1:], 1):
-        e = e.when(u <= F.lit(c), F.lit(j))
-    return e.otherwise(F.lit(len(POISSON1_CDF)))
-
-
-def bootstrap_replicas(df: DataFrame, key: str = "row_id", y: str = "y", yhat: str = "yhat", n_boot: int = 1000,
-                       seed: int = 42) -> DataFrame:
+def bootstrap_replicas(df: DataFrame, y: str = "y", yhat: str = "yhat", n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Accuracy of every Poisson-bootstrap replica: (replica, accuracy).
 
-    Predict once, resample the scored rows: each (row, replica) weight is a
-    Poisson(1) draw from md5(key|seed|replica), so replicas are independent of
-    partitioning and task retries.  Work is rows × replicas, all map-side; the
-    shuffle is replicas × partitions partial sums.
-    """
-    c = (F.col(y) == F.col(yhat)).cast("double")
-    e = df.select(key, c.alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replica"))
-    w = poisson1(hash_uniform(key, seed, F.col("replica")))
-    e = e.select("replica", "_c", w.cast("double").alias("_w"))
-    return e.groupBy("replica").agg(safe_div(F.sum(F.col("_w") * F.col("_c")), F.sum("_w")).alias("accuracy"))
-
-
-def bootstrap_replicas_cells(df: DataFrame, y: str = "y", yhat: str = "yhat", n_boot: int = 1000,
-                             seed: int = 42) -> DataFrame:
-    """Scale path: Σ of n iid Poisson(1) weights is Poisson(n), so a replica only
-    needs Poisson(n_correct) and Poisson(n_wrong) draws.  Rows collapse to two cell
-    counts (one aggregation); replicas are spread over tasks and drawn with numpy.
-    Same distribution as ``bootstrap_replicas``, not the same values."""
-    cnt = df.agg(F.sum((F.col(y) == F.col(yhat)).cast("long")).alias("nc"),
-                 F.sum((F.col(y) != F.col(yhat)).cast("long")).alias("nw")).first()
-    nc, nw = int(cnt["nc"] or 0), int(cnt["nw"] or 0)
-    reps = df.sparkSession.range(n_boot).withColumnRenamed("id", "replica")
-
-    def draw(it):
-        import numpy as np
-
-        for pdf in it:
-            acc = []
-            for r in pdf["replica"]:
-                g = np.random.default_rng([seed, int(r)])
-                a, b = g.poisson(nc), g.poisson(nw)
-                acc.append(a / (a + b) if a + b else float("nan"))
-            yield pdf.assign(accuracy=acc)
-
-    return reps.mapInPandas(draw, "replica long, accuracy double")
-
-
-ROW_REPLICA_LIMIT = 2_000_000_000  # rows × replicas above which "auto" switches to the cell path
-
-
-def bootstrap_ci(df: DataFrame, key: str = "row_id", y: str = "y", yhat: str = "yhat", n_boot: int = 1000,
-                 seed: int = 42, alpha: float = 0.05, method: str = "auto") -> DataFrame:
+    A replica weighs each row by a Poisson(1) draw; a sum of n of those is
+    Poisson(n), so rows collapse to the counts of right and wrong ones (one
+    aggregation) and a replica draws twice, from md5(cell | seed | replica): the
+    work is rows + replicas at every size."""
+    n = df.agg(F.count(F.when(F.col(y) == F.col(yhat), 1)).alias("right"),
+               F.count(F.when(F.col(y) != F.col(yhat), 1)).alias("wrong")).first()
+    reps = df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("replica"))
+    draw = lambda cell: poisson_draw(F.lit(float(n[cell])), hash_uniform(F.lit(f"{cell}:1"), seed, F.col("replica")),
+                                     hash_uniform(F.lit(f"{cell}:2"), seed, F.col("replica")))
+    t = reps.select("replica", draw("right").alias("_r"), draw("wrong").alias("_w"))
+    return t.select("replica", safe_div(F.col("_r"), F.col("_r") + F.col("_w")).alias("accuracy"))
+
+
+def bootstrap_ci(df: DataFrame, y: str = "y", yhat: str = "yhat", n_boot: int = 1000, seed: int = 42,
+                 alpha: float = 0.05) -> DataFrame:
     """accuracy, percentile CI of replica accuracies, majority baseline, and the
-    one-sample t of the replicas against the baseline.
-
-    ``method``: "rows" (hash-seeded Poisson weight per row and replica, exact
-    and reproducible value by value), "cells" (O(replicas), same distribution)
-    or "auto" (rows while rows × replicas ≤ ``ROW_REPLICA_LIMIT``)."""
+    one-sample t of the replicas against the baseline."""
     st = df.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(yhat)).cast("double")).alias("a")).first()
     acc = st["a"]
-    if method == "auto":
-        method = "rows" if (st["n"] or 0) * n_boot <= ROW_REPLICA_LIMIT else "cells"
-    reps = (bootstrap_replicas(df, key, y, yhat, n_boot, seed) if method == "rows"
-            else bootstrap_replicas_cells(df, y, yhat, n_boot, seed))
+    reps = bootstrap_replicas(df, y, yhat, n_boot, seed)
     base = df.groupBy(F.col(y).alias("cls")).agg(F.count(F.lit(1)).alias("c")).agg(
         (F.max("c") / F.sum("c")).alias("baseline")).first()["baseline"]
     s = reps.agg(F.percentile("accuracy", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"),

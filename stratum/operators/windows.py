@@ -21,6 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.hashing import hash_uniform
+from stratum.session import cut_lineage
+
+
+def ranges(df: DataFrame, least: int = 64) -> int:
+    """Number of ranges or buckets: as many as the session's shuffles have
+    partitions (what a cluster sizes to its data), ``least`` at least."""
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _range_id(order_col: str, splits: list[float], descending: bool):
@@ -32,10 +39,11 @@ def _range_id(order_col: str, splits: list[float], descending: bool):
 
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                   by: list[str] | None = None, n_ranges: int = 256) -> DataFrame:
+                   by: list[str] | None = None, n_ranges: int | None = None) -> DataFrame:
     """Adds ``cum_<c>`` (inclusive) for every c in sum_cols, ordered by order_col
     (ties must already be collapsed: one row per (by, order_col))."""
     by = by or []
+    n_ranges = n_ranges or ranges(df, 256)
     probs = [i / n_ranges for i in range(1, n_ranges)]
     splits = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000).alias("s")).first()["s"] or []
     splits = sorted(set(float(s) for s in splits))
@@ -54,20 +62,32 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descendin
                     *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
-def hash_rank(df: DataFrame, key: str, seed, group: list[str] | None = None, n_buckets: int = 64,
+def hash_rank(df: DataFrame, key: str, seed, group: list[str] | None = None, n_buckets: int | None = None,
               rank_col: str = "rank", draw: str = "order") -> DataFrame:
     """Exact 0-based rank inside ``group`` in order of (hash_uniform(key, seed), key)."""
     group = group or []
+    n_buckets = n_buckets or ranges(df)
     u = hash_uniform(key, seed, draw)
     t = df.withColumn("_u", u).withColumn("_hb", F.least(F.floor(F.col("_u") * n_buckets), F.lit(n_buckets - 1)))
     cnt = t.groupBy(*group, "_hb").agg(F.count(F.lit(1)).alias("_c"))
     wpre = Window.partitionBy(*group).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    # groups × n_buckets rows; groups are class labels / folds (small by construction)
+    # groups × n_buckets rows; no broadcast hint: AQE knows the size when it runs
     off = cnt.select(*group, "_hb", F.coalesce(F.sum("_c").over(wpre), F.lit(0)).alias("_off"))
-    t = t.join(F.broadcast(off), [*group, "_hb"])
+    t = t.join(off if group else F.broadcast(off), [*group, "_hb"])
     w = Window.partitionBy(*group, "_hb").orderBy("_u", key)
     return t.withColumn(rank_col, (F.row_number().over(w) - 1 + F.col("_off")).cast("bigint")).drop("_u", "_hb", "_off")
 
 
-def group_sizes(df: DataFrame, group: list[str]) -> DataFrame:
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+def distinct_rank(df: DataFrame, col: str) -> DataFrame:
+    """(level, rank): 0-based ranks of the distinct non-null values in their order.
+
+    Distinct values are dealt to value ranges, fixed by a checkpoint; totals per
+    range (one row each) give the offsets, so any number of levels is ranked."""
+    n = ranges(df)
+    t = cut_lineage(df.where(F.col(col).isNotNull()).select(F.col(col).alias("level")).distinct()
+                    .repartitionByRange(n, "level").withColumn("_r", F.spark_partition_id()))
+    tot = t.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))  # at most n rows
+    ahead = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_r", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_r").orderBy("level")
+    return t.join(F.broadcast(off), "_r").select("level", (F.row_number().over(inside) - 1 + F.col("_o")).cast("int").alias("rank"))

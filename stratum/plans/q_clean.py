@@ -145,13 +145,13 @@ def q_filter_zscore(spark, sf):
     return C.filter_zscore(bd.lines(spark, sf), LINE_NUM)
 
 
-@register("null_out_inf", uses=("docs",), dbl=("chars_per_digit", "upper_share"), sql="""
+@register("null_out_inf", uses=("docs_all",), dbl=("chars_per_digit", "upper_share"), sql="""
     SELECT row_id, chars_per_digit, upper_share FROM (
       SELECT row_id, CASE WHEN digit_share = 0 THEN 'inf'::DOUBLE ELSE 1.0 / digit_share END AS chars_per_digit,
-             upper_share FROM docs)
+             upper_share FROM docs_all)
     WHERE chars_per_digit IS NOT NULL AND NOT isinf(chars_per_digit) AND upper_share IS NOT NULL""")
 def q_null_out_inf(spark, sf):
-    d = bd.docs(spark, sf)
+    d = bd.docs_all(spark, sf)
     ratio = F.when(F.col("digit_share") == 0, F.lit(INF)).otherwise(F.lit(1.0) / F.col("digit_share"))
     return C.null_out_inf(d.select("row_id", ratio.alias("chars_per_digit"), "upper_share"),
                           ["chars_per_digit", "upper_share"])
@@ -202,7 +202,7 @@ def q_frequency_encode(spark, sf):
 
 
 def _adaptive_frame(spark, sf):
-    d = bd.docs(spark, sf)
+    d = bd.docs_all(spark, sf)
     return d.select("row_id", "lang", "source",
                     F.when(F.col("n_chars") > 2000, "long").otherwise("short").alias("length_class"))
 
@@ -212,9 +212,9 @@ def _long(df, key="row_id"):
     return df.select(key, F.inline(stack([(c, F.col(c).cast("double")) for c in cols], "feature", "value")))
 
 
-@register("adaptive_encode", uses=("docs",), dbl=("value",), sql="""
+@register("adaptive_encode", uses=("docs_all",), dbl=("value",), sql="""
     WITH f AS (SELECT row_id, lang, source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS length_class
-               FROM docs),
+               FROM docs_all),
     firstlev AS (SELECT arg_min(length_class, row_id) AS first FROM f),
     srcl AS (SELECT source AS lev FROM f GROUP BY 1 ORDER BY 1 OFFSET 1)
     SELECT row_id, 'lang' AS feature, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS value FROM f

@@ -26,9 +26,9 @@ def _log_sql(src, cols):
     return f"WITH s AS (SELECT count(*) AS n, {st} FROM {src}) SELECT row_id, {ex} FROM {src}, s"
 
 
-@register("log1p_skewed", uses=("docs",), dbl=tuple(DOC_NUM), sql=_log_sql("docs", DOC_NUM))
+@register("log1p_skewed", uses=("docs_all",), dbl=tuple(DOC_NUM), sql=_log_sql("docs_all", DOC_NUM))
 def q_log1p_skewed(spark, sf):
-    out, _ = E.log1p_skewed(bd.docs(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
+    out, _ = E.log1p_skewed(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
     return out
 
 
@@ -48,10 +48,10 @@ def q_interactions(spark, sf):
     return _long(E.interactions(bd.lines(spark, sf).select("row_id", *LINE_NUM), LINE_NUM))
 
 
-@register("prepare_features", uses=("docs",), dbl=("value",),
-          ctes=f"lg AS ({_log_sql('docs', DOC_NUM)})", sql=_inter_sql("lg", DOC_NUM))
+@register("prepare_features", uses=("docs_all",), dbl=("value",),
+          ctes=f"lg AS ({_log_sql('docs_all', DOC_NUM)})", sql=_inter_sql("lg", DOC_NUM))
 def q_prepare_features(spark, sf):
-    d = bd.docs(spark, sf).select("row_id", *DOC_NUM, "label")
+    d = bd.docs_all(spark, sf).select("row_id", *DOC_NUM, F.lit(0).alias("label"))  # no feature of a label
     return _long(E.prepare_features(d, "label").drop("label"))
 
 

@@ -34,11 +34,11 @@ def q_group_distribution(spark, sf):
     return J.group_distribution(bd.people(spark, sf), "c_mktsegment", "label")
 
 
-@register("usage_by_group", uses=("docs",), dbl=("share",), sql="""
+@register("usage_by_group", uses=("docs_all",), dbl=("share",), sql="""
     SELECT lang, source, count, count / sum(count) OVER (PARTITION BY lang) AS share
-    FROM (SELECT lang, source, count(*) AS count FROM docs GROUP BY 1, 2)""")
+    FROM (SELECT lang, source, count(*) AS count FROM docs_all GROUP BY 1, 2)""")
 def q_usage_by_group(spark, sf):
-    return J.usage_by_group(bd.docs(spark, sf), "lang", "source")
+    return J.usage_by_group(bd.docs_all(spark, sf), "lang", "source")
 
 
 @register("missing_profile", uses=("people_nulls",), dbl=("missing_share",), sql="""
@@ -61,7 +61,8 @@ def q_missing_profile(spark, sf):
 def _describe_sql(binding, cols):
     parts = []
     for c in cols:
-        parts.append(f"""SELECT '{c}' AS "column", count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std,
+        parts.append(f"""SELECT '{c}' AS "column", count({c}) AS count,
+            CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count({c}) AS mean, stddev_samp({c}) AS std,
             CAST(min({c}) AS DOUBLE) AS min, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50,
             quantile_cont({c}, 0.75) AS q75, CAST(max({c}) AS DOUBLE) AS max FROM {binding}""")
     return " UNION ALL ".join(parts)
@@ -79,11 +80,11 @@ def q_value_counts(spark, sf):
     return B.value_counts(bd.lines(spark, sf), "l_returnflag")
 
 
-@register("value_counts_norm", uses=("docs",), dbl=("share",), sql="""
+@register("value_counts_norm", uses=("docs_all",), dbl=("share",), sql="""
     SELECT lang AS value, count(*) AS count, count(*) / sum(count(*)) OVER () AS share
-    FROM docs WHERE lang IS NOT NULL GROUP BY 1""")
+    FROM docs_all WHERE lang IS NOT NULL GROUP BY 1""")
 def q_value_counts_norm(spark, sf):
-    return B.value_counts_norm(bd.docs(spark, sf), "lang")
+    return B.value_counts_norm(bd.docs_all(spark, sf), "lang")
 
 
 @register("cardinality", uses=("people",), sql="""
@@ -132,16 +133,16 @@ def q_histogram(spark, sf):
     return B.histogram(bd.lines(spark, sf), "l_extendedprice", 30)
 
 
-@register("kde_grid", uses=("docs",), dbl=("x", "density"), sql="""
+@register("kde_grid", uses=("docs_all",), dbl=("x", "density"), sql="""
     WITH s AS (SELECT count(n_words) AS n, stddev_samp(n_words) * pow(count(n_words), -0.2) AS bw,
-                      min(n_words) AS mn, max(n_words) AS mx FROM docs),
+                      min(n_words) AS mn, max(n_words) AS mx FROM docs_all),
     p AS (SELECT CAST(i AS INTEGER) AS point, (mn - 3.0 * bw) + i * (((mx + 3.0 * bw) - (mn - 3.0 * bw)) / 199) AS x,
                  n, bw FROM range(0, 200) g(i), s),
-    v AS (SELECT n_words AS v, count(*) AS c FROM docs GROUP BY 1)
+    v AS (SELECT n_words AS v, count(*) AS c FROM docs_all GROUP BY 1)
     SELECT point, x, sum(c * exp(-0.5 * pow((x - v) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
     FROM p, v GROUP BY point, x, n, bw""")
 def q_kde_grid(spark, sf):
-    return B.kde_grid(bd.docs(spark, sf), "n_words")
+    return B.kde_grid(bd.docs_all(spark, sf), "n_words")
 
 
 @register("category_counts", uses=("people",), sql="""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
+
 from stratum.functions.hashing import hash_uniform_sql
 from stratum.functions.pvalue import f_sf_sql, t_sf2_sql
 from stratum.operators import stats as S
@@ -39,10 +43,22 @@ def _unpivot_corr(src, pairs, name_a="a", name_b="b"):
 @register("corr_matrix_wide", uses=("vecs",), dbl=("corr",),
           sql=_unpivot_corr("vecs", [(VEC[i], VEC[j]) for i in range(len(VEC)) for j in range(i + 1, len(VEC))]))
 def q_corr_matrix_wide(spark, sf):
-    """64 embedding dimensions → ml.stat.Correlation (one Gram-matrix tree aggregate)."""
     return S.corr_matrix(bd.vecs(spark, sf), VEC)
 
 
+def _holes(i):
+    return f"(row_id * 7 + {i} * 13) % 20 = 0"
+
+
+@register("corr_matrix_nulls", uses=("vecs",), dbl=("corr",),
+          ctes="h AS (SELECT " + ", ".join(f"CASE WHEN {_holes(i)} THEN NULL ELSE {e} END AS {e}" for i, e in enumerate(VEC)) + " FROM vecs)",
+          sql=_unpivot_corr("h", [(VEC[i], VEC[j]) for i in range(len(VEC)) for j in range(i + 1, len(VEC))]))
+def q_corr_matrix_nulls(spark, sf):
+    """A wide table with 5 % nulls in every column: rows complete in the pair."""
+    v = bd.vecs(spark, sf)
+    return S.corr_matrix(v.select(*[F.expr(f"CASE WHEN {_holes(i)} THEN NULL ELSE {e} END").alias(e) for i, e in enumerate(VEC)]), VEC)
+
+
 @register("top_correlated", uses=("vecs",), dbl=("corr",), sql=f"""
     SELECT feature, corr FROM (
       SELECT split_part(k, '|', 2) AS feature, v AS corr
@@ -165,13 +181,20 @@ def q_ttest_1samp(spark, sf):
 
 
 def _boot_sql(b=1000, seed=42):
-    cdf = ", ".join(repr(c) for c in S.POISSON1_CDF)
-    u = hash_uniform_sql("row_id", seed, "replica")
+    def draw(cell):
+        u1, u2 = (hash_uniform_sql(f"'{cell}:{k}'", seed, "replica") for k in (1, 2))
+        return f"""CASE WHEN {cell} <= 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, floor({cell} + sqrt({cell}) * z_{cell}
+                   + (z_{cell} * z_{cell} - 1) / 6.0 + (z_{cell} - z_{cell} * z_{cell} * z_{cell}) / (sqrt({cell}) * 72.0) + 0.5)) END""", \
+            f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u1})) * cos({2 * math.pi!r}::DOUBLE * {u2}) AS z_{cell}"
+
+    (dr, zr), (dw, zw) = draw("n_right"), draw("n_wrong")
+    zr, zw = (z.replace("'n_", "'") for z in (zr, zw))
     t = "((m - baseline) / nullif(sd / sqrt(n), 0))"
-    return f"""WITH r AS (SELECT s.row_id, CASE WHEN y = yhat THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c, g.i AS replica
-                          FROM scores s, range(0, {b}) g(i)),
-        w AS (SELECT replica, c, CAST(len(list_filter([{cdf}], lambda x: x < {u})) AS DOUBLE) AS w FROM r),
-        reps AS (SELECT replica, sum(w * c) / nullif(sum(w), 0) AS accuracy FROM w GROUP BY replica),
+    return f"""WITH cells AS (SELECT CAST(count(*) FILTER (y = yhat) AS DOUBLE) AS n_right,
+                              CAST(count(*) FILTER (y <> yhat) AS DOUBLE) AS n_wrong FROM scores),
+        z AS (SELECT *, {zr}, {zw} FROM cells, (SELECT i AS replica FROM range(0, {b}) g(i)) g),
+        w AS (SELECT replica, {dr} AS r, {dw} AS w FROM z),
+        reps AS (SELECT replica, r / nullif(r + w, 0) AS accuracy FROM w),
         base AS (SELECT max(c) / sum(c) AS baseline FROM (SELECT y, count(*) AS c FROM scores GROUP BY y)),
         st AS (SELECT quantile_cont(accuracy, 0.025) AS lo, quantile_cont(accuracy, 0.975) AS hi, avg(accuracy) AS m,
                       stddev_samp(accuracy) AS sd, count(accuracy) AS n FROM reps)

@@ -1,8 +1,9 @@
 """Session construction and the shared scratch folder.
 
 On a cluster the scratch folder is whatever ``spark.checkpoint.dir`` names
-(a shared file system).  Only when that setting is absent — local tests —
-do we create one ourselves.
+(a shared file system); without that setting a non-local session is refused,
+since a folder of one machine would lose rows there.  Only local sessions
+(tests) get a temporary folder of their own.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _LOCAL_CONF = {
@@ -30,7 +32,10 @@ def get_session(master: str | None = None, app: str = "stratum", **conf) -> Spar
     active = SparkSession.getActiveSession()
     if active is not None and master is None and not conf:
         return active
-    b = SparkSession.builder.appName(app).master(master or os.environ.get("STRATUM_MASTER", "local[8]"))
+    b = SparkSession.builder.appName(app)
+    master = master or os.environ.get("STRATUM_MASTER")
+    if master or not SparkConf().contains("spark.master"):  # a submitted master stays
+        b = b.master(master or "local[*]")
     for k, v in {**_LOCAL_CONF, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -41,8 +46,9 @@ def get_session(master: str | None = None, app: str = "stratum", **conf) -> Spar
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; if it is unset (tests,
-    local runs) a fresh folder is created and registered as the checkpoint dir.
+    Reads ``spark.checkpoint.dir`` from the session; if it is unset, a local
+    session gets a fresh folder, registered as the checkpoint dir, and any other
+    is refused.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -50,6 +56,8 @@ def scratch_dir(spark: SparkSession) -> str:
             d = spark.sparkContext.getCheckpointDir()
         except Exception:  # pragma: no cover - connect sessions have no sparkContext
             d = None
+    if not d and not spark.conf.get("spark.master", "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="stratum-ckpt-")
         try:

@@ -52,11 +52,8 @@ def people_nulls(spark: SparkSession, sf: str) -> DataFrame:
         "r_name", "label")
 
 
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    """documents ⋈ labels with per-document text statistics (whole texts).
-
-    The statistics are computed map-side on the documents scan first, so the
-    join shuffles a few numbers per document instead of the texts."""
+def docs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with per-document text statistics (whole texts), map-side."""
     d = read_table(spark, sf, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
     n = F.col("n_chars").cast("double")
     t = F.col("text")
@@ -67,14 +64,18 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
     # tokens: each whitespace-free run becomes one 'x', then whitespace is dropped
     n_tokens = F.length(F.regexp_replace(F.regexp_replace(t, WS_TOKEN, "x"), r"[ \t\n\r]+", "")).cast("double")
-    stats = d.select(
-        "doc_id", n.alias("n_chars"), n_tokens.alias("n_words"),
+    return d.select(
+        F.col("doc_id").alias("row_id"), n.alias("n_chars"), n_tokens.alias("n_words"),
         F.try_divide(n_matches("[0-9]"), n).alias("digit_share"),
         F.try_divide(n_matches("[A-Z]"), n).alias("upper_share"),
         "lang", "source")
-    lab = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
-    j = stats.join(lab, "doc_id")
-    return j.select(F.col("doc_id").alias("row_id"), "n_chars", "n_words", "digit_share", "upper_share",
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    """``docs_all`` ⋈ labels: the join shuffles a few numbers per document, not the texts."""
+    lab = read_table(spark, sf, "labels", ["doc_id", "quality", "toxic"]).withColumnRenamed("doc_id", "row_id")
+    j = docs_all(spark, sf).join(lab, "row_id")
+    return j.select("row_id", "n_chars", "n_words", "digit_share", "upper_share",
                     "lang", "source", "quality", "toxic", F.col("quality").alias("label"))
 
 
@@ -167,7 +168,8 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
         "row_id", "y", (F.col("score") >= 0.5).cast("int").alias("yhat"), "score")
 
 
-BUILDERS = {"people": people, "people_nulls": people_nulls, "docs": docs, "vecs": vecs, "lines": lines,
+BUILDERS = {"people": people, "people_nulls": people_nulls, "docs_all": docs_all, "docs": docs,
+            "vecs": vecs, "lines": lines,
             "obs": obs, "answers": answers, "pairs": pairs, "scores": scores}
 
 
@@ -217,15 +219,18 @@ SQL = {
                CASE WHEN row_id % 25 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
                r_name, label
         FROM people""",
-    "docs": """
+    "docs_all": """
         SELECT d.doc_id AS row_id, CAST(d.n_chars AS DOUBLE) AS n_chars,
                CAST(len(regexp_extract_all(d.text, '[^ \\t\\n\\r]+')) AS DOUBLE) AS n_words,
                CAST(length(d.text) - length(regexp_replace(d.text, '[0-9]', '', 'g')) AS DOUBLE)
                    / nullif(CAST(d.n_chars AS DOUBLE), 0) AS digit_share,
                CAST(length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g')) AS DOUBLE)
                    / nullif(CAST(d.n_chars AS DOUBLE), 0) AS upper_share,
-               d.lang, d.source, l.quality, l.toxic, l.quality AS label
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+               d.lang, d.source
+        FROM documents d""",
+    "docs": """
+        SELECT d.*, l.quality, l.toxic, l.quality AS label
+        FROM docs_all d JOIN labels l ON d.row_id = l.doc_id""",
     "vecs": f"SELECT vec_id AS row_id, {_VEC_COLS}, label, CAST(label = 0 AS INTEGER) AS binary FROM embeddings",
     "lines": """
         SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
@@ -246,7 +251,7 @@ SQL = {
           FROM docs)""",
 }
 # Bindings that other bindings read.
-DEPENDS = {"people_nulls": ["people"], "scores": ["docs"]}
+DEPENDS = {"people_nulls": ["people"], "docs": ["docs_all"], "scores": ["docs"]}
 
 
 def with_sql(body: str, *names: str, extra: str = "") -> str:

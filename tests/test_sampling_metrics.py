@@ -130,3 +130,11 @@ def test_knn_hot_copy_group(spark):
         got.setdefault(r["q_id"], {})[r["nn_rank"]] = r["nn_id"]
     exp = _brute_knn(pts, 3)
     assert {q: [v[i] for i in range(3)] for q, v in got.items()} == exp
+
+
+def test_smote_makes_exactly_what_is_missing(spark):
+    """need < n_min: rows of rank >= need serve no draw."""
+    rows = [(i, float(i), float(i % 7), int(i >= 15)) for i in range(25)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, label int")
+    out = G.smote(df, ["a", "b"], "label", 1.0, k=3)
+    assert out.where("synthetic").count() == 5 and out.where("label = 1").count() == 15

@@ -62,14 +62,38 @@ def test_ttest_paired_zero_variance_is_null(spark):
     assert r["better_method"] == "no significant difference"
 
 
-def test_bootstrap_rows_and_cells_agree_in_distribution(spark):
+def test_bootstrap_interval_and_draws(spark):
     rows = [(i, i % 2, 1 if i % 3 else i % 2) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id long, y int, yhat int")
     a = S.bootstrap_ci(df, n_boot=200).first()
-    b = S.bootstrap_ci(df, n_boot=200, method="cells").first()
-    assert a["accuracy"] == b["accuracy"]
     assert a["accuracy_ci_lower"] < a["accuracy"] < a["accuracy_ci_upper"]
-    assert abs(a["accuracy_ci_lower"] - b["accuracy_ci_lower"]) < 0.05
+    # the same interval at any partitioning, and draws with a Poisson's mean and variance at every mean
+    assert S.bootstrap_ci(df.repartition(7), n_boot=200).first() == a
+    for mean in (0.0, 1.0, 12.0, 900.0, 1e9):
+        t = spark.range(20000).select(S.poisson_draw(F.lit(mean), F.rand(1), F.rand(2)).alias("k"))
+        m, v = t.agg(F.avg("k"), F.var_samp("k")).first()
+        assert m == pytest.approx(mean, rel=0.05, abs=1e-9) and v == pytest.approx(mean, rel=0.1, abs=1e-9)
+
+
+def test_correlation_is_one_definition_at_every_width(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 45))
+    x[:, 1] += x[:, 0]
+    x[:, 7] = 3.25
+    hole = rng.random(x.shape) < 0.05
+    rows = [[None if h else float(v) for v, h in zip(r, hr)] for r, hr in zip(x, hole)]
+    cols = [f"c{i}" for i in range(45)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    wide = {(r["a"], r["b"]): r["corr"] for r in S.corr_matrix(df, cols).collect()}
+    few = {(r["a"], r["b"]): r["corr"] for r in S.corr_matrix(df, cols[:9]).collect()}
+    assert len(wide) == 45 * 44 // 2
+    for (a, b), r in few.items():
+        assert wide[(a, b)] == (None if r is None else pytest.approx(r, rel=1e-9))
+        both = ~hole[:, int(a[1:])] & ~hole[:, int(b[1:])]
+        if "c7" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(x[both, int(a[1:])], x[both, int(b[1:])])[0, 1], rel=1e-9)
 
 
 def test_exact_quantiles_distributed_path_equals_percentile(spark):
@@ -80,7 +104,7 @@ def test_exact_quantiles_distributed_path_equals_percentile(spark):
     x[::3] = 5.0                                  # one value holds a third of the rows
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["x"], probs, small_distinct=100, max_collect=50, bins=64)["x"]
+    got = exact_quantiles(df, ["x"], probs, accuracy=100, small=50, bins=64)["x"]
     ref = list(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0])
     assert got == ref
 
