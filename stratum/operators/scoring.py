@@ -176,64 +176,20 @@ EVENT_EMISSIONS = {
 }
 
 
-# events per key folded in one task: the fold appends back-pointers to an
-# immutable array (O(T²) copying), so beyond this use viterbi_decode_long
-MAX_SEQUENTIAL = 100_000
-
-
 def viterbi_decode(obs: DataFrame, key: str, order: list[str], symbol: str, states=FX.STATES,
                    trans=FX.TRANSITIONS, emis=EVENT_EMISSIONS, initial_from: str = "Low",
-                   unknown: float = FX.UNKNOWN_EMISSION, max_sequential: int = MAX_SEQUENTIAL) -> DataFrame:
+                   unknown: float = FX.UNKNOWN_EMISSION) -> DataFrame:
     """Most likely hidden-state path per key (log space).  Initial scores use the
     transition row of ``initial_from``; an unseen symbol has emission ``unknown``;
     ties go to the lexicographically largest state.
 
-    Per key the ordered observations are folded with ``aggregate`` carrying the
-    three scores and back-pointers; the path is recovered by a second fold over
-    the reversed pointers.  Output: key, n_obs, log_prob, path (comma-joined)."""
-    longest = obs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if longest > max_sequential:
-        raise ValueError(f"a key holds {longest} events; use sequence.viterbi_decode_long (max-plus segments)")
-    S = list(states)
-    lt = [[math.log(trans[a][b]) for b in S] for a in S]
-    lunk = math.log(unknown)
-    lmaps = [_lit_map({o: math.log(p) for o, p in emis[s].items()}) for s in S]
-
-    def le(j, o):
-        return F.coalesce(F.try_element_at(lmaps[j], o), F.lit(lunk))
-
-    def pick(a, b):  # a, b: struct(v, name, idx) — larger v, then larger name
-        return F.when((a["v"] > b["v"]) | ((a["v"] == b["v"]) & (a["name"] > b["name"])), a).otherwise(b)
-
-    def best(cands):
-        r = cands[0]
-        for c in cands[1:]:
-            r = pick(r, c)
-        return r
-
-    seq = (obs.groupBy(key)
-           .agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(symbol).alias("_o"))))
-                .alias("_seq")))
-    first = F.col("_seq")[0]["_o"]
-    init = F.struct(F.array(*[F.lit(math.log(trans[initial_from][s])) + le(j, first) for j, s in enumerate(S)])
-                    .alias("s"), F.array().cast("array<array<int>>").alias("bp"))
-
-    def step(acc, x):
-        news, ptr = [], []
-        for j in range(len(S)):
-            b = best([F.struct((acc["s"][i] + F.lit(lt[i][j])).alias("v"), F.lit(S[i]).alias("name"),
-                               F.lit(i).alias("idx")) for i in range(len(S))])
-            news.append(b["v"] + le(j, x["_o"]))
-            ptr.append(b["idx"])
-        return F.struct(F.array(*news).alias("s"), F.concat(acc["bp"], F.array(F.array(*ptr))).alias("bp"))
-
-    fold = F.aggregate(F.slice(F.col("_seq"), 2, 1 << 30), init, step)
-    t = seq.select(key, F.size("_seq").alias("n_obs"), fold.alias("_f"))
-    fin = best([F.struct(F.col("_f")["s"][i].alias("v"), F.lit(S[i]).alias("name"), F.lit(i).alias("idx"))
-                for i in range(len(S))])
-    t = t.select(key, "n_obs", fin["v"].alias("log_prob"), fin["idx"].alias("_last"), F.col("_f")["bp"].alias("_bp"))
-    back = F.aggregate(F.reverse(F.col("_bp")), F.array(F.col("_last")),
-                       lambda acc, b: F.concat(acc, F.array(F.element_at(b, F.element_at(acc, -1) + 1))))
-    names = F.array(*[F.lit(s) for s in S])
-    path = F.transform(F.reverse(back), lambda i: F.element_at(names, i + 1))
-    return t.select(key, "n_obs", "log_prob", F.concat_ws(",", path).alias("path"))
+    Decoding is ``sequence.viterbi_states`` (segments of bounded size, whatever a
+    key's length), which also gives the states one row per event; here a key's
+    states are joined into one string.  Output: key, n_obs, log_prob, path."""
+    from stratum.operators.sequence import viterbi_states
+
+    per_event, scores = viterbi_states(obs, key, order, symbol, states, trans, emis, initial_from, unknown)
+    path = per_event.groupBy(F.col(key).alias("_pk")).agg(
+        F.array_sort(F.collect_list(F.struct(*order, "state"))).alias("_p"))
+    t = scores.join(path, F.col(key).eqNullSafe(F.col("_pk")))
+    return t.select(key, F.col("n_obs").cast("int").alias("n_obs"), "log_prob", F.concat_ws(",", F.col("_p.state")).alias("path"))

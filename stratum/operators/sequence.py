@@ -1,5 +1,5 @@
-"""Viterbi decoding for arbitrarily long sequences (a key may hold a third of
-all rows) via the associative max-plus formulation.
+"""Viterbi decoding of sequences of any length (a key may hold a third of all
+rows) by the associative max-plus formulation.
 
 With V_0 = e_start (log-space: 0 for the start row, −inf elsewhere) and
 M_t[i][j] = log T[i][j] + log E[j](o_t), the Viterbi scores are
@@ -7,18 +7,17 @@ V_T = V_0 ⊗ M_1 ⊗ … ⊗ M_T in the (max, +) semiring, and ⊗ is associati
 
 1. events are range-partitioned on (key, order…) and sorted within partitions
    (a hot key spans many partitions) and the layout is checkpointed;
-2. every run of one key inside one partition (a *segment*, bounded by the
-   partition size) is reduced to its 3×3 transfer matrix in parallel;
-3. per key, the segments (≤ number of partitions) are combined in order:
-   forward boundary vectors, the best final state, then backwards the best
-   entry state of every segment given its exit state;
-4. every segment is decoded on its own with fixed entry and exit states.
-
-Ties go to the lexicographically largest state, as in the per-key fold; the
-grouping of additions differs from a strictly sequential fold, so among
-paths whose scores tie exactly in real arithmetic either may be returned
-(the score is the same).  Output: one row per event with its state, plus
-``viterbi_scores`` with the per-key log-probability.
+2. every run of one key inside one partition (a *segment*, one row per key and
+   partition whatever the batches) is reduced to its transfer matrix;
+3. per key, the segments (≤ number of partitions) are passed through in order:
+   the scores with which each segment begins, and the best final state;
+4. every segment, from those scores, gets the back-pointers of the sequential
+   recursion, hence for each possible exit state its path and its entry state;
+5. per key, entry states are followed backwards, which fixes each exit state.
+
+Work inside a task is vectorised over the segments of a batch.  Ties go to the
+lexicographically largest state.  A null key is a key; events that are equal in
+``order`` are taken in the order of their symbols.
 """
 
 from __future__ import annotations
@@ -33,109 +32,161 @@ from pyspark.sql import functions as F
 from stratum.operators import form as FX
 from stratum.session import cut_lineage
 
-NEG = -np.inf
 
-
-def _tables(states, trans, emis, unknown):
-    S = list(states)
-    lt = np.array([[math.log(trans[a][b]) for b in S] for a in S])
-    le = {s: {o: math.log(p) for o, p in emis[s].items()} for s in S}
-    return S, lt, le, math.log(unknown)
-
-
-def _emis_matrix(symbols, S, le, lunk):
-    return np.array([[le[s].get(o, lunk) for s in S] for o in symbols])  # T × n
-
-
-def _maxplus(A, B):
-    return np.max(A[:, :, None] + B[None, :, :], axis=1)
-
-
-def _argbest(vals, S):
-    """Index of the max value; ties → lexicographically largest state name."""
-    best = None
-    for i, v in enumerate(vals):
-        if best is None or v > vals[best] or (v == vals[best] and S[i] > S[best]):
-            best = i
-    return best
-
-
-def viterbi_decode_long(obs: DataFrame, key: str, order: list[str], symbol: str, states=FX.STATES,
-                        trans=FX.TRANSITIONS, emis=None, initial_from: str = "Low",
-                        unknown: float = FX.UNKNOWN_EMISSION, n_partitions: int | None = None):
-    """Returns (per-event states DataFrame, per-key scores DataFrame)."""
+def _runs(pdf: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Start positions of the runs of equal (null-safe) values of ``by``."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for c in by:
+        v, w = pdf[c].iloc[1:], pdf[c].shift().iloc[1:]
+        new[1:] |= ~((v == w) | (v.isna() & w.isna())).to_numpy(bool)
+    return np.flatnonzero(new)
+
+
+def _reduce(m: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Max-plus product of each run's matrices, halving all runs at once."""
+    while True:
+        start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        place = np.arange(len(run)) - np.repeat(start, np.diff(np.r_[start, len(run)]))
+        if not place.any():
+            return m
+        first = np.flatnonzero(place % 2 == 0)
+        pair = np.flatnonzero(place % 2 == 1)
+        out = m[first].copy()
+        at = np.searchsorted(first, pair - 1)
+        out[at] = np.max(m[pair - 1][:, :, :, None] + m[pair][:, None, :, :], axis=2)
+        m, run = out, run[first]
+
+
+def _segments(pdf: pd.DataFrame, starts: np.ndarray, enter: np.ndarray, emit: np.ndarray, lt: np.ndarray):
+    """(state per event and exit state, entry state per segment and exit state)."""
+    n, total = lt.shape[0], len(pdf)
+    lens = np.diff(np.r_[starts, total])
+    by = np.argsort(-lens, kind="stable")  # active segments are always a prefix
+    starts, lens, v = starts[by], lens[by], enter[by].copy()
+    back = np.zeros((total, n), np.int64)
+    active = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right") if len(lens) else []
+    for t, a in enumerate(active):
+        cand = v[:a, :, None] + lt[None]
+        at = starts[:a] + t
+        back[at] = cand.argmax(axis=1)
+        v[:a] = cand.max(axis=1) + emit[at]
+    path = np.zeros((total, n), np.int64)
+    now = np.tile(np.arange(n), (len(starts), 1))
+    for t in range(len(active) - 1, -1, -1):
+        a = active[t]
+        at = starts[:a] + t
+        path[at] = now[:a]
+        now[:a] = np.take_along_axis(back[at], now[:a], axis=1)
+    entry = np.empty_like(now)
+    entry[by] = now
+    return path, entry
+
+
+def viterbi_states(obs: DataFrame, key: str, order: list[str], symbol: str, states=FX.STATES, trans=FX.TRANSITIONS,
+                   emis=None, initial_from: str = "Low", unknown: float = FX.UNKNOWN_EMISSION,
+                   n_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, order…, state) with one row per event, and (key, log_prob, n_obs) with one per key."""
     from stratum.operators.scoring import EVENT_EMISSIONS
 
     emis = emis or EVENT_EMISSIONS
-    S, lt, le, lunk = _tables(states, trans, emis, unknown)
-    n = len(S)
-    start = S.index(initial_from)
-    spark = obs.sparkSession
-    n_partitions = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ev = (obs.select(key, *order, symbol).repartitionByRange(n_partitions, key, *order)
-          .sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id()))
-    ev = cut_lineage(ev)  # fixed partition layout for both passes, survives executor loss
-
+    names = sorted(states, reverse=True)  # argmax takes the first of equals: the largest name
+    n = len(names)
+    lt = np.array([[math.log(trans[a][b]) for b in names] for a in names])
+    le = {s: {o: math.log(p) for o, p in emis[s].items()} for s in names}
+    lunk, start = math.log(unknown), names.index(initial_from)
+
+    def emissions(symbols):
+        kinds, at = np.unique(np.array([str(s) for s in symbols], object), return_inverse=True)
+        table = np.array([[le[s].get(o, lunk) for s in names] for o in kinds]).reshape(-1, n)
+        return table[at]
+
+    parts = n_partitions or int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ev = cut_lineage(obs.select(key, *order, symbol).repartitionByRange(parts, key, *order)
+                     .sortWithinPartitions(key, *order, symbol).withColumn("_pid", F.spark_partition_id()))
     kt = ev.schema[key].dataType.simpleString()
-    mcols = ", ".join(f"m{i}{j} double" for i in range(n) for j in range(n))
+    mcols, ucols = [f"m{i}" for i in range(n * n)], [f"u{i}" for i in range(n)]
 
-    def transfer(it):
-        for pdf in it:
+    def transfer(batches):
+        carry = None  # the segment that may go on in the next batch: (key, pid, events, matrix)
+        for pdf in batches:
             if pdf.empty:
                 continue
-            out = []
-            for (k, pid), g in pdf.groupby([key, "_pid"], sort=False):
-                E = _emis_matrix(g[symbol].tolist(), S, le, lunk)
-                P = lt + E[0][None, :]
-                for t in range(1, len(E)):
-                    P = _maxplus(P, lt + E[t][None, :])
-                out.append((k, int(pid), len(E), *P.ravel().tolist()))
-            yield pd.DataFrame(out, columns=[key, "_pid", "_n", *[f"m{i}{j}" for i in range(n) for j in range(n)]])
-
-    seg = ev.mapInPandas(transfer, f"{key} {kt}, _pid int, _n long, {mcols}")
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+            starts = _runs(pdf, [key])
+            lens = np.diff(np.r_[starts, len(pdf)])
+            run = np.repeat(np.arange(len(starts)), lens)
+            m = list(_reduce(lt[None] + emissions(pdf[symbol])[:, None, :], run))
+            rows = [[k, int(pdf["_pid"].iloc[0]), int(c), x] for k, c, x in zip(pdf[key].iloc[starts], lens, m)]
+            if carry is not None:
+                same = (carry[0] == rows[0][0]) or (pd.isna(carry[0]) and pd.isna(rows[0][0]))
+                if same:
+                    rows[0][2] += carry[2]
+                    rows[0][3] = np.max(carry[3][:, :, None] + rows[0][3][None], axis=1)
+                else:
+                    rows.insert(0, carry)
+            carry = rows.pop()
+            if rows:
+                yield pd.DataFrame([[k, p, c, *x.ravel()] for k, p, c, x in rows], columns=[key, "_pid", "_n", *mcols])
+        if carry is not None:
+            yield pd.DataFrame([[*carry[:3], *carry[3].ravel()]], columns=[key, "_pid", "_n", *mcols])
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pid")
-        mats = [np.array([[r[f"m{i}{j}"] for j in range(n)] for i in range(n)]) for _, r in pdf.iterrows()]
-        U = [np.full(n, NEG)]
-        U[0][start] = 0.0
-        for M in mats:
-            U.append(np.max(U[-1][:, None] + M, axis=0))
-        j = _argbest(U[-1], S)
-        entries, exits = [0] * len(mats), [0] * len(mats)
-        for s in range(len(mats) - 1, -1, -1):
-            exits[s] = j
-            i = _argbest(U[s] + mats[s][:, j], S)
-            entries[s] = i
-            j = i
-        return pd.DataFrame({key: pdf[key].values, "_pid": pdf["_pid"].values, "_entry": entries, "_exit": exits,
-                             "log_prob": [float(np.max(U[-1]))] * len(mats), "n_obs": [int(pdf["_n"].sum())] * len(mats)})
-
-    plan = seg.groupBy(key).applyInPandas(
-        combine, f"{key} {kt}, _pid int, _entry int, _exit int, log_prob double, n_obs long")
-    plan = cut_lineage(plan)
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        E = _emis_matrix(pdf[symbol].tolist(), S, le, lunk)
-        T = len(E)
-        entry, exit_ = int(pdf["_entry"].iloc[0]), int(pdf["_exit"].iloc[0])
-        V = lt[entry] + E[0]
-        bp = np.zeros((T, n), dtype=int)
-        for t in range(1, T):
-            cand = V[:, None] + lt
-            for j in range(n):
-                bp[t, j] = _argbest(cand[:, j], S)
-            V = cand[bp[t], np.arange(n)] + E[t]
-        path = [exit_]
-        for t in range(T - 1, 0, -1):
-            path.append(bp[t, path[-1]])
-        path.reverse()
-        return pd.DataFrame({key: pdf[key].values, **{c: pdf[c].values for c in order},
-                             "state": [S[i] for i in path]})
+        u, seen = np.full(n, -np.inf), []
+        u[start] = 0.0
+        for m in pdf[mcols].to_numpy().reshape(-1, n, n):
+            seen.append(u)
+            u = np.max(u[:, None] + m, axis=0)
+        out = pd.DataFrame(np.array(seen), columns=ucols)
+        out.insert(0, key, pdf[key].to_numpy())
+        out.insert(1, "_pid", pdf["_pid"].to_numpy())
+        return out.assign(_last=int(np.argmax(u)), log_prob=float(np.max(u)), n_obs=int(pdf["_n"].sum()))
+
+    seg = ev.mapInPandas(transfer, f"{key} {kt}, _pid int, _n long, " + ", ".join(f"{c} double" for c in mcols))
+    plan = cut_lineage(seg.groupBy(key).applyInPandas(
+        enter, f"{key} {kt}, _pid int, " + ", ".join(f"{c} double" for c in ucols) + ", _last int, log_prob double, n_obs long"))
+
+    def side(df, *cols):  # (key, _pid) under other names, for null-safe joins
+        return df.select(F.col(key).alias("_jk"), F.col("_pid").alias("_jp"), *cols)
+
+    on = F.col(key).eqNullSafe(F.col("_jk")) & (F.col("_pid") == F.col("_jp"))
+    ccols, ecols = [f"_c{j}" for j in range(n)], [f"_e{j}" for j in range(n)]
+    met = (ev.join(side(plan, *ucols), on).drop("_jk", "_jp").repartition(parts, key, "_pid")
+           .sortWithinPartitions(key, "_pid", *order, symbol))
+
+    def decode(batches):
+        held = None  # rows of the segment that may go on
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            starts = _runs(pdf, [key, "_pid"])
+            held = pdf.iloc[starts[-1]:] if len(starts) else pdf
+            if len(starts) > 1:
+                yield out(pdf.iloc[:starts[-1]], starts[:-1])
+        if held is not None and len(held):
+            yield out(held.reset_index(drop=True), np.zeros(1, int))
+
+    def out(pdf, starts):
+        path, entry = _segments(pdf, starts, pdf[ucols].to_numpy()[starts], emissions(pdf[symbol]), lt)
+        res = pdf[[key, "_pid", *order]].copy()
+        res[ccols] = path
+        first = np.full((len(pdf), n), -1)
+        first[starts] = entry
+        res[ecols] = first
+        return res
 
     ocols = ", ".join(f"{c} {ev.schema[c].dataType.simpleString()}" for c in order)
-    states_df = (ev.join(plan.select(key, "_pid", "_entry", "_exit"), [key, "_pid"])
-                 .groupBy(key, "_pid").applyInPandas(decode, f"{key} {kt}, {ocols}, state string"))
-    scores = plan.groupBy(key).agg(F.first("log_prob").alias("log_prob"), F.first("n_obs").alias("n_obs"))
-    return states_df, scores
+    paths = cut_lineage(met.mapInPandas(decode, f"{key} {kt}, _pid int, {ocols}, " + ", ".join(f"{c} int" for c in ccols + ecols)))
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid", ascending=False)
+        at, exits = int(pdf["_last"].iloc[0]), []
+        for row in pdf[ecols].to_numpy():
+            exits.append(at)
+            at = int(row[at])
+        return pd.DataFrame({key: pdf[key], "_pid": pdf["_pid"], "_exit": exits})
+
+    heads = paths.where(F.col(ecols[0]) >= 0).select(key, "_pid", *ecols).join(side(plan, "_last"), on).drop("_jk", "_jp")
+    exits = heads.groupBy(key).applyInPandas(leave, f"{key} {kt}, _pid int, _exit int")
+    state = F.element_at(F.array(*[F.lit(s) for s in names]), F.element_at(F.array(*ccols), F.col("_exit") + 1) + 1)
+    result = paths.join(side(exits, "_exit"), on).select(key, *order, state.alias("state"))
+    return result, plan.groupBy(key).agg(F.first("log_prob").alias("log_prob"), F.first("n_obs").alias("n_obs"))

@@ -225,17 +225,22 @@ def q_viterbi_decode(spark, sf):
     "SELECT user_id, CAST(t AS INTEGER) AS n_obs, fin.v AS log_prob, fin.p AS path",
     "SELECT user_id, CAST(t AS BIGINT) AS n_obs, fin.v AS log_prob"))
 def q_viterbi_scores_long(spark, sf):
-    """Scale path (max-plus segments over range partitions): per-user best log-probability."""
-    from stratum.operators.sequence import viterbi_decode_long
+    """Per-user best log-probability."""
+    from stratum.operators.sequence import viterbi_states
 
-    _, scores = viterbi_decode_long(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
+    _, scores = viterbi_states(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
     return scores.select("user_id", "n_obs", "log_prob")
 
 
-@register("viterbi_states_long")
+@register("viterbi_states_long", uses=("obs",), sql=_viterbi_sql().replace(
+    "SELECT user_id, CAST(t AS INTEGER) AS n_obs, fin.v AS log_prob, fin.p AS path",
+    "SELECT s.user_id, s.ts, s.event_id, split_part(fin.p, ',', CAST(s.t AS INTEGER)) AS state").replace(
+    "FROM (SELECT user_id, t, ", "FROM (SELECT user_id AS _u, t AS _t, ").replace(
+    "FROM last)", "FROM last) f JOIN seq s ON s.user_id = f._u").replace(
+    "SELECT user_id, event_type AS o,", "SELECT user_id, ts, event_id, event_type AS o,"))
 def q_viterbi_states_long(spark, sf):
-    """Scale path: one decoded state per event (an optimal path; exact ties may resolve differently)."""
-    from stratum.operators.sequence import viterbi_decode_long
+    """One decoded state per event."""
+    from stratum.operators.sequence import viterbi_states
 
-    states, _ = viterbi_decode_long(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
+    states, _ = viterbi_states(bd.obs(spark, sf), "user_id", ["ts", "event_id"], "event_type")
     return states

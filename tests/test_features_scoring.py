@@ -111,26 +111,46 @@ def test_stream_equals_batch(spark):
     assert got == exp
 
 
-def test_viterbi_long_hot_key_spans_partitions(spark):
-    from stratum.operators.sequence import viterbi_decode_long
-
-    rng = np.random.default_rng(7)
-    syms = ["view", "click", "purchase", "signup", "error", "unseen"]
-    rows = [(1, t, t, syms[rng.integers(0, 6)]) for t in range(400)] + \
-           [(2, t, t, syms[rng.integers(0, 6)]) for t in range(7)]
-    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string")
-    states, scores = viterbi_decode_long(df, "user_id", ["ts", "event_id"], "event_type", n_partitions=16)
-    assert states.count() == 407
-    seq = {r["user_id"]: r for r in K.viterbi_decode(df, "user_id", ["ts", "event_id"], "event_type").collect()}
-    got = {r["user_id"]: r["log_prob"] for r in scores.collect()}
-    paths = {}
-    for r in states.orderBy("user_id", "ts").collect():
-        paths.setdefault(r["user_id"], []).append(r["state"])
-    E_ = K.EVENT_EMISSIONS
-    for u, path in paths.items():
-        obs = [r[3] for r in rows if r[0] == u]
-        lp = math.log(FX.TRANSITIONS["Low"][path[0]]) + math.log(E_[path[0]].get(obs[0], FX.UNKNOWN_EMISSION))
-        for t in range(1, len(obs)):
-            lp += math.log(FX.TRANSITIONS[path[t - 1]][path[t]]) + math.log(E_[path[t]].get(obs[t], FX.UNKNOWN_EMISSION))
-        assert lp == pytest.approx(got[u], rel=1e-9)           # the decoded path is optimal
-        assert got[u] == pytest.approx(seq[u]["log_prob"], rel=1e-9)
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_viterbi_hot_key_spans_partitions_and_batches(spark, batch):
+    """Segments that cross partitions and Arrow batches: one state per event, the sequential recursion's path."""
+    from stratum.operators.sequence import viterbi_states
+
+    rng = np.random.default_rng(5)
+    kinds = ["view", "click", "purchase", "signup", "error", "odd"]
+    rows, t = [], 0
+    for u, size in ((1, 1500), (2, 1), (3, 40), (None, 25), *((10 + i, 6) for i in range(30))):
+        for _ in range(size):
+            t += 1
+            rows.append((u, t, int(rng.integers(0, 3)), kinds[rng.integers(0, 6)]))
+    df = spark.createDataFrame(rows, "user_id long, ts long, event_id long, event_type string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        states, scores = viterbi_states(df, "user_id", ["ts", "event_id"], "event_type", n_partitions=6)
+        got = {(r["user_id"], r["ts"]): r["state"] for r in states.collect()}
+        assert states.count() == len(rows) == len(got)
+        score = {r["user_id"]: (r["n_obs"], r["log_prob"]) for r in scores.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for u, ts, _, e in sorted(rows, key=lambda r: r[1]):
+        by.setdefault(u, []).append((ts, e))
+    for u, seq in by.items():
+        lp, path = _recursion([e for _, e in seq])
+        assert score[u][0] == len(seq) and score[u][1] == pytest.approx(lp, rel=1e-9)
+        assert [got[(u, ts)] for ts, _ in seq] == path
+
+
+def _recursion(obs):
+    """The recursion, event by event; ties to the largest state name."""
+    le = lambda s, o: math.log(K.EVENT_EMISSIONS[s].get(o, FX.UNKNOWN_EMISSION))
+    lt = lambda a, b: math.log(FX.TRANSITIONS[a][b])
+    v, back = {s: lt("Low", s) + le(s, obs[0]) for s in FX.STATES}, []
+    for o in obs[1:]:
+        best = {s: max(FX.STATES, key=lambda r: (v[r] + lt(r, s), r)) for s in FX.STATES}
+        v, back = {s: v[best[s]] + lt(best[s], s) + le(s, o) for s in FX.STATES}, back + [best]
+    at = max(FX.STATES, key=lambda s: (v[s], s))
+    path, lp = [at], v[at]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return lp, path[::-1]
