@@ -67,6 +67,21 @@ def prepare_features(df: DataFrame, target: str, key: str = "row_id") -> DataFra
     return interactions(out, nums) if len(nums) >= 2 else out
 
 
+def fit_scale(df: DataFrame, cols: list[str], kind: str = "minmax") -> dict[str, tuple[float, float]]:
+    """{column: (shift, divisor)} from one aggregation; a constant column's divisor is 1."""
+    x = [F.col(c).cast("double") for c in cols]
+    if kind == "minmax":
+        p = _fit(df, [a for i, v in enumerate(x) for a in (F.min(v).alias(f"s{i}"), (F.max(v) - F.min(v)).alias(f"d{i}"))])
+    else:
+        p = _fit(df, [a for i, v in enumerate(x) for a in (F.avg(v).alias(f"s{i}"), F.stddev_pop(v).alias(f"d{i}"))])
+    return {c: (float(p[f"s{i}"] or 0.0), float(p[f"d{i}"] or 1.0)) for i, c in enumerate(cols)}
+
+
+def apply_scale(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
+    ex = {c: ((F.col(c).cast("double") - F.lit(s)) / F.lit(d)).alias(c) for c, (s, d) in params.items()}
+    return df.select(*[ex.get(c, F.col(c)) for c in df.columns])
+
+
 def scale_minmax(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x − min)/(max − min); a constant column maps to 0."""
     p = _fit(df, [a for i, c in enumerate(cols) for a in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))])
@@ -178,26 +193,25 @@ def explained_variance(spark, ratio) -> DataFrame:
 
 # ------------------------------------------------------------------------- ICA
 
-def ica_components(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 200, tol: float = 1e-4,
-                   seed: int = 42, key: str = "row_id") -> tuple[DataFrame, dict]:
+def ica_fit(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 1000, tol: float = 1e-4,
+            seed: int = 42) -> dict:
     """FastICA (parallel, logcosh) on PCA-whitened data.
 
     Each iteration is ONE aggregation over the cached whitened rows producing
     E[tanh(Wz)·zᵀ] (k² sums) and E[1 − tanh²(Wz)] (k sums); the k×k update and
-    symmetric decorrelation (eigh) run on the driver.  Returns (frame with
-    IC1..ICk, info {converged, n_iter, residual, unmixing})."""
-    n = df.count()
+    symmetric decorrelation (eigh) run on the driver.  Returns mean, matrix
+    (columns → components), converged, n_iter, residual, unmixing."""
     d = len(cols)
-    k = k or min(n, d, 10)
+    k = k or min(df.count(), d, 10)
     fit = pca_fit(df, cols)
     comp = fit["components"][:, :k]
     # whitening: divide each principal score by its standard deviation
-    var_total = df.na.drop(subset=cols).agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    clean = df.na.drop(subset=cols)
+    var_total = clean.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in cols]).first()
     total = sum(float(var_total[c] or 0.0) for c in cols)
     sd = np.sqrt(np.maximum(fit["ratio"][:k] * total, 1e-300))
     zcols = [f"_z{j}" for j in range(k)]
-    keep = [c for c in df.columns if c not in cols]
-    z = _project(df.na.drop(subset=cols), cols, fit["mean"], comp / sd[None, :], zcols, keep).persist()
+    z = _project(clean, cols, fit["mean"], comp / sd[None, :], zcols, []).persist()
 
     rng = np.random.default_rng(seed)
     W = _sym_decorrelate(rng.standard_normal((k, k)))
@@ -220,15 +234,22 @@ def ica_components(df: DataFrame, cols: list[str], k: int | None = None, max_ite
         if resid < tol:
             converged = True
             break
-    names = [f"IC{i + 1}" for i in range(k)]
-    outs = []
-    for i, nm in enumerate(names):
-        e = F.col(zcols[0]) * F.lit(float(W[i, 0]))
-        for j in range(1, k):
-            e = e + F.col(zcols[j]) * F.lit(float(W[i, j]))
-        outs.append(e.alias(nm))
-    res = z.select(*keep, *outs)
-    return res, {"converged": converged, "n_iter": it, "residual": resid, "unmixing": W}
+    z.unpersist()
+    return {"mean": fit["mean"], "matrix": (comp / sd[None, :]) @ W.T, "converged": converged, "n_iter": it,
+            "residual": resid, "unmixing": W}
+
+
+def ica_apply(df: DataFrame, cols: list[str], fit: dict) -> DataFrame:
+    """IC1..ICk of complete rows, other columns kept."""
+    names = [f"IC{i + 1}" for i in range(fit["matrix"].shape[1])]
+    return _project(df.na.drop(subset=cols), cols, fit["mean"], fit["matrix"], names, [c for c in df.columns if c not in cols])
+
+
+def ica_components(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 1000, tol: float = 1e-4,
+                   seed: int = 42, key: str = "row_id") -> tuple[DataFrame, dict]:
+    """(frame with IC1..ICk, the fit) on the same rows."""
+    fit = ica_fit(df, cols, k, max_iter, tol, seed)
+    return ica_apply(df, cols, fit), fit
 
 
 def _sym_decorrelate(W: np.ndarray) -> np.ndarray:
@@ -257,8 +278,8 @@ def feature_importance_rank(model, feats: list[str]) -> list[tuple[str, float]]:
     return []
 
 
-def select_features_by_importance(df: DataFrame, feats: list[str], label: str = "label", num_trees: int = 50,
-                                  seed: int = 42, max_depth: int = 10) -> tuple[list[str], DataFrame]:
+def select_features_by_importance(df: DataFrame, feats: list[str], label: str = "label", num_trees: int = 200,
+                                  seed: int = 42, max_depth: int = 30) -> tuple[list[str], DataFrame]:
     """Random-forest importances; keep features with importance ≥ the median."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler

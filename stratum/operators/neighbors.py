@@ -115,9 +115,11 @@ def _band_knn(points: DataFrame, key: str, feats: list[str], k: int, density: in
 
     # 2. exact band join on equal-width cells
     Qr = Q.join(R, "q_id", "left").withColumn("_r2", F.coalesce("_r2", F.lit(float("inf"))))
-    rad = F.sqrt(F.col("_r2"))
-    lo_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(lo))).otherwise(cell(F.col("q_p") - rad))
-    hi_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(hi))).otherwise(cell(F.col("q_p") + rad))
+    # a little wider than the radius: a projection's rounding must not lose a neighbour at exactly
+    # that distance; the distance test below stays exact
+    rad = F.sqrt(F.col("_r2")) * (1 + 1e-9) + (F.abs(F.col("q_p")) + w) * 1e-9
+    lo_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(lo))).otherwise(F.greatest(cell(F.lit(lo)), cell(F.col("q_p") - rad)))
+    hi_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(hi))).otherwise(F.least(cell(F.lit(hi)), cell(F.col("q_p") + rad)))
     e = Qr.select("q_id", *[f"q_{f}" for f in feats], "_r2", F.explode(F.sequence(lo_c, hi_c)).alias("cb"))
     j = e.join(P.select(*pcols, "cb"), "cb")
     if exclude_self:

@@ -130,14 +130,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                       F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
 
 
-def kde_grid(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, prebin: int | None = None) -> DataFrame:
+def kde_grid(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, prebin: int = 4096) -> DataFrame:
     """Gaussian KDE on a ``grid``-point grid spanning [min - cut·bw, max + cut·bw],
-    Scott bandwidth std·n^(-1/5).  Rows are first collapsed to distinct values
-    (exact), then each distinct value contributes to every grid point and a
-    partial aggregation sums per grid point, so the shuffle is grid-sized.
-    ``prebin=B`` (opt-in, for continuous columns with ~n distinct values)
-    replaces each value by the centre of its bin among B equal-width bins
-    first: work O(grid × B), position error ≤ half a bin width."""
+    Scott bandwidth std·n^(-1/5) of the values themselves.  By definition each value
+    stands at the centre of its bin among ``prebin`` equal widths of [min, max] (off by
+    half a bin at most), so the sum runs over grid × prebin terms at any size; rows
+    meet only in the partial count per bin."""
     x = F.col(col).cast("double")
     p = _scalars(df, F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
     n, sd, mn, mx = p["n"], p["sd"], p["mn"], p["mx"]
@@ -148,7 +146,7 @@ def kde_grid(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0, prebin:
     lo, hi = mn - cut * bw, mx + cut * bw
     step = (hi - lo) / (grid - 1)
     v = x
-    if prebin and mx > mn:
+    if mx > mn:
         bw_bin = (mx - mn) / prebin
         v = F.lit(mn) + (F.least(F.floor((x - F.lit(mn)) / F.lit(bw_bin)), F.lit(prebin - 1)) + 0.5) * F.lit(bw_bin)
     distinct = df.where(x.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
@@ -184,9 +182,11 @@ def box_stats(df: DataFrame, group: str, value: str, approx: bool = False) -> Da
             group, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    j = df.where(x.isNotNull()).select(group, x.alias("_v")).join(q, group)
+    # rows meet their group's quartiles as counts per (group, value): a hot group is combined map-side first
+    counts = df.where(x.isNotNull()).groupBy(group, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    j = counts.join(q, group)
     inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
     return j.groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.sum((~inside).cast("long")).alias("n_outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"))

@@ -62,6 +62,6 @@ def register(name: str, sql: str | None = None, uses: tuple[str, ...] = (), dbl:
 def load_all():
     """Import every query module (registration happens at import)."""
     from stratum.plans import (  # noqa: F401
-        q_profile, q_clean, q_encode, q_features, q_stats, q_sampling, q_models, q_metrics, q_scoring,
+        q_profile, q_clean, q_features, q_stats, q_sampling, q_models, q_metrics, q_scoring,
     )
     return QUERIES, ORACLE

@@ -245,6 +245,14 @@ def q_binarize_target_split3(spark, sf):
     return D.binarize_target(bd.vecs(spark, sf).select("row_id", "label"), "label", "split3").select("row_id", "target")
 
 
+@register("binarize_target_threshold", uses=("vecs", "people"), sql="""
+    SELECT row_id, CAST(n_orders >= 3 AS INTEGER) AS many, label AS same FROM people""")
+def q_binarize_target_threshold(spark, sf):
+    """Value ≥ 3 → 1, unless the column holds 0/1 only: then it stays."""
+    p = D.binarize_target(bd.people(spark, sf), "n_orders", "threshold", out="many")
+    return D.binarize_target(p, "label", "threshold", out="same").select("row_id", "many", "same")
+
+
 @register("derived_target", uses=("people",), sql="""
     WITH r AS (SELECT row_id, (coalesce(c_acctbal, 0) + coalesce(CAST(n_orders AS DOUBLE), 0) + coalesce(avg_price, 0)
                       + coalesce(CAST(label AS DOUBLE), 0))

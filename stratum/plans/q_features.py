@@ -85,35 +85,74 @@ def q_component_kurtosis(spark, sf):
     return E.component_kurtosis(bd.vecs(spark, sf), VEC)
 
 
-# ---- property-checked (no oracle): decompositions and learned importances
+# ---- decompositions: fitted on min-max scaled columns; values held against properties
+
+def _scaled(df, cols):
+    return E.apply_scale(df, E.fit_scale(df, cols, "minmax"))
+
 
 @register("pca_project")
 def q_pca_project(spark, sf):
     """Embeddings → smallest k principal components reaching 95 % of the variance."""
-    proj, _ = E.pca_project(bd.vecs(spark, sf).select("row_id", *VEC), VEC, var_threshold=0.95)
+    proj, _ = E.pca_project(_scaled(bd.vecs(spark, sf).select("row_id", *VEC), VEC), VEC, var_threshold=0.95)
     return proj
 
 
 @register("explained_variance")
 def q_explained_variance(spark, sf):
-    _, ev = E.pca_project(bd.vecs(spark, sf).select("row_id", *VEC), VEC, k=2)
+    _, ev = E.pca_project(_scaled(bd.vecs(spark, sf).select("row_id", *VEC), VEC), VEC, k=2)
     return ev
 
 
+@register("pca_properties", uses=("vecs",), dbl=("ratio_sum", "trace"), sql=
+          "SELECT CAST(64 AS BIGINT) AS components, 1.0::DOUBLE AS ratio_sum, true AS falling, true AS unit_loadings, "
+          + " + ".join(f"var_samp({e}) / pow(max({e}) - min({e}), 2)" for e in VEC) + " AS trace FROM vecs")
+def q_pca_properties(spark, sf):
+    """All components of the scaled embeddings: ratios sum to one and fall, loadings have length one, the
+    scores' variances add up to the columns'."""
+    d = _scaled(bd.vecs(spark, sf).select("row_id", *VEC), VEC)
+    fit = E.pca_fit(d, VEC)
+    proj, ev = E.pca_project(d, VEC, k=len(VEC), fit=fit)
+    total = proj.agg(sum((F.var_samp(f"PC{j + 1}") for j in range(1, len(VEC))), F.var_samp("PC1")).alias("trace")).first()["trace"]
+    unit = bool(abs((fit["components"] ** 2).sum(axis=0) - 1).max() < 1e-9)
+    return ev.agg(F.count(F.lit(1)).alias("components"), F.sum("ratio").alias("ratio_sum")).select(
+        "components", "ratio_sum", F.lit(bool((fit["ratio"][1:] <= fit["ratio"][:-1] + 1e-12).all())).alias("falling"),
+        F.lit(unit).alias("unit_loadings"), F.lit(float(total)).alias("trace"))
+
+
 @register("ica_components")
 def q_ica_components(spark, sf):
-    out, info = E.ica_components(bd.docs(spark, sf).select("row_id", *DOC_NUM), DOC_NUM, max_iter=200)
+    d = _scaled(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
+    out, info = E.ica_components(d, DOC_NUM, max_iter=1000)
     return out.withColumn("converged", F.lit(info["converged"])).withColumn("n_iter", F.lit(info["n_iter"]))
 
 
+@register("ica_properties", uses=("docs_all",), sql="""
+    SELECT count(*) AS n, true AS converged, true AS unit_variance, true AS uncorrelated FROM docs_all
+    WHERE n_chars IS NOT NULL AND n_words IS NOT NULL AND digit_share IS NOT NULL AND upper_share IS NOT NULL""")
+def q_ica_properties(spark, sf):
+    """Components of the scaled text statistics: converged, of variance one, uncorrelated."""
+    d = _scaled(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
+    out, info = E.ica_components(d, DOC_NUM, max_iter=1000)
+    ics = [c for c in out.columns if c.startswith("IC")]
+    var = [F.var_samp(c) for c in ics]
+    cov = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(ics) for b in ics[i + 1:]]
+    unit = F.greatest(*[F.abs(v - 1) for v in var]) < 1e-6
+    return out.agg(F.count(F.lit(1)).alias("n"), F.lit(bool(info["converged"])).alias("converged"), unit.alias("unit_variance"),
+                   (F.greatest(*cov) < 1e-6).alias("uncorrelated"))
+
+
 @register("select_features_by_importance")
 def q_select_features_by_importance(spark, sf):
-    _, tab = E.select_features_by_importance(bd.docs(spark, sf), DOC_NUM, "label", num_trees=20)
+    _, tab = E.select_features_by_importance(bd.docs(spark, sf), DOC_NUM, "label")
     return tab
 
 
 @register("feature_importance_rank")
 def q_feature_importance_rank(spark, sf):
-    _, tab = E.select_features_by_importance(bd.people(spark, sf).na.fill(0.0), ["c_acctbal", "n_orders",
-                                                                               "avg_price"], "label", num_trees=20)
+    """Importances of a forest on imputed columns."""
+    from stratum.operators.clean import impute_mean
+
+    cols = ["c_acctbal", "n_orders", "avg_price"]
+    _, tab = E.select_features_by_importance(impute_mean(bd.people(spark, sf), cols), cols, "label")
     return tab.orderBy(F.col("importance").desc(), "feature").select("feature", "importance")

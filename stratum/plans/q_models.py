@@ -1,17 +1,22 @@
-"""Queries for learners, voting, tuning and contests (H) — property-checked
-(no oracle: learners are randomised / iterative).  Configurations are the
-small ones (≤ 20 trees, ≤ 4 grid points, one repeat) so the check stays
-quick; the operators take the reference sizes as parameters."""
+"""Queries for learners, voting, tuning and contests (H), at the reference's sizes.
+
+Fitted values cannot be written in SQL: those queries are held against
+properties in ``tests/test_models.py``.  What is arithmetic on scores (soft
+vote, fold summary, ranking, paired t) has its oracle on fixed score tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratum.operators import features as E
+from stratum.functions.exprs import merge_one_row
+from stratum.functions.hashing import hash_uniform_sql
+from stratum.functions.pvalue import t_sf2_sql
 from stratum.operators import metrics as I
 from stratum.operators import models as H
 from stratum.operators import sampling as G
 from stratum.operators import stats as S
+from stratum.operators.features import fit_scale
 from stratum.plans.catalog import register
 from stratum.session import scratch_path
 from stratum.sources import bindings as bd
@@ -36,108 +41,165 @@ def q_clf_tree(spark, sf):
 
 @register("clf_forest")
 def q_clf_forest(spark, sf):
-    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_forest(num_trees=20, max_depth=10))
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_forest())
 
 
 @register("clf_gbt")
 def q_clf_gbt(spark, sf):
-    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_gbt(max_iter=20))
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_gbt())
 
 
 @register("clf_boosted_deep")
 def q_clf_boosted_deep(spark, sf):
-    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_boosted_deep(max_iter=20))
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_boosted_deep())
 
 
 @register("clf_mlp")
 def q_clf_mlp(spark, sf):
-    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_mlp(len(DOC_NUM), hidden=16, max_iter=50))
-
-
-def _svm(spark, sf, kind):
-    d = _docs(spark, sf)
-    feats = DOC_NUM
-    if kind == "rbf":
-        d = H.rff_features(E.scale_standard(d, DOC_NUM), DOC_NUM, n_components=32)
-        feats = [f"rff{i}" for i in range(32)]
-    s = G.split_stratified(d.withColumn("label", F.col("label").cast("double")), "label", 0.2, 42).persist()
-    m = H.fit_pipeline(s.where(~F.col("is_test")), feats, H.clf_svm(kind, C=1.2), poly=(kind == "poly"))
-    tr, te = H.predict(m, s.where(~F.col("is_test"))), H.predict(m, s.where(F.col("is_test")))
-    return H.platt(tr, te)
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_mlp(len(DOC_NUM)))
 
 
 @register("clf_svm")
 def q_clf_svm(spark, sf):
     """Degree-2 polynomial map + linear SVM + Platt probabilities."""
-    return _svm(spark, sf, "poly")
+    return H.train_eval(_docs(spark, sf), DOC_NUM, H.clf_svm("poly", C=1.2))
 
 
 @register("clf_svm_rbf")
 def q_clf_svm_rbf(spark, sf):
-    """Random Fourier features (RBF kernel map) + linear SVM + Platt probabilities."""
-    return _svm(spark, sf, "rbf")
+    """Random Fourier features (RBF kernel map, scaled on training rows) + linear SVM + Platt."""
+    train, test = H.holdout(_docs(spark, sf))
+    scale = fit_scale(train, DOC_NUM, "standard")
+    train, test = (H.rff_features(d, DOC_NUM, 50, scale=scale) for d in (train, test))
+    m = H.fit_pipeline(train, [f"rff{i}" for i in range(50)], H.clf_svm("rbf", C=1.2), scaler=None)
+    return H.predict(m, test)
 
 
 @register("vote_soft")
 def q_vote_soft(spark, sf):
-    d = _docs(spark, sf)
-    members = [H.clf_logistic(), H.clf_forest(num_trees=20, max_depth=8), H.clf_gbt(max_iter=20)]
-    return H.vote_soft([H.train_eval(d, DOC_NUM, m) for m in members])
+    """Five voters on one split, applied in one projection."""
+    train, test = H.holdout(_docs(spark, sf))
+    _, scored = H.fit_members(train, test, DOC_NUM)
+    return H.vote_columns(scored, H.VOTERS)
 
 
 @register("grid_search")
 def q_grid_search(spark, sf):
-    _, tab = H.grid_search(_docs(spark, sf), DOC_NUM, H.clf_forest(num_trees=10),
-                           {"numTrees": [10, 20], "maxDepth": [4, 8]}, folds=3)
+    """The forest's grid, 3 folds."""
+    est, grid = H.reference_grids(len(DOC_NUM), 0)["forest"]
+    _, tab = H.grid_search(_docs(spark, sf), DOC_NUM, est, grid, folds=3)
     return tab
 
 
+@register("tune_families")
+def q_tune_families(spark, sf):
+    """Grid search per family on shared folds: the tree that explains and the SVM in both kernels."""
+    d = _docs(spark, sf).persist()
+    grids = H.reference_grids(len(DOC_NUM), d.count() * 2 // 3)
+    rff = H.rff_features(d, DOC_NUM, 50, scale=fit_scale(d, DOC_NUM, "standard"))
+    _, linear = H.tune_families(d, DOC_NUM, {"svm_linear": grids["svm"]}, folds=3)
+    _, rbf = H.tune_families(rff, [f"rff{i}" for i in range(50)], {"svm_rbf": grids["svm"]}, folds=3)
+    return linear.unionByName(rbf)
+
+
 @register("cross_validate")
 def q_cross_validate(spark, sf):
-    return H.cross_validate(_docs(spark, sf), DOC_NUM, H.clf_forest(num_trees=10, max_depth=8), k=5)
+    return H.cross_validate(_docs(spark, sf), DOC_NUM, H.clf_forest(), k=5)
+
+
+_PAIR_FOLDS = f"""
+    s AS (SELECT row_id, label AS y,
+                 CAST(1.0 / (1.0 + exp(-(2.0 - 25.0 * upper_share + 0.3 * (ln(n_chars) - 7.3)))) > 0.5 AS INTEGER) AS a,
+                 CAST(1.0 / (1.0 + exp(-(0.5 * (ln(n_chars) - 7.0)))) > 0.5 AS INTEGER) AS b FROM docs),
+    k AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY {hash_uniform_sql('row_id', 0, "'fold'")}, row_id) - 1) % 5 AS fold FROM s),
+    f AS (SELECT fold, avg(CASE WHEN a = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS first,
+                 avg(CASE WHEN b = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS second FROM k GROUP BY fold)"""
 
 
-@register("cv_summary")
+def _fold_scores(spark, sf):
+    """Fold accuracies of two fixed scorers on the same hash folds."""
+    d = bd.docs(spark, sf)
+    logit = lambda z: (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) > 0.5).cast("int")
+    s = d.select("row_id", "label", logit(F.lit(2.0) - F.lit(25.0) * F.col("upper_share") + F.lit(0.3) * (F.log("n_chars") - F.lit(7.3))).alias("a"),
+                 logit(F.lit(0.5) * (F.log("n_chars") - F.lit(7.0))).alias("b"))
+    k = G.kfold_stratified(s, "label", 5, 0)
+    hit = lambda c: F.avg((F.col(c) == F.col("label")).cast("double"))
+    return k.groupBy("fold").agg(hit("a").alias("first"), hit("b").alias("second"))
+
+
+@register("cv_summary", uses=("docs",), dbl=("mean_accuracy", "two_std"), ctes=_PAIR_FOLDS,
+          sql="SELECT avg(first) AS mean_accuracy, 2 * stddev_pop(first) AS two_std FROM f")
 def q_cv_summary(spark, sf):
-    return H.cv_summary(H.cross_validate(_docs(spark, sf), DOC_NUM, H.clf_logistic(), k=5))
+    """Mean and two standard deviations of fold accuracies."""
+    return H.cv_summary(_fold_scores(spark, sf).select("fold", F.col("first").alias("accuracy")))
 
 
-def _metrics_row(pred, name):
-    from stratum.functions.exprs import merge_one_row
+_T = "(md / nullif(sd / sqrt(n), 0))"
+
+
+@register("model_compare_ttest", uses=("docs",), dbl=("original_mean", "method_mean", "mean_diff", "t_statistic", "p_value"),
+          ctes=_PAIR_FOLDS, sql=f"""
+    SELECT 'first_vs_second' AS comparison, m1 AS original_mean, m2 AS method_mean, m2 - m1 AS mean_diff, {_T} AS t_statistic,
+           {t_sf2_sql(_T, '(n - 1)')} AS p_value, coalesce({t_sf2_sql(_T, '(n - 1)')} < 0.05, false) AS significant,
+           CASE WHEN {t_sf2_sql(_T, '(n - 1)')} < 0.05 AND m2 > m1 THEN 'second'
+                WHEN {t_sf2_sql(_T, '(n - 1)')} < 0.05 AND m1 > m2 THEN 'first' ELSE 'no significant difference' END AS better_method
+    FROM (SELECT count(*) AS n, avg(first) AS m1, avg(second) AS m2, avg(first - second) AS md,
+                 stddev_samp(first - second) AS sd FROM f)""")
+def q_model_compare_ttest(spark, sf):
+    """Fold accuracies of two models on the same folds → paired t."""
+    return S.ttest_paired(_fold_scores(spark, sf), "first", "second", comparison="first_vs_second")
+
+
+@register("rank_approaches", uses=("docs",), dbl=("accuracy",), sql="""
+    SELECT approach, declared, accuracy FROM (
+      SELECT lang AS approach, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS declared,
+             avg(CAST(label AS DOUBLE)) AS accuracy FROM docs GROUP BY lang)
+    ORDER BY accuracy DESC, declared LIMIT 2""")
+def q_rank_approaches(spark, sf):
+    """Best and runner-up of a table of scored approaches, declaration order breaking ties."""
+    from stratum.operators.windows import distinct_rank
+
+    d = bd.docs(spark, sf)
+    t = d.groupBy(F.col("lang").alias("approach")).agg(F.avg(F.col("label").cast("double")).alias("accuracy"))
+    order = distinct_rank(d, "lang").withColumnsRenamed({"level": "approach", "rank": "declared"})
+    return H.rank_approaches(t.join(order, "approach").select("approach", "declared", "accuracy"))
+
 
+def _metrics_row(pred, name):
     row = merge_one_row(I.accuracy(pred), I.curve_areas(pred, "y", "p1"))
     return row.select(F.lit(name).alias("dataset"), "accuracy", "roc_auc", "pr_auc")
 
 
+def _balanced(train):
+    """The balanced versions of training rows; test rows are never resampled."""
+    return {"original": train, "undersampled": G.undersample_random(train, "label", 1.0),
+            "smote": G.smote(train, DOC_NUM, "label", 1.0).drop("synthetic"),
+            "combined": G.smote_undersample(train, DOC_NUM, "label").drop("synthetic", "undersample_applied")}
+
+
 @register("train_eval_resampled")
 def q_train_eval_resampled(spark, sf):
-    """min-max → forest → accuracy / ROC-AUC / PR-AUC for each resampled training set."""
-    d = _docs(spark, sf)
+    """min-max → forest → accuracy / ROC-AUC / PR-AUC of each resampled training set on the same test rows."""
+    train, test = H.holdout(_docs(spark, sf))
     out = None
-    for name, data in (("original", d), ("undersampled", G.undersample_random(d, "label", 1.0)),
-                       ("smote", G.smote(d, DOC_NUM, "label", 1.0).drop("synthetic"))):
-        r = _metrics_row(H.train_eval(data, DOC_NUM, H.clf_forest(num_trees=20, max_depth=8)), name)
+    for name, rows in _balanced(train).items():
+        if name == "combined":
+            continue
+        r = _metrics_row(H.predict(H.fit_pipeline(rows, DOC_NUM, H.clf_forest()), test).persist(), name)
         out = r if out is None else out.unionByName(r)
     return out
 
 
-def _balanced_sets(d):
-    return {"original": d, "undersampled": G.undersample_random(d, "label", 1.0),
-            "smote": G.smote(d, DOC_NUM, "label", 1.0).drop("synthetic"),
-            "combined": G.smote_undersample(d, DOC_NUM, "label").drop("synthetic", "undersample_applied")}
-
-
 @register("compare_balancers_ttest")
 def q_compare_balancers_ttest(spark, sf):
-    """{original, undersampled, smote, combined} × folds forest accuracy → paired t vs original."""
-    d = _docs(spark, sf)
-    scores = H.balancing_fold_scores(_balanced_sets(d), DOC_NUM, H.clf_forest(num_trees=10, max_depth=6),
-                                     repeats=1, k=5).persist()
+    """{original, undersampled, smote, combined} training rows × folds: forest accuracy, paired t against
+    the original (one repeat of five folds; ``balancing_fold_scores`` takes ten by default)."""
+    train, _ = H.holdout(_docs(spark, sf))
+    scores = H.balancing_fold_scores(_balanced(train), DOC_NUM, H.clf_forest(), repeats=1, k=5)
     orig = scores.where("method = 'original'").select("repeat", "fold", F.col("accuracy").alias("original"))
     out = None
     for m in ("undersampled", "smote", "combined"):
-        j = orig.join(scores.where(F.col("method") == m).select("repeat", "fold", F.col("accuracy").alias(m)),
-                      ["repeat", "fold"])
+        j = orig.join(scores.where(F.col("method") == m).select("repeat", "fold", F.col("accuracy").alias(m)), ["repeat", "fold"])
         t = S.ttest_paired(j, "original", m, comparison=f"original_vs_{m}")
         out = t if out is None else out.unionByName(t)
     return out
@@ -145,62 +207,21 @@ def q_compare_balancers_ttest(spark, sf):
 
 @register("compare_reduction")
 def q_compare_reduction(spark, sf):
-    """Baseline vs PCA (95 % variance) vs ICA features, forest accuracy on one split."""
-    d = _docs(spark, sf)
-    pca, _ = E.pca_project(d, DOC_NUM, var_threshold=0.95)
-    ica, _ = E.ica_components(d, DOC_NUM, max_iter=100)
-    rows = []
-    for i, (name, data) in enumerate((("baseline", d), ("pca", pca), ("ica", ica))):
-        feats = [c for c in data.columns if c not in ("row_id", "label")]
-        p = H.train_eval(data, feats, H.clf_forest(num_trees=20, max_depth=8))
-        rows.append(I.accuracy(p).select(F.lit(name).alias("approach"), F.lit(i).alias("declared"), "accuracy"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-@register("rank_approaches")
-def q_rank_approaches(spark, sf):
-    return H.rank_approaches(q_compare_reduction(spark, sf))
-
-
-@register("model_compare_ttest")
-def q_model_compare_ttest(spark, sf):
-    """Fold accuracies of logistic vs forest on the same folds → paired t."""
-    d = _docs(spark, sf)
-    a = H.cross_validate(d, DOC_NUM, H.clf_logistic(), k=5).withColumnRenamed("accuracy", "logistic")
-    b = H.cross_validate(d, DOC_NUM, H.clf_forest(num_trees=10, max_depth=8), k=5).withColumnRenamed("accuracy",
-                                                                                                     "forest")
-    return S.ttest_paired(a.join(b, "fold"), "logistic", "forest", comparison="logistic_vs_forest")
+    """Baseline, PCA (95 % of the variance), ICA and feature selection: min-max scaled, fitted on training
+    rows, forest accuracy on the same test rows."""
+    return H.compare_reduction(_docs(spark, sf), DOC_NUM)
 
 
 @register("train_select")
 def q_train_select(spark, sf):
-    """Scaler contest (standard vs min-max, min-max only if strictly better) then
-    ensemble vs best single member."""
-    d = _docs(spark, sf)
-    acc = lambda p: p.agg(F.avg((F.col("y") == F.col("yhat")).cast("double"))).first()[0]
-    std = acc(H.train_eval(d, DOC_NUM, H.clf_logistic(), scaler="standard"))
-    mm = acc(H.train_eval(d, DOC_NUM, H.clf_logistic(), scaler="minmax"))
-    scaler = "minmax" if mm > std else "standard"
-    members = {"logistic": H.clf_logistic(), "forest": H.clf_forest(num_trees=20, max_depth=8),
-               "gbt": H.clf_gbt(max_iter=20)}
-    preds = {k: H.train_eval(d, DOC_NUM, m, scaler=scaler) for k, m in members.items()}
-    scores = {k: acc(p) for k, p in preds.items()}
-    ens = acc(H.vote_soft(list(preds.values())))
-    best = max(scores, key=lambda k: scores[k])
-    chosen = "ensemble" if ens >= scores[best] else best
-    rows = [("scaler", scaler, float(max(mm, std))), *[(f"member:{k}", k, float(v)) for k, v in scores.items()],
-            ("ensemble", "vote_soft", float(ens)), ("chosen", chosen, float(max(ens, scores[best])))]
-    return spark.createDataFrame(rows, "step string, choice string, accuracy double")
+    return H.train_select(_docs(spark, sf), DOC_NUM)
 
 
 @register("model_store")
 def q_model_store(spark, sf):
     """Fit → persist to the shared scratch folder → reload → predict."""
     d = _docs(spark, sf)
-    m = H.fit_pipeline(d, DOC_NUM, H.clf_forest(num_trees=10, max_depth=6))
+    m = H.fit_pipeline(d, DOC_NUM, H.clf_forest())
     path = model_store(m, scratch_path(spark, "model"))
     return H.predict(model_load(path), d)
 
@@ -220,13 +241,3 @@ def q_workflow_choice(spark, sf):
 
     _, _, choice = balancing_contest(_docs(spark, sf), DOC_NUM)
     return choice
-
-
-@register("tune_families")
-def q_tune_families(spark, sf):
-    """Per-family grid search on shared hash folds (small grids here; the
-    reference grids are ``models.reference_grids``)."""
-    grids = {"forest": (H.clf_forest(num_trees=10), {"maxDepth": [4, 8]}),
-             "gbt": (H.clf_gbt(max_iter=5), {"stepSize": [0.05, 0.1]})}
-    _, tab = H.tune_families(_docs(spark, sf), DOC_NUM, grids, folds=3)
-    return tab

@@ -138,7 +138,8 @@ def q_histogram(spark, sf):
                       min(n_words) AS mn, max(n_words) AS mx FROM docs_all),
     p AS (SELECT CAST(i AS INTEGER) AS point, (mn - 3.0 * bw) + i * (((mx + 3.0 * bw) - (mn - 3.0 * bw)) / 199) AS x,
                  n, bw FROM range(0, 200) g(i), s),
-    v AS (SELECT n_words AS v, count(*) AS c FROM docs_all GROUP BY 1)
+    v AS (SELECT mn + (least(floor((n_words - mn) / ((mx - mn) / 4096)), 4095) + 0.5) * ((mx - mn) / 4096) AS v, count(*) AS c
+          FROM docs_all, s GROUP BY 1)
     SELECT point, x, sum(c * exp(-0.5 * pow((x - v) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
     FROM p, v GROUP BY point, x, n, bw""")
 def q_kde_grid(spark, sf):

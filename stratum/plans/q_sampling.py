@@ -20,8 +20,8 @@ DOC_NUM = ["n_chars", "n_words", "digit_share", "upper_share"]
 _F = ", ".join(DOC_NUM)
 
 
-def _d2_sql(a, b):
-    return " + ".join(f"pow({a}.{f} - {b}.{f}, 2)" for f in DOC_NUM)
+def _d2_sql(a, b, feats=DOC_NUM):
+    return " + ".join(f"pow({a}.{f} - {b}.{f}, 2)" for f in feats)
 
 
 @register("split_stratified", uses=("people",), sql=f"""
@@ -58,11 +58,15 @@ def q_undersample_random(spark, sf):
     return G.undersample_random(bd.docs(spark, sf).select("row_id", "label"), "label", 1.0, 42)
 
 
-_MINORITY = """
-    cnt AS (SELECT label, count(*) AS n FROM docs GROUP BY label),
+def _minority(src="docs", feats=DOC_NUM):
+    return f"""
+    cnt AS (SELECT label, count(*) AS n FROM {src} GROUP BY label),
     par AS (SELECT (SELECT label FROM cnt ORDER BY n, label LIMIT 1) AS mino,
                    (SELECT min(n) FROM cnt) AS n_min, (SELECT max(n) FROM cnt) AS n_maj),
-    m AS (SELECT row_id, {f} FROM docs, par WHERE label = mino)""".format(f=_F)
+    m AS (SELECT row_id, {', '.join(feats)} FROM {src}, par WHERE label = mino)"""
+
+
+_MINORITY = _minority()
 
 _KNN = """
     pr AS (SELECT q.row_id AS q_id, p.row_id AS nn_id, {d2} AS dist2 FROM m q, m p WHERE q.row_id <> p.row_id),
@@ -78,19 +82,19 @@ def q_knn(spark, sf):
     return knn(d.where("label = 0").select("row_id", *DOC_NUM), "row_id", DOC_NUM, 5)
 
 
-def _smote_sql(ratio: float, seed: int = 42, k: int = 5):
+def _smote_sql(ratio: float, seed: int = 42, k: int = 5, src: str = "docs", feats=DOC_NUM):
     kk = f"least({k}, n_min - 1)"
-    return _MINORITY + "," + _KNN.format(d2=_d2_sql("q", "p"), k=f"(SELECT {kk} FROM par)") + f""",
+    return _minority(src, feats) + "," + _KNN.format(d2=_d2_sql("q", "p", feats), k=f"(SELECT {kk} FROM par)") + f""",
     rk AS (SELECT m.*, row_number() OVER (ORDER BY {H('row_id', seed, "'smote'")}, row_id) - 1 AS _rk FROM m),
     dr AS (SELECT unnest(range(0, CAST(floor(n_maj * {ratio!r}) AS BIGINT) - n_min)) AS _d FROM par),
     base AS (SELECT rk.*, dr._d FROM dr JOIN rk ON rk._rk = dr._d % (SELECT n_min FROM par)),
     pick AS (SELECT base.*, CAST(floor({H('row_id', seed, "(CAST(_d AS VARCHAR) || '|nn')")} * (SELECT {kk} FROM par))
                                  AS INTEGER) AS _nr,
                     {H('row_id', seed, "(CAST(_d AS VARCHAR) || '|gap')")} AS _u FROM base),
-    syn AS (SELECT -(x._d + 1) AS row_id, {', '.join(f'x.{f} + x._u * (p.{f} - x.{f}) AS {f}' for f in DOC_NUM)},
+    syn AS (SELECT -(x._d + 1) AS row_id, {', '.join(f'x.{f} + x._u * (p.{f} - x.{f}) AS {f}' for f in feats)},
                    (SELECT mino FROM par) AS label, true AS synthetic
             FROM pick x JOIN nn ON nn.q_id = x.row_id AND nn.nn_rank = x._nr JOIN m p ON p.row_id = nn.nn_id),
-    sm AS (SELECT row_id, {_F}, label, false AS synthetic FROM docs UNION ALL SELECT * FROM syn)"""
+    sm AS (SELECT row_id, {', '.join(feats)}, label, false AS synthetic FROM {src} UNION ALL SELECT * FROM syn)"""
 
 
 @register("smote", uses=("docs",), dbl=tuple(DOC_NUM), ctes=_smote_sql(1.0), sql="SELECT * FROM sm")
@@ -104,6 +108,28 @@ def q_smote_undersample(spark, sf):
     return G.smote_undersample(bd.docs(spark, sf), DOC_NUM, "label", 42)
 
 
+# people with 40 % of the rows in the smaller class: fewer rows are missing than it has
+_MILD = ["c_acctbal", "n_orders"]
+_MILD_SQL = "mild AS (SELECT row_id, c_acctbal, CAST(n_orders AS DOUBLE) AS n_orders, CAST(row_id % 5 < 2 AS INTEGER) AS label FROM people)"
+
+
+def _mild(spark, sf):
+    return bd.people(spark, sf).select("row_id", "c_acctbal", F.col("n_orders").cast("double").alias("n_orders"),
+                                       (F.col("row_id") % 5 < 2).cast("int").alias("label"))
+
+
+@register("smote_mild", uses=("people",), dbl=tuple(_MILD), ctes=_MILD_SQL + "," + _smote_sql(1.0, src="mild", feats=_MILD),
+          sql="SELECT * FROM sm")
+def q_smote_mild(spark, sf):
+    return G.smote(_mild(spark, sf), _MILD, "label", 1.0, 5, 42)
+
+
+@register("smote_undersample_mild", uses=("people",), dbl=tuple(_MILD),
+          ctes=_MILD_SQL + "," + _smote_sql(0.7, src="mild", feats=_MILD), sql="SELECT *, false AS undersample_applied FROM sm")
+def q_smote_undersample_mild(spark, sf):
+    return G.smote_undersample(_mild(spark, sf), _MILD, "label", 42)
+
+
 def _tomek_sql(src):
     return f"""
     t1 AS (SELECT q.row_id AS a, p.row_id AS b, {_d2_sql('q', 'p')} AS dist2 FROM {src} q, {src} p

@@ -25,7 +25,7 @@ ORDER = ["undersampled", "smote", "smote_tomek"]
 
 
 def balancing_contest(df: DataFrame, feats: list[str], label: str = "label", key: str = "row_id", seed: int = 42,
-                      num_trees: int = 20, max_depth: int = 8):
+                      num_trees: int = 200, max_depth: int = 30):
     """Returns (wide comparison, long comparison, chosen method as a one-row frame)."""
     base = df.select(key, *feats, F.col(label).cast("int").alias("label"))
     s = cut_lineage(G.split_stratified(base, "label", 0.2, seed, key))
