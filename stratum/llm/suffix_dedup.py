@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from stratum.llm.ordered import meet, partitions, row_key, running
 from stratum.llm.terms import mix
+from stratum.session import cut_lineage
 
 BLOCK = 8
 _CHUNK = 1 << 19
@@ -206,16 +207,17 @@ def _settle(rows: DataFrame, n: int, last: bool) -> DataFrame:
                                 F.collect_list(F.when(F.col("_open"), F.col("at"))).alias("open"))
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_ord, _id, _text): the id itself if all are there and unique, else a position."""
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(_ord, _text) and, unless _ord is the id itself, (_o, _id): the id serves if all
+    are there and unique whole numbers, else a position in corpus order does."""
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     whole = dict(slim.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint")
     if whole and not slim.groupBy("_id").count().where("_id IS NULL OR count > 1").limit(1).count():
-        return slim.select(F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_ord"), "_id", "_text")
+        return slim.select(F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_ord"), "_text"), None
     key = row_key(slim, "_id", "_text")
-    place = running(key.select("_id", "_idk", "_crc", "_copy"), ["_id", "_crc", "_copy"], [])
-    return meet(key, place.select("_idk", "_crc", "_copy", F.col("index").alias("_ord"))).select(
-        F.coalesce("_ord", F.lit(0)).alias("_ord"), "_id", "_text")
+    place = cut_lineage(running(key.select("_id", "_idk", "_crc", "_copy"), ["_id", "_crc", "_copy"], []))
+    texts = meet(key, place.select("_idk", "_crc", "_copy", F.col("index").alias("_ord")))
+    return texts.select(F.coalesce("_ord", F.lit(0)).alias("_ord"), "_text"), place.select(F.col("index").alias("_o"), "_id")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 24,
@@ -225,8 +227,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not BLOCK <= gram <= length - BLOCK or length - gram > 255 - BLOCK:
         raise ValueError("gram must be 8 bytes or more, and between 8 and 247 bytes below length")
     n = partitions(docs)
-    base = _ordered(docs, id_col, text_col)
-    texts = base.repartition(n, "_ord")  # the one shuffle of the texts
+    base, ids = _ordered(docs, id_col, text_col)
+    texts = base.repartition(n, "_ord")  # the one shuffle of the texts: every use has the same columns
 
     def first(batches):
         yield from _emit(((o, t, None) for b in batches for o, t in zip(b.column("_ord").to_pylist(), b.column("_text").to_pylist())),
@@ -240,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return run
 
-    settled = [_settle(base.select("_ord", "_text").mapInArrow(first, _ROW), n, False)]
+    settled = [_settle(base.mapInArrow(first, _ROW), n, False)]
     for level in (1, 2):
         pieces = settled[-1].where(F.size("open") > 0).select(F.col("ord"), "open")
         met = texts.join(pieces, F.col("_ord") == F.col("ord")).select("_ord", "_text", "open")
@@ -250,7 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         s = s.select(F.col("ord").alias(f"_o{k}"), F.col("repeats").alias(f"_r{k}"))
         out = out.join(s, F.col("_ord") == F.col(f"_o{k}"), "left")
     none = F.array().cast("array<bigint>")
-    out = out.select("_id", "_text", F.concat(*[F.coalesce(f"_r{k}", none) for k in range(len(settled))]).alias("_runs"))
+    out = out.select("_ord", "_text", F.concat(*[F.coalesce(f"_r{k}", none) for k in range(len(settled))]).alias("_runs"))
 
     def cut(batches):
         for b in batches:
@@ -267,12 +269,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept = data[~gone].tobytes()
                     got.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if kept_text else None))
                 cols = list(zip(*got))
-                arrays = [part.column("_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())]
-                names = ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                arrays = [part.column("_ord"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())]
+                names = ["_ord", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 if kept_text:
                     arrays, names = [*arrays, pa.array(cols[4], pa.binary())], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    kind = dict(base.dtypes)["_id"]
-    shape = f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
-    return out.mapInArrow(cut, shape).withColumnRenamed("_id", id_col)
+    shape = "_ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
+    out = out.mapInArrow(cut, shape)
+    if ids is None:
+        ident = F.col("_ord").cast(docs.schema[id_col].dataType)
+    else:
+        out, ident = out.join(ids, F.col("_ord") == F.col("_o")), F.col("_id")
+    return out.select(ident.alias(id_col), *shape.replace(",", "").split()[2::2])
