@@ -24,7 +24,8 @@ where such a key still has several blocks, into single suffixes cut at
 ``length`` bytes.  Each class of equal suffixes is again owned by its first
 position in corpus order.  (A suffix array would also put the classes into
 lexicographic order; the contract needs equality and corpus order alone, so
-classes are found by 128-bit fingerprints and ordered by position.)
+classes are found by fingerprints, 96 bits beside the trigger's 32, and ordered
+by position.)
 
 Every step is a shuffle of short rows by the trigger's fingerprint.  A task
 keeps one row for equal phrases before the shuffle, so a phrase that fills a
@@ -51,7 +52,8 @@ from stratum.session import cut_lineage
 
 BLOCK = 8
 _CHUNK = 1 << 19
-_ROW = "g int, u1 long, u2 long, ord long, at long, old boolean"
+#: u1 and u2 are 96 bits of a piece, g 32 bits of what it must share to be compared
+_ROW = "g int, u1 long, u2 int, ord long, at long, old boolean"
 
 
 class Rolling:
@@ -141,7 +143,11 @@ def level_rows(r: Rolling, level: int, where, count, offset, length: int, gram:
         g = r.of(core, core + (length - BLOCK + 1), 1, 2 + offset // BLOCK)
     else:
         g = mix(u1 + u2)
-    return (g >> np.uint64(32)).astype(np.uint32).view(np.int32), u1.view(np.int64), u2.view(np.int64), pack(where, count, offset)
+    return _high(g), u1.view(np.int64), _high(u2), pack(where, count, offset)
+
+
+def _high(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _fold(parts: list) -> pa.RecordBatch:
@@ -166,10 +172,10 @@ def _fold(parts: list) -> pa.RecordBatch:
             more.append((int(o[heads[k]]), (int(where[heads[k]]) + s) << 32 | min(0xFFFFFF, int(total[k]) - s) << 8))
     oo = np.concatenate([o[heads], np.array([x for x, _ in more], np.int64)])
     run = np.concatenate([run, np.array([x for _, x in more], np.int64)])
-    spread = (mix(oo.view(np.uint64) + run.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    spread = _high(mix(oo.view(np.uint64) + run.view(np.uint64)))
     nil = np.zeros(len(oo), np.int64)
     new = ~old
-    cols = [np.concatenate([g[new], spread]), np.concatenate([u1[new], nil]), np.concatenate([u2[new], nil]),
+    cols = [np.concatenate([g[new], spread]), np.concatenate([u1[new], nil]), np.concatenate([u2[new], nil.astype(np.int32)]),
             np.concatenate([order[new], oo]), np.concatenate([at[new], run]), np.concatenate([np.zeros(new.sum(), bool), np.ones(len(oo), bool)])]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "u1", "u2", "ord", "at", "old"])
 
