@@ -129,11 +129,20 @@ def _by_neighbours(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def _rooted(fps: DataFrame, max_bits: int, list_limit: int) -> DataFrame:
-    """fps (checkpointed) with _root, the smallest fingerprint of its component."""
-    distinct = fps.select("_fp").distinct()
-    roots = components(links(distinct, max_bits, list_limit)).where("node <> root")  # of linked fingerprints only
-    return (fps.join(roots, fps["_fp"] == roots["node"], "left")
-            .select(*fps.columns, F.coalesce("root", "_fp").alias("_root")))
+    """fps (checkpointed) with _root: the component's least (none, id, fp), where none
+    says that no document of the fingerprint has an id.
+
+    Nodes are fingerprints in the order of their least ids, so a component's root
+    names it: nothing is grouped or joined by component, whatever its size."""
+    least = fps.groupBy("_fp").agg(F.min("_id").alias("_least"))
+    node = F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), F.col("_fp").alias("fp"))
+    folded = cut_lineage(least.select("_fp", node.alias("_node")))
+    named = lambda c: folded.select(F.col("_fp").alias(c), F.col("_node").alias(f"n{c}"))
+    edges = links(folded.select("_fp"), max_bits, list_limit).join(named("a"), "a").join(named("b"), "b")
+    roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b"))).where("node <> root")
+    of = (folded.join(roots, folded["_node"] == roots["node"], "left")
+          .select("_fp", F.coalesce("root", "_node").alias("_root")))
+    return fps.join(of, "_fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -141,10 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, fingerprint (16 lowercase hex digits), component_id (the
     smallest id that links lead to, its own included)."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    rows = _rooted(fps, max_bits, list_limit)
-    named = rows.groupBy("_root").agg(F.min("_id").alias("component_id"))
-    return rows.join(named, "_root").select(F.col("_id").alias(id_col),
-                                            F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _rooted(fps, max_bits, list_limit).select(
+        F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_root.id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -153,9 +160,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     last; of rows with that id, the smallest CRC-32 of the text).  The text is
     shuffled once, to meet the keys of what stays."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
-    stays = (_rooted(fps, max_bits, list_limit).groupBy("_root")
-             .agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_crc")).alias("_s"))
-             .select(F.col("_s._id").alias("_id"), F.col("_s._crc").alias("_crc")))
-    keys = stays.select(F.coalesce(F.concat(F.lit("i"), F.col("_id").cast("string")), F.lit("n")).alias("_idk"),
+    stays = (_rooted(fps, max_bits, list_limit)
+             .where(F.col("_id").eqNullSafe(F.col("_root.id")) & (F.col("_fp") == F.col("_root.fp")))
+             .groupBy("_root").agg(F.min("_crc").alias("_crc")))
+    keys = stays.select(F.coalesce(F.concat(F.lit("i"), F.col("_root.id").cast("string")), F.lit("n")).alias("_idk"),
                         "_crc", F.lit(1).alias("_copy"))
     return meet(row_key(docs, id_col, text_col), keys).select(*docs.columns)
