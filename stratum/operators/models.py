@@ -12,6 +12,7 @@ so every repeat is reproducible and never depends on row order.
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -164,6 +165,12 @@ def vote_columns(t: DataFrame, names: list[str], key: str = "row_id") -> DataFra
     return t.select(key, "y", (mean > 0.5).cast("int").alias("yhat"), mean.alias("p1"))
 
 
+def side_by_side(jobs: list, threads: int = 8) -> list:
+    """Results of independent fits, whose many small Spark jobs are submitted together."""
+    with ThreadPool(min(threads, max(1, len(jobs)))) as pool:
+        return pool.map(lambda f: f(), jobs)
+
+
 def five_members(feats: list[str], rff: list[str], seed: int = 42) -> dict[str, tuple]:
     """The voters: {name: (feature columns, estimator, scaler)}; the SVM's RBF map is
     made of random Fourier features (columns ``rff``, scaled already)."""
@@ -180,7 +187,10 @@ def fit_members(train: DataFrame, test: DataFrame, feats: list[str], scaler: str
     scale = fit_scale(train, feats, "standard")
     rff = [f"rff{i}" for i in range(n_components)]
     tr, te = (rff_features(d, feats, n_components, seed=seed, scale=scale) for d in (train, test))
-    models = {n: fit_pipeline(tr, f, e, scaler=sc and scaler) for n, (f, e, sc) in five_members(feats, rff, seed).items()}
+    members = five_members(feats, rff, seed)
+    tr.count()  # persisted rows are there before the fits ask for them side by side
+    models = dict(zip(members, side_by_side([lambda f=f, e=e, sc=sc: fit_pipeline(tr, f, e, scaler=sc and scaler)
+                                             for f, e, sc in members.values()])))
     return models, predict_all(models, te, key)
 
 
@@ -279,11 +289,13 @@ def compare_reduction(df: DataFrame, feats: list[str], label: str = "label", see
                       approaches: list[str] = APPROACHES, est=None) -> DataFrame:
     """(approach, declared, accuracy): a forest per approach on one split's test rows."""
     train, test = holdout(df.select(key, *feats, label), label, seed, key)
-    rows = []
-    for i, name in enumerate(approaches):
+
+    def one(name):
         tr, te, cols = reduced(train, test, feats, name, key)
-        m = fit_pipeline(tr, cols, est or clf_forest(), scaler=None)
-        rows.append((name, i, accuracy_of(predict(m, te, key))))
+        return accuracy_of(predict(fit_pipeline(tr, cols, est or clf_forest(), scaler=None), te, key))
+
+    scores = side_by_side([lambda n=n: one(n) for n in approaches])
+    rows = [(n, i, a) for i, (n, a) in enumerate(zip(approaches, scores))]
     return df.sparkSession.createDataFrame(rows, "approach string, declared int, accuracy double")
 
 
@@ -333,8 +345,6 @@ def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], est, rep
                           key: str = "row_id", threads: int = 8) -> DataFrame:
     """Accuracy per (method, repeat, fold): each balanced set gets its own hash folds
     (seed = repeat), and the learner is refit per fold; fits run side by side."""
-    from multiprocessing.pool import ThreadPool
-
     spark = next(iter(sets.values())).sparkSession
     sets = {m: d.persist() for m, d in sets.items()}
     jobs = [(m, r) for r in range(repeats) for m in sets]
@@ -342,8 +352,7 @@ def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], est, rep
     def one(job):
         return [(*job, f["fold"], f["accuracy"]) for f in cross_validate(sets[job[0]], feats, est, "label", k, job[1], key).collect()]
 
-    with ThreadPool(threads) as pool:
-        rows = [x for part in pool.map(one, jobs) for x in part]
+    rows = [x for part in side_by_side([lambda j=j: one(j) for j in jobs], threads) for x in part]
     return spark.createDataFrame(rows, "method string, repeat int, fold int, accuracy double")
 
 
