@@ -10,7 +10,8 @@ a window has as many words as a benchmark item (a shorter document is one window
    the windows of one dense place, that with the most shared shingles (the
    first of equals) stands for the place.
 2. SimHash.  Windows and items get 64-bit fingerprints: the sign, bit by bit,
-   of their shingles' hashes, each weighted by how often it occurs.
+   of their shingles' hashes; a shingle's k-th occurrence is hashed with k, as one
+   of its own, so that a repeated shingle has no more pull than as many others.
 3. Multi-index.  Fingerprints are cut into ``radius + 1`` blocks; two within
    ``radius`` bits agree in one block at least, so an equi-join on (words, block
    number, block value) meets every pair within the radius; each is kept at its
@@ -18,9 +19,10 @@ a window has as many words as a benchmark item (a shorter document is one window
 4. Verification.  Weighted shingle similarity, the sum of the smaller over the
    sum of the larger counts, of at least ``similarity``.
 
-At similarity 0.8 a pair's vectors have a cosine of 8/9, so a bit differs with
-probability 0.15: 9.7 of 64 on average, standard deviation 2.9; ``radius`` 20
-is 3.6 deviations away.
+Weighted similarity is then that of two sets: at 0.8 or more their vectors have a
+cosine of 8/9 or more whatever repeats, so a bit differs with probability 0.15 at
+most: 9.7 of 64 on average, standard deviation 2.9; ``radius`` 20 is 3.6 deviations
+away.
 
 The benchmark's shingles and the few surviving windows are broadcast if counted
 to be few, joined otherwise.  Edge cases: null and empty texts and items of
@@ -70,8 +72,9 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 def _simhash(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _h, _c: shingle and its count) -> (keys, _fp)."""
-    ones = [F.sum(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1)) * F.col("_c")).alias(f"_b{b}") for b in range(BITS)]
-    sums = df.groupBy(*keys).agg(F.sum("_c").alias("_all"), *ones)
+    each = df.select(*keys, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_c")), lambda k: F.xxhash64("_h", k))).alias("_h"))
+    ones = [F.sum(F.shiftrightunsigned("_h", b).bitwiseAND(F.lit(1))).alias(f"_b{b}") for b in range(BITS)]
+    sums = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), *ones)
     fp = F.lit(0).cast("long")
     for b in range(BITS):
         bit = (1 << b) - (1 << 64 if b == 63 else 0)

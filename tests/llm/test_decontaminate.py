@@ -73,6 +73,18 @@ def test_matches_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in gone)
 
 
+def test_repeated_words_after_a_long_item(spark):
+    """Items copied up to 8/9 of their shingles, then one word again and again: still 0.8 alike."""
+    rng = random.Random(4)
+    items = [(i, " ".join(words(rng, 274))) for i in range(20)]  # 270 shingles
+    docs = [(i, " ".join(x.split()[:250] + ["x"] * 60)) for i, x in items]
+    want = brute(docs, items)
+    assert want == {(i, i) for i, _ in items}
+    d = spark.createDataFrame([row(i, t) for i, t in docs], DOCS).repartition(4)
+    out = find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["_id"], r["_iid"]) for r in out} == want and all(r["_hamming"] <= 20 for r in out)
+
+
 def test_empty(spark, docs, none):
     b = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, b).count() == 0
