@@ -110,3 +110,17 @@ def test_kde_prebin_close_to_exact(spark):
     ex = {r["point"]: r["density"] for r in B.kde_grid(df, "x").collect()}
     ap = {r["point"]: r["density"] for r in B.kde_grid(df, "x", prebin=2000).collect()}
     assert max(abs(ex[k] - ap[k]) for k in ex) < 1e-3
+
+
+def test_kde_long_tail_close_to_unbinned(spark):
+    import numpy as np
+
+    # 4,096 bins of this range are 1.25 bandwidths wide
+    v = F.when(F.col("id") == 0, 1e6).otherwise(F.col("id") % 7 * 10.0)
+    rows = B.kde_grid(spark.range(200_000).select(v.alias("x")), "x").collect()
+    values, counts = np.unique(np.r_[1e6, np.arange(1, 200_000) % 7 * 10.0], return_counts=True)
+    mean = (values * counts).sum() / 200_000
+    bw = np.sqrt((counts * (values - mean) ** 2).sum() / 199_999) * 200_000 ** -0.2
+    for r in rows:
+        exact = (counts * np.exp(-0.5 * ((r["x"] - values) / bw) ** 2)).sum() / (200_000 * bw * np.sqrt(2 * np.pi))
+        assert r["density"] == pytest.approx(exact, rel=0.12, abs=1e-12)
