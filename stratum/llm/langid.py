@@ -15,6 +15,12 @@ Counts cover every document allowed; what reaches the driver is ``top`` rows
 for each language (more than ``max_languages`` distinct labels are refused: such
 a column holds no languages).  Prediction is one map.
 
+How much of a running text the ``top`` trigrams cover depends on the language's
+alphabet, so ``keep_identified`` measures it: each document learned from is scored
+with its own language's set, without the trigrams that no other document gave
+(its count is theirs).  The language's low mark is the share that all but
+``LOW`` of its learned trigrams stand in documents of.
+
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as
 is everything when nothing could be learned; null labels are not learned from;
 null ids are not held out; repeated rows count again.  Extra columns are unread.
@@ -30,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
+LOW, _BINS = 0.01, 4096
 _CHUNK = 1 << 22
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
         np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
@@ -109,10 +116,11 @@ class Filter:
         x ^= x >> np.uint64(29)
         return (x * _MIX[(h + 1) % len(_MIX)]) >> self.shift
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and number of trigrams."""
         g = trigrams(text)
         if not len(g) or not self.langs:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, len(g)
         at = [self._slot(g, h) for h in range(self.hashes)]
         hits = []
         for word in self.masks:
@@ -123,30 +131,66 @@ class Filter:
             hits += [int(np.count_nonzero(found & (np.uint64(1) << np.uint64(k)))) for k in range(min(64, left))]
         share = np.maximum((np.array(hits) / len(g) - self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0)
         best = int(np.argmax(share))  # the first of equals: langs stand in the order of ties
-        return self.langs[best], float(min(1.0, share[best]))
+        return self.langs[best], float(min(1.0, share[best])), len(g)
+
+
+def _known(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{lang_col}`").cast("string").alias("_lang"),
+                       F.col(f"`{text_col}`").cast("string").alias("_text")).where("_lang IS NOT NULL")
 
 
-def learn(docs: DataFrame, text_col: str, lang_col: str, top: int, slots: int, hashes: int, max_languages: int) -> Filter:
-    known = docs.select(F.col(f"`{lang_col}`").cast("string").alias("_lang"),
-                        F.col(f"`{text_col}`").cast("string").alias("_text")).where("_lang IS NOT NULL")
+def learn(docs: DataFrame, text_col: str, lang_col: str, top: int, slots: int, hashes: int,
+          max_languages: int) -> tuple[Filter, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The filter, and each language's set as sorted trigrams with their counts."""
+    known = _known(docs, text_col, lang_col)
     counts = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_docs")).orderBy(F.desc("_docs"), "_lang").limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} distinct values in {lang_col}")
     langs = [r["_lang"] for r in counts]
     w = Window.partitionBy("_lang").orderBy(F.desc("_n"), "_gram")  # rows: a language's distinct trigrams
     rows = (count_trigrams(known).groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n"))
-            .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top).select("_lang", "_gram").collect())
-    grams: dict[str, list[int]] = {x: [] for x in langs}
+            .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top).select("_lang", "_gram", "_n").collect())
+    grams: dict[str, list[tuple[int, int]]] = {x: [] for x in langs}
     for r in rows:
-        grams[r["_lang"]].append(r["_gram"])
+        grams[r["_lang"]].append((r["_gram"], r["_n"]))
     langs = [x for x in langs if grams[x]]
-    return Filter.build(langs, {x: np.array(grams[x], np.int64).view(np.uint64) for x in langs}, slots, hashes)
+    sets = {x: tuple(np.array(v, np.int64) for v in zip(*sorted(grams[x]))) for x in langs}
+    return Filter.build(langs, {x: sets[x][0].view(np.uint64) for x in langs}, slots, hashes), sets
+
+
+def low_marks(docs: DataFrame, sets: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, float]:
+    """docs (_lang, _text) -> per language its low mark, from shares in steps of 1/``_BINS``."""
+    shared = docs.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches):
+        held = {}
+        for b in batches:
+            for lang, text in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist()):
+                g = trigrams(text)
+                if len(g) and lang in shared.value:
+                    grams, total = shared.value[lang]
+                    own, n = np.unique(g.view(np.int64), return_counts=True)
+                    at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                    share = n[(grams[at] == own) & (total[at] > n)].sum() / len(g)
+                    key = lang, int(share * _BINS)
+                    held[key] = held.get(key, 0) + len(g)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([s for _, s in held], pa.int64()),
+                                          pa.array(list(held.values()), pa.int64())], names=["_lang", "_share", "_n"])
+
+    steps = docs.mapInArrow(run, "_lang string, _share long, _n long").groupBy("_lang", "_share").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy("_lang")  # rows: a language's steps
+    t = steps.select("_lang", "_share", F.sum("_n").over(w.orderBy("_share")).alias("_to"), F.sum("_n").over(w).alias("_all"))
+    low = t.where(F.col("_to") > LOW * F.col("_all")).groupBy("_lang").agg(F.min("_share").alias("_low"))
+    return {r["_lang"]: r["_low"] / _BINS for r in low.collect()}
 
 
 def _predict(docs: DataFrame, carry: list[str], text_col: str, lang_col: str, id_col: str, top: int, slots: int,
-             hashes: int, max_languages: int) -> DataFrame:
-    """The columns ``carry`` as _c0, _c1, ... (so that no name can clash) with _lang and _score."""
-    f = learn(docs.where(~held_out(F.col(f"`{id_col}`"))), text_col, lang_col, top, slots, hashes, max_languages)
+             hashes: int, max_languages: int, marks: bool = False) -> tuple[DataFrame, dict[str, float]]:
+    """The columns ``carry`` as _c0, _c1, ... (so that no name can clash) with _lang, _score
+    and _n (trigrams); the languages' low marks, if asked for."""
+    seen = docs.where(~held_out(F.col(f"`{id_col}`")))
+    f, sets = learn(seen, text_col, lang_col, top, slots, hashes, max_languages)
+    low = low_marks(_known(seen, text_col, lang_col), sets) if marks and sets else {}
     shared = docs.sparkSession.sparkContext.broadcast((f.langs, f.masks, f.hashes))
     names = [f"_c{k}" for k in range(len(carry))]
     slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
@@ -161,17 +205,18 @@ def _predict(docs: DataFrame, carry: list[str], text_col: str, lang_col: str, id
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
                 got = [own.predict(t) for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array([x for x, _ in got], pa.string()),
-                                                  pa.array([s for _, s in got], pa.float64())], names=[*names, "_lang", "_score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array([x for x, _, _ in got], pa.string()),
+                                                  pa.array([s for _, s, _ in got], pa.float64()),
+                                                  pa.array([n for _, _, n in got], pa.int64())], names=[*names, "_lang", "_score", "_n"])
 
     kinds = "".join(f"{c} {slim.schema[c].dataType.simpleString()}, " for c in names)
-    return slim.mapInArrow(run, f"{kinds}_lang string, _score double")
+    return slim.mapInArrow(run, f"{kinds}_lang string, _score double, _n long"), low
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              top: int = 400, slots: int = 1 << 16, hashes: int = 3, max_languages: int = 1024) -> DataFrame:
     """Per document: id, held_out, lang_pred, score."""
-    out = _predict(docs, [id_col], text_col, lang_col, id_col, top, slots, hashes, max_languages)
+    out, _ = _predict(docs, [id_col], text_col, lang_col, id_col, top, slots, hashes, max_languages)
     return out.select(F.col("_c0").alias(id_col), held_out(F.col("_c0")).alias("held_out"),
                       F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
@@ -179,8 +224,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, min_score: float = 0.2, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang", top: int = 400, slots: int = 1 << 16, hashes: int = 3,
                     max_languages: int = 1024) -> DataFrame:
-    """``docs`` without those that are no text in a known language: ``und``, or less
-    than ``min_score`` of whose trigrams belong to the best language."""
-    out = _predict(docs, docs.columns, text_col, lang_col, id_col, top, slots, hashes, max_languages)
-    return (out.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= min_score))
+    """``docs`` without those that are no text in a known language: ``und``, or with a
+    share of trigrams in the best language's set far below what its own documents have.
+    Far below is half its low mark, ``min_score`` at most; a short text must miss that by
+    two standard deviations of a count, so one of few trigrams is not judged by chance."""
+    out, low = _predict(docs, docs.columns, text_col, lang_col, id_col, top, slots, hashes, max_languages, marks=True)
+    floors = {x: min(min_score, s / 2) for x, s in low.items()}
+    floor = F.lit(0.0)
+    if floors:
+        floor = F.coalesce(F.create_map(*[F.lit(v) for pair in floors.items() for v in pair])[F.col("_lang")], floor)
+    want = F.col("_n") * floor
+    return (out.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") * F.col("_n") >= want - 2 * F.sqrt(want)))
             .select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)]))

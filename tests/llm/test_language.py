@@ -65,6 +65,22 @@ def test_rejects_only_what_is_no_language(corpus):
     assert gone == 3 and kept.where("doc_id IN (1000, 1001, 1002)").count() == 0
 
 
+def test_keeps_a_language_of_many_characters(spark):
+    """400 trigrams cover little of such texts; they stay, and so do short ones."""
+    rng = random.Random(2)
+    signs = [chr(0x4E00 + i) for i in range(1500)]
+    often = [1 / (i + 1) for i in range(len(signs))]
+    han = lambda n: "".join(rng.choices(signs, often, k=n))
+    rows = [(i, sentence(rng, "xx", 40), "xx", "s", 1) for i in range(150)]
+    rows += [(200 + i, han(rng.randrange(100, 400)), "han", "s", 1) for i in range(150)]
+    rows += [(400 + i, han(5), "han", "s", 1) for i in range(20)]
+    rows += [(500 + i, "".join(chr(0x410 + rng.randrange(64)) for _ in range(3000)), None, "s", 1) for i in range(20)]
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    scores = [r["score"] for r in identify(d).collect() if 200 <= r["doc_id"] < 400]
+    assert max(scores) < 0.2
+    assert sorted(r["doc_id"] for r in keep_identified(d).collect()) == [r[0] for r in rows if r[0] < 500]
+
+
 def test_nothing_to_learn(none, docs, spark):
     assert identify(none).count() == 0 and keep_identified(none).count() == 0
     plain = spark.createDataFrame([row(1, "some text", None)], DOCS)
