@@ -139,6 +139,27 @@ def op2_decontaminate(spark, sf_dir):
                         F.col("_similarity").alias("similarity"))
 
 
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    from stratum.llm.align import alignment_digests
+
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling")
+def op12_spelling(spark, sf_dir):
+    from stratum.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, typo_every=199, ratio=5)
+
+
+@query("op13_embedding_dedup")
+def op13_embedding_dedup(spark, sf_dir):
+    from stratum.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
