@@ -19,6 +19,9 @@ broadcast in parts of ``pairs_per_pass`` pairs at most: the tokenizers run once,
 links stay compressed in a written table in the shared folder, and a further
 part costs one more reading of that table.
 
+A's pre-tokenizer cuts a text into pieces that are encoded on their own, so each
+distinct piece is encoded once per task and remembered.
+
 Edge cases: null and empty texts, and texts whose joined A or B token bytes are
 not blank + text (say, U+2581, which B cannot tell from a blank), have no
 tokens: zeros and the empty string.  Strings of special tokens are plain text.
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -72,6 +76,35 @@ class Aligned:
     pair: pa.Array
 
 
+#: pieces that byte-level BPE encodes on their own (the pattern of its pre-tokenizer; fixed value)
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: texts of these code points only are cut by that pattern alike in every library and Unicode version
+PLAIN = "[\t\n\r -~\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*"
+
+
+class Pieces:
+    """Byte-level BPE that encodes each distinct piece once.  A text with code points
+    outside PLAIN goes to the tokenizer whole."""
+
+    def __init__(self, tokenizer, most: int = 1 << 18):
+        import regex
+
+        self.tokenizer, self.most, self.known = tokenizer, most, {}
+        self.cut, self.plain = regex.compile(PIECE).findall, re.compile(PLAIN).fullmatch
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        cut = [self.cut(t) if self.plain(t) else None for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = [p for p in set(chain.from_iterable(c for c in cut if c is not None)) if p not in self.known]
+        self.known.update(zip(new, self._encode(new)))
+        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
+        return [next(whole) if c is None else list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+
+
 class Aligner:
     def __init__(self, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -81,6 +114,7 @@ class Aligner:
         self.a = tokenizers.Tokenizer.from_file(byte_bpe)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+        self.pieces = Pieces(self.a)
         symbols, vocabulary = byte_symbols(), self.a.get_vocab(with_added_tokens=False)
         a = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for entry, i in vocabulary.items():
@@ -92,7 +126,7 @@ class Aligner:
         self.name_a, self.name_b = (pa.array([str(i) for i in range(len(x))]) for x in (a, b))
 
     def _lists(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = self.pieces([" " + t for t in texts])
         b = self.b.encode(texts, num_threads=1) if texts else []
         return _list_array(a), _list_array(b)
 

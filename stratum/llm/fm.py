@@ -7,11 +7,15 @@ The pair term is never enumerated.  With s_f = sum_i v_if x_i it equals
 m features costs O(m * rank).
 
 Fitting is bounded by ``fit_rows`` labelled rows: those with the smallest hashes
-of their id, so the choice does not depend on partitioning.  Executors count in
-how many rows of each class a slot occurs; the ``keep`` slots with the largest
-chi-square get parameters, all others keep none.  The sample's kept features
-(bounded) are then fitted by one task with mini-batch Adagrad.  Scoring is one
-map over the documents; no text but the bounded sample's is shuffled.
+of their id, one row for each id, so the choice does not depend on partitioning.
+Executors count in how many rows of each class a slot occurs.  Every slot of at
+least ``min_rows`` rows gets factors, whether or not it tells the classes apart
+alone, so that a pair of terms can be learned whose terms are neutral; additive
+weights are for the ``additive`` slots with the largest chi-square only (a term
+that is independent of the label has nothing to add alone, and thousands of such
+weights fit noise).  The sample's features (bounded) are then fitted by one task
+with mini-batch Adagrad.  Scoring is one map over the documents; no text but the
+bounded sample's is shuffled.
 """
 
 from __future__ import annotations
@@ -34,14 +38,17 @@ _SAMPLE_TASKS = 16
 @dataclass(frozen=True)
 class FMConfig:
     bits: int = 18          # 2**bits hashed slots
-    keep: int = 8192        # slots with parameters
+    additive: int = 1024    # slots with additive weights
     rank: int = 8           # factors per slot
     fit_rows: int = 16_000  # bound on the labelled rows used for fitting
     epochs: int = 6
     batch: int = 64
     rate: float = 0.1
     l2: float = 1e-4
-    min_rows: int = 5       # rows of the sample that a slot with parameters occurs in
+    l2_pair: float = 1.0
+    spread: float = 0.01    # standard deviation of the factors at the start
+    pair_rate: float = 0.3  # learning rate of the factors, as a share of ``rate``
+    min_rows: int = 5       # rows of the sample that a slot with factors occurs in
     seed: int = 7
 
 
@@ -65,18 +72,20 @@ class FM:
         return 1.0 / (1.0 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def choose_slots(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int, cfg: FMConfig) -> np.ndarray:
-    """slot -> 1..keep for the slots with the largest chi-square, 0 for the rest."""
+def choose_slots(n0: np.ndarray, n1: np.ndarray, rows0: int, rows1: int, cfg: FMConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(slot -> 1.. for slots of at least ``min_rows`` rows, 0 for the rest; of those
+    numbers, which have additive weights)."""
     where = np.zeros(1 << cfg.bits, np.int32)
     n, total = (n0 + n1).astype(float), rows0 + rows1
     if not (rows0 and rows1):
-        return where
-    expected = n * rows1 / total
-    chi = np.where(n >= cfg.min_rows, (n1 - expected) ** 2 * total / np.maximum(n * (total - n), 1.0), -1.0)
-    best = np.argsort(-chi, kind="stable")[:cfg.keep]
-    best = np.sort(best[chi[best] >= 0])
-    where[best] = np.arange(1, len(best) + 1)
-    return where
+        return where, np.zeros(1, bool)
+    has = np.flatnonzero(n >= cfg.min_rows)
+    where[has] = np.arange(1, len(has) + 1)
+    n, n1 = n[has], n1[has]
+    chi = (n1 - n * rows1 / total) ** 2 * total / np.maximum(n * (total - n), 1.0)
+    additive = np.zeros(len(has) + 1, bool)
+    additive[1 + np.argsort(-chi, kind="stable")[:cfg.additive]] = True
+    return where, additive
 
 
 def compact(where: np.ndarray, idx: np.ndarray, val: np.ndarray):
@@ -87,12 +96,12 @@ def compact(where: np.ndarray, idx: np.ndarray, val: np.ndarray):
             np.concatenate([np.zeros(1, np.float32), val[has]]))
 
 
-def fit(where: np.ndarray, lens, idx, val, y, cfg: FMConfig) -> FM:
+def fit(where: np.ndarray, lens, idx, val, y, cfg: FMConfig, additive: np.ndarray) -> FM:
     """Mini-batch Adagrad on the logistic loss; deterministic for equal input."""
     rng = np.random.default_rng(cfg.seed)
     size = int(where.max(initial=0)) + 1
     w = np.zeros(size, np.float32)
-    v = (rng.standard_normal((size, cfg.rank)) * 0.01).astype(np.float32)
+    v = (rng.standard_normal((size, cfg.rank)) * cfg.spread).astype(np.float32)
     v[0] = 0
     base = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     w0 = float(np.log(base / (1 - base)))
@@ -113,11 +122,12 @@ def fit(where: np.ndarray, lens, idx, val, y, cfg: FMConfig) -> FM:
             by = np.argsort(i, kind="stable")
             slots, first = np.unique(i[by], return_index=True)
             dw = np.add.reduceat(gx[by], first) + cfg.l2 * w[slots]
-            dv = np.add.reduceat((gx[:, None] * (np.repeat(s, n, axis=0) - vx))[by], first, axis=0) + cfg.l2 * v[slots]
+            dv = np.add.reduceat((gx[:, None] * (np.repeat(s, n, axis=0) - vx))[by], first, axis=0) + cfg.l2_pair * v[slots]
+            dw *= additive[slots]
             gw[slots] += dw * dw
             gv[slots] += dv * dv
             w[slots] -= cfg.rate * dw / np.sqrt(gw[slots])
-            v[slots] -= 0.3 * cfg.rate * dv / np.sqrt(gv[slots])
+            v[slots] -= cfg.pair_rate * cfg.rate * dv / np.sqrt(gv[slots])
             w0 -= 0.05 * cfg.rate * float(g.mean())
     return FM(where, w0, w, v)
 
@@ -151,8 +161,8 @@ def fit_sample(sample: DataFrame, make: Callable[[], Featurizer], cfg: FMConfig,
     n, r0, r1 = np.zeros((2, 1 << cfg.bits), np.int64), 0, 0
     for row in sample.mapInArrow(count, "n binary, r0 long, r1 long").toLocalIterator():  # <= _SAMPLE_TASKS rows
         n, r0, r1 = n + np.frombuffer(row["n"], np.int32).reshape(2, -1), r0 + row["r0"], r1 + row["r1"]
-    where = choose_slots(n[0], n[1], r0, r1, cfg)
-    shared = sc.broadcast(where)
+    where, additive = choose_slots(n[0], n[1], r0, r1, cfg)
+    shared, has_weight = sc.broadcast(where), sc.broadcast(additive)
 
     def features(batches):
         f = make()
@@ -171,14 +181,14 @@ def fit_sample(sample: DataFrame, make: Callable[[], Featurizer], cfg: FMConfig,
         lens = np.array([len(i) for i in idx], np.int64)
         m = fit(shared.value, lens, np.concatenate(idx) if rows else np.empty(0, np.int32),
                 np.concatenate([np.frombuffer(r[2], "<f4") for r in rows]) if rows else np.empty(0, np.float32),
-                np.array([r[3] for r in rows], np.float32), cfg)
+                np.array([r[3] for r in rows], np.float32), cfg, has_weight.value)
         yield pa.RecordBatch.from_arrays([pa.array([m.w0]), pa.array([m.w.tobytes()]), pa.array([m.v.tobytes()])],
                                          names=["w0", "w", "v"])
 
     got = (sample.mapInArrow(features, "_order long, _label int, _idx binary, _val binary")
            .repartition(1).mapInArrow(train, "w0 double, w binary, v binary").collect())
     if not got:  # an empty sample may have no partition at all
-        return fit(where, *[np.empty(0, np.float32)] * 4, cfg)
+        return fit(where, *[np.empty(0, np.float32)] * 4, cfg, additive)
     one = got[0]
     return FM(where, one["w0"], np.frombuffer(one["w"], np.float32),
               np.frombuffer(one["v"], np.float32).reshape(-1, cfg.rank))
@@ -211,7 +221,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     Ids are chosen on the slim label table alone; the chosen ids (bounded by
     fit_rows, hence broadcast) then pick their texts in one scan.  Labels other
     than 0/1 and rows without an id are ignored; of several label rows of one id
-    the larger label counts.
+    the larger label counts, of several documents the smallest text.
     """
     ids = (labels.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"`{label_col}`").cast("int").alias("_label"))
            .where(F.col("_lid").isNotNull() & F.col("_label").isin(0, 1))
@@ -221,4 +231,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
            .orderBy("_order", "_lid").limit(cfg.fit_rows))
     slim = docs.select(F.col(f"`{id_col}`").alias("_lid"), F.col(f"`{text_col}`").cast("string").alias("_text"),
                        *[F.col(f"`{c}`").alias(f"_m{k}") for k, c in enumerate(meta)])
-    return slim.join(F.broadcast(ids), "_lid")
+    metas = [f"_m{k}" for k in range(len(meta))]
+    one = slim.join(F.broadcast(ids), "_lid").groupBy("_lid", "_label", "_order").agg(F.min(F.struct("_text", *metas)).alias("_d"))
+    return one.select("_label", "_order", *[F.col(f"_d.{c}").alias(c) for c in ("_text", *metas)])

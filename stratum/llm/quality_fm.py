@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stratum.llm.fm import FMConfig, fit_sample, labelled_sample, score_documents
 from stratum.llm.terms import Terms, distinct, lowered
 
-CONFIG = FMConfig(keep=2048, epochs=5, rate=0.05)
+CONFIG = FMConfig(additive=2048, epochs=6, rate=0.1, l2_pair=0.5, pair_rate=1.0)
 HELD_OUT_OF, HELD_OUT = 4, 2
 #: byte classes: 0 letter or part of one, 1 capital, 2 digit, 3 blank, 4 line end, 5 stop, 6 comma, 7 other symbol
 _CLASS = np.zeros(256, np.uint8)

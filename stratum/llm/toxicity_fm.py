@@ -23,7 +23,7 @@ from stratum.llm.fm import FMConfig, fit_sample, labelled_sample, score_document
 from stratum.llm.quality_fm import held_out
 from stratum.llm.terms import Terms, distinct, lowered
 
-CONFIG = FMConfig(keep=1024, epochs=6, rate=0.1)
+CONFIG = FMConfig(additive=1024, epochs=6, rate=0.1, l2_pair=1.0, pair_rate=0.3)
 FLAT = 16
 PREFIXES = (4, 5, 6, 7, 9)
 

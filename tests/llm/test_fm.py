@@ -1,13 +1,16 @@
 import itertools
 import random
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from stratum.llm.fm import FM, FMConfig
+from stratum.llm.fm import FM, labelled_sample
+from stratum.llm.quality_fm import CONFIG as QUALITY
 from stratum.llm.quality_fm import score_quality, structure
 from stratum.llm.terms import Terms, lowered
+from stratum.llm.toxicity_fm import CONFIG as TOXICITY
 from stratum.llm.toxicity_fm import score_toxicity
 from tests.llm.conftest import DOCS, row, strange, words
 
@@ -70,15 +73,37 @@ def test_quality(labelled):
     assert len(out) == d.count() and held_out_accuracy(out, y, "quality") > 0.97
 
 
-def test_toxicity_is_in_the_pair(labelled):
+def test_toxicity(labelled):
     d, y = labelled
-    cfg = FMConfig(keep=256, epochs=30, rate=0.2)
-    out = score_toxicity(d, y, cfg=cfg).collect()
-    pair = held_out_accuracy(out, y, "toxic")
-    assert pair > 0.97
-    # without factors the machine is linear; with them it separates better by rank
-    flat = score_toxicity(d, y, cfg=FMConfig(keep=256, epochs=30, rate=0.2, rank=1, fit_rows=100)).collect()
-    assert held_out_accuracy(flat, y, "toxic") < pair
+    assert held_out_accuracy(score_toxicity(d, y).collect(), y, "toxic") > 0.97
+
+
+def test_only_the_pair_tells(spark):
+    """Label 1 if both or neither of two words occur: each word alone is independent of
+    the label.  The queries' own configurations learn it; with factors fixed at zero
+    on the same rows nothing can."""
+    rng, rows, labels = random.Random(5), [], []
+    for i in range(9000):
+        w = words(rng, 25, 4000)
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w += ["rotten"] * a + ["neighbours"] * b
+        rng.shuffle(w)
+        rows.append(row(i, " ".join(w)))
+        labels.append((i, int(a == b), int(a == b)))
+    d, y = spark.createDataFrame(rows, DOCS).repartition(4), spark.createDataFrame(labels, LABELS)
+    for score, cfg, col in ((score_toxicity, TOXICITY, "toxic"), (score_quality, QUALITY, "quality")):
+        assert held_out_accuracy(score(d, y).collect(), y, col) > 0.9
+        flat = score(d, y, cfg=replace(cfg, spread=0.0, pair_rate=0.0)).collect()
+        assert abs(held_out_accuracy(flat, y, col) - 0.5) < 0.06
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    """Of several documents of a labelled id one is learned from."""
+    d = spark.createDataFrame([row(i % 7, f"text {i}") for i in range(700)] + [row(3, None)], DOCS)
+    y = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7)], LABELS)
+    sample = labelled_sample(d, y, "toxic", "doc_id", "text", ["n_chars"], TOXICITY, lambda c: c >= 0)
+    got = sample.collect()
+    assert len(got) == 7 and {r["_text"] for r in got} == {None} | {min(f"text {k}" for k in range(i, 700, 7)) for i in (0, 1, 2, 4, 5, 6)}
 
 
 def test_same_labels_same_scores_and_no_leak(spark, labelled):
