@@ -1,33 +1,33 @@
-"""Exact k-nearest neighbours (self-join kNN) without an all-pairs join.
-
-Every point gets a 1-D projection p = x·v with v a unit vector (∝ per-feature
-standard deviation).  Because |p_x − p_y| ≤ ‖x − y‖, all neighbours of x within
-radius R have projections in [p_x − R, p_x + R]:
-
-1. *radius*: points are ranked exactly by p (``running_totals``: range
-   partitions + per-range offsets, no single-partition sort) and cut into
-   blocks of ``depth`` ≥ 2k consecutive points.  A point's own block ± 1 holds
-   at least k other points, so the k-th smallest distance among them, R_x, is
-   an upper bound of its true k-th neighbour distance.  Candidates per point
-   are ≤ 3·depth: linear work.
-2. *exact*: p is also cut into equal-width cells (~``depth`` points per cell on
-   average); each point is exploded over the cells covering [p_x − R_x, p_x + R_x]
-   and equi-joined to the points on the cell id; candidates within R_x are
-   ranked by (distance, id) per point and the first k kept.
-
-All joins are equi-joins on block / cell ids, so work follows the band
-populations, never all pairs.  Squared distances are summed in a fixed
-feature order, so results are bit-identical to a brute-force reference.
+"""Exact k-nearest neighbours (self-join kNN) by a metric index, without an all-pairs join.
+
+1. *cells*: pivots are sampled by hash, every point goes to the cell of its nearest
+   pivot; members of cells that are too full become pivots as well, round after
+   round, until no cell holds more than a stated number of points.  A cell has a
+   count and the least and largest distance of its points to the pivot.
+2. *radius*: the k-th distance among a point's own cell, or the nearest whole cells
+   that hold k others for sure, is an upper bound R of its true k-th distance.
+3. *pruning*: with d its distance to a pivot, a point looks into a cell only if the
+   ball of radius R meets the cell's ring (triangle inequality) and reaches over the
+   plane between the cell's pivot and its own; inside a cell it is compared only
+   with points whose pivot distance differs from d by R at most.
+4. *exact*: an equi-join on the cell; candidates are ranked by (distance, id).
+
+The pivots are the only thing broadcast; their number is bounded by ``MAX_PIVOTS``
+(cells grow with the data beyond).  All bounds are a little wider than rounding,
+squared distances are summed in a fixed feature order, so results are bit-identical
+to a brute-force reference.  How much is pruned depends on the data: in 64
+dimensions of independent noise no bound can prune (``index_report`` tells).
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.operators.windows import running_totals
+from stratum.functions.exprs import merge_one_row
+from stratum.functions.hashing import hash_uniform
 
 
 def _d2(feats, a="q_", b="p_"):
@@ -43,19 +43,17 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
 COPY_CHUNK = 1_000_000  # rows per salted sort task inside one group of identical points
 
 
-def knn(points: DataFrame, key: str, feats: list[str], k: int, density: int = 16) -> DataFrame:
+def knn(points: DataFrame, key: str, feats: list[str], k: int, cell: int = 64) -> DataFrame:
     """(query id ``q_id``, neighbour rank ``nn_rank`` 0..k-1, neighbour id ``nn_id``,
     squared distance ``dist2``) for every point against all other points; ties by id.
 
     Groups of identical points (possibly a third of all rows) are not compared
     pairwise: within a group of m ≥ k+2 copies only the k+1 smallest ids
-    ("heads") take part in the band join — any other copy is dominated by
+    ("heads") take part in the index — any other copy is dominated by
     them in (distance, id) order — and every other copy's neighbours are the
     first k heads of its group at distance 0.  The heads are found with
     per-group salting (each sort task ≤ ``COPY_CHUNK`` rows) and a merge of
     (k+1)·salts candidates per group."""
-    from stratum.functions.hashing import hash_uniform
-
     pts = points.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).persist()
     # partial aggregation: a hot group of copies is combined map-side
     big = pts.groupBy(*feats).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= k + 2)
@@ -68,7 +66,7 @@ def knn(points: DataFrame, key: str, feats: list[str], k: int, density: int = 16
     heads_big = first.withColumn("_r2", F.row_number().over(Window.partitionBy(*feats).orderBy(key))) \
         .where(F.col("_r2") <= k + 1).select(key, *feats, "_r2").persist()
     heads = tagged.where(F.col("_m").isNull()).select(key, *feats).unionByName(heads_big.select(key, *feats))
-    nn_heads = _band_knn(heads, key, feats, k, density)
+    nn_heads = _pivot_knn(heads, key, feats, k, cell)
     rest = bigpts.select(key, *feats).join(heads_big.select(key), key, "left_anti")
     nn_rest = rest.join(heads_big.where(F.col("_r2") <= k).select(F.col(key).alias("nn_id"), *feats, "_r2"), feats) \
         .select(F.col(key).alias("q_id"), (F.col("_r2") - 1).cast("int").alias("nn_rank"), "nn_id",
@@ -76,54 +74,146 @@ def knn(points: DataFrame, key: str, feats: list[str], k: int, density: int = 16
     return nn_heads.unionByName(nn_rest)
 
 
-def _band_knn(points: DataFrame, key: str, feats: list[str], k: int, density: int = 16,
-              exclude_self: bool = True) -> DataFrame:
-    """Block + band kNN over points with at most k+1 copies of any point."""
+MAX_PIVOTS = 16_384  # pivots held by the driver and each task (x features doubles)
+
+
+def _cells(points: DataFrame, key: str, feats: list[str], cell: int, max_pivots: int) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(points with _cell and _r, pivots, cells): every point in the cell of its nearest
+    pivot, no cell above ``cell`` points (or 4 n / ``max_pivots``, if that is more).
+
+    The first pivots are the points with the smallest hashes; in rounds, members of
+    cells that are still too full become pivots too, chosen by hash with the chance
+    that leaves about a quarter of the limit to each.  cells: (_cell, _n, _lo, _hi)."""
+    n = points.count()
+    full = max(cell, -(-4 * n // max_pivots))
+    u = hash_uniform(key, 0, "pivot")
+    first = points.select(*feats).orderBy(u, key).limit(max(1, min(max_pivots, 4 * n // full))).collect()
+    pivots = np.array([tuple(r) for r in first], np.float64).reshape(-1, len(feats))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+
+    def assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+        def run(batches):
+            p = shared.value
+            for b in batches:
+                x = _matrix(b, feats)
+                near, r = np.empty(len(x), np.int64), np.empty(len(x))
+                for at in _steps(len(x), len(p)):
+                    d = _distances(x[at], p)
+                    near[at] = d.argmin(axis=1)
+                    r[at] = d[np.arange(len(d)), near[at]]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(r)], names=[*b.schema.names, "_cell", "_r"])
+
+        return rows.mapInArrow(run, f"{schema}, _cell long, _r double")
+
+    for turn in range(1, 40):
+        dealt = assign(points, pivots).persist()
+        cells = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+        sizes = cells.collect()  # at most one row for each pivot
+        over = [(r["_cell"], min(1.0, 4.0 / full + 1.0 / r["_n"])) for r in sizes if r["_n"] > full and r["_hi"] > 0]
+        if not over or len(pivots) >= 2 * max_pivots:
+            break
+        much = F.broadcast(points.sparkSession.createDataFrame(over, "_cell long, _p double"))
+        more = dealt.join(much, "_cell").where((hash_uniform(key, turn, "pivot") < F.col("_p")) & (F.col("_r") > 0)).select(*feats).collect()
+        dealt.unpersist()
+        if more:
+            pivots = np.unique(np.vstack([pivots, np.array([tuple(r) for r in more], np.float64)]), axis=0)
+    return dealt, pivots, points.sparkSession.createDataFrame([tuple(r) for r in sizes] or [], "_cell long, _n long, _lo double, _hi double")
+
+
+def _matrix(b, feats: list[str]) -> np.ndarray:
+    return np.column_stack([b.column(f).to_numpy(zero_copy_only=False) for f in feats]).astype(np.float64)
+
+
+def _steps(n: int, width: int):
+    """Slices of rows whose distance table stays small."""
+    step = max(1, (1 << 21) // max(1, width))
+    return [slice(a, a + step) for a in range(0, n, step)]
+
+
+def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots from differences: right in all but the last digits, near or far."""
+    d = np.zeros((len(x), len(p)))
+    for f in range(x.shape[1]):
+        d += (x[:, f, None] - p[None, :, f]) ** 2
+    return np.sqrt(d)
+
+
+_SLACK = 1e-9
+
+
+def _candidates(points: DataFrame, key: str, feats: list[str], k: int, cell: int, max_pivots: int):
+    """(pairs of point and cell to look into with q_* columns, _cell, _r2 and _dq; points by cell with p_* columns)."""
+    dealt, pivots, cells = _cells(points, key, feats, cell, max_pivots)
+    table = {r["_cell"]: (r["_n"], r["_lo"], r["_hi"]) for r in cells.collect()}
+    number = np.array(sorted(table), np.int64)
+    stats = np.array([table[c] for c in number], np.float64).reshape(-1, 3)
+    shared = points.sparkSession.sparkContext.broadcast((pivots[number] if len(number) else pivots, number, stats))
+    P = dealt.select(F.col(key).alias("p_id"), *[F.col(f).alias(f"p_{f}") for f in feats], "_cell", F.col("_r").alias("_dp"))
+    Q = dealt.select(F.col(key).alias("q_id"), *[F.col(f).alias(f"q_{f}") for f in feats], "_cell")
+
+    # the k-th distance inside the own cell bounds that of all
+    own = Q.join(P, "_cell").where("p_id <> q_id").select("q_id", "p_id", _d2(feats).alias("dist2"))
+    own = _top_k(own, k).groupBy("q_id").agg(F.count(F.lit(1)).alias("_c"), F.max("dist2").alias("_m"))
+    bound = own.select("q_id", F.when(F.col("_c") >= k, F.col("_m")).alias("_own"))
+    ready = Q.drop("_cell").join(bound, "q_id", "left")
+    names = [f"q_{f}" for f in feats]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.drop("_own").schema)
+
+    def look(batches):
+        p, number, stats = shared.value
+        n, lo, hi = stats.T
+        for b in batches:
+            x = _matrix(b, names)
+            own = b.column("_own").to_numpy(zero_copy_only=False).astype(np.float64)
+            for at in _steps(len(x), len(p)):
+                d = _distances(x[at], p)
+                # whole cells, nearest far side first, until they hold k others
+                far = (d + hi[None, :]) * (1 + _SLACK)
+                order = np.argsort(far, axis=1)
+                enough = (np.cumsum(n[order], axis=1) >= k + 1).argmax(axis=1)
+                whole = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
+                if n.sum() < k + 1:
+                    whole = np.full(len(d), np.inf)
+                r = np.fmin(np.sqrt(own[at]), whole) * (1 + _SLACK)
+                eps = _SLACK * (d + hi[None, :])
+                hit = (d - r[:, None] <= hi[None, :] + eps) & (d + r[:, None] >= lo[None, :] - eps)
+                # a cell's points are nearer to its pivot than to the point's own: the plane between
+                first = d.argmin(axis=1)
+                gap, home = _distances(p[first], p), d[np.arange(len(d)), first][:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = np.where(gap > 0, (d - home) * (d + home) / (2 * gap) - _SLACK * (d + home) ** 2 / gap, 0.0)
+                hit &= plane <= r[:, None]
+                i, j = np.nonzero(hit)
+                part = b.slice(at.start, len(d)).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names if c != "_own"], pa.array(number[j]),
+                                                  pa.array(r[i] ** 2), pa.array(d[i, j])],
+                                                 names=[*[c for c in part.schema.names if c != "_own"], "_cell", "_r2", "_dq"])
+
+    return ready.mapInArrow(look, f"{schema}, _cell long, _r2 double, _dq double"), P
+
+
+def _pairs(points: DataFrame, key: str, feats: list[str], k: int, cell: int, max_pivots: int) -> DataFrame:
+    """All pairs that the index leaves to be compared, with their exact squared distance."""
+    look, P = _candidates(points, key, feats, k, cell, max_pivots)
+    j = look.join(P, "_cell").where(f"p_id <> q_id AND abs(_dq - _dp) <= sqrt(_r2) + {_SLACK} * (_dq + _dp)")
+    return j.select("q_id", "p_id", "_r2", _d2(feats).alias("dist2"))
+
+
+def _pivot_knn(points: DataFrame, key: str, feats: list[str], k: int, cell: int = 64, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """Exact kNN over points with at most k+1 copies of any point."""
     points = points.select(key, *feats).persist()
-    st = points.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(feats)]).first()
-    n = st["n"] or 0
-    sd = [float(st[f"s{i}"] or 0.0) for i in range(len(feats))]
-    norm = math.sqrt(sum(s * s for s in sd))
-    v = [s / norm for s in sd] if norm > 0 else [1.0 / math.sqrt(len(feats))] * len(feats)
-    proj = sum((F.lit(v[i]) * F.col(f) for i, f in enumerate(feats[1:], 1)), F.lit(v[0]) * F.col(feats[0]))
-    depth = max(2 * k, density)
-
-    base = points.select(F.col(key).alias("p_id"), *[F.col(f).alias(f"p_{f}") for f in feats], proj.alias("p_p"))
-    # exact rank on the projection → equi-depth blocks
-    ranked = running_totals(base.select("p_id", "p_p", F.lit(1).alias("_one")), "p_p", ["_one"])
-    blocks = ranked.select("p_id", F.floor((F.col("cum__one") - 1) / depth).cast("long").alias("eb"))
-    P = base.join(blocks, "p_id").persist()
-    lim = P.agg(F.min("p_p").alias("lo"), F.max("p_p").alias("hi")).first()
-    lo, hi = float(lim["lo"] or 0.0), float(lim["hi"] or 0.0)
-    w = max((hi - lo) * depth / max(n, 1), 1e-12)
-    cell = lambda c: F.floor((c - F.lit(lo)) / F.lit(w)).cast("long")
-    P = P.withColumn("cb", cell(F.col("p_p")))
-    Q = P.select(F.col("p_id").alias("q_id"), *[F.col(f"p_{f}").alias(f"q_{f}") for f in feats],
-                 F.col("p_p").alias("q_p"), F.col("eb").alias("q_eb"))
-    pcols = ["p_id", *[f"p_{f}" for f in feats]]
-
-    # 1. radius from the own block ± 1
-    c = (Q.select("q_id", *[f"q_{f}" for f in feats], F.explode(F.sequence(F.col("q_eb") - 1, F.col("q_eb") + 1))
-                  .alias("eb"))
-         .join(P.select(*pcols, "eb"), "eb"))
-    if exclude_self:
-        c = c.where(F.col("p_id") != F.col("q_id"))
-    c = _top_k(c.select("q_id", "p_id", _d2(feats).alias("dist2")), k)
-    R = c.groupBy("q_id").agg(F.count(F.lit(1)).alias("_c"), F.max("dist2").alias("_r2"))
-    # fewer than k candidates only when the whole set has ≤ k points: radius = everything
-    R = R.select("q_id", F.when(F.col("_c") >= k, F.col("_r2")).otherwise(F.lit(float("inf"))).alias("_r2"))
-
-    # 2. exact band join on equal-width cells
-    Qr = Q.join(R, "q_id", "left").withColumn("_r2", F.coalesce("_r2", F.lit(float("inf"))))
-    # a little wider than the radius: a projection's rounding must not lose a neighbour at exactly
-    # that distance; the distance test below stays exact
-    rad = F.sqrt(F.col("_r2")) * (1 + 1e-9) + (F.abs(F.col("q_p")) + w) * 1e-9
-    lo_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(lo))).otherwise(F.greatest(cell(F.lit(lo)), cell(F.col("q_p") - rad)))
-    hi_c = F.when(F.col("_r2") == float("inf"), cell(F.lit(hi))).otherwise(F.least(cell(F.lit(hi)), cell(F.col("q_p") + rad)))
-    e = Qr.select("q_id", *[f"q_{f}" for f in feats], "_r2", F.explode(F.sequence(lo_c, hi_c)).alias("cb"))
-    j = e.join(P.select(*pcols, "cb"), "cb")
-    if exclude_self:
-        j = j.where(F.col("p_id") != F.col("q_id"))
-    j = j.select("q_id", "p_id", "_r2", _d2(feats).alias("dist2")).where(F.col("dist2") <= F.col("_r2"))
-    res = _top_k(j, k)
+    res = _top_k(_pairs(points, key, feats, k, cell, max_pivots), k)
     return res.select("q_id", F.col("nn_rank").cast("int").alias("nn_rank"), F.col("p_id").alias("nn_id"), "dist2")
+
+
+def index_report(points: DataFrame, key: str, feats: list[str], k: int, cell: int = 64, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """One row: points, cells, largest_cell, candidates (mean per point that are compared
+    beyond the own cell's bound), most_candidates."""
+    points = points.select(key, *[F.col(f).cast("double").alias(f) for f in feats]).na.drop().persist()
+    _, _, cells = _cells(points, key, feats, cell, max_pivots)
+    c = cells.agg(F.sum("_n").alias("points"), F.count(F.lit(1)).alias("cells"), F.max("_n").alias("largest_cell"))
+    per = _pairs(points, key, feats, k, cell, max_pivots).groupBy("q_id").agg(F.count(F.lit(1)).alias("c"))
+    per = per.agg(F.avg("c").alias("candidates"), F.max("c").alias("most_candidates"))
+    return merge_one_row(c, per)

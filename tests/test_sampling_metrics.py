@@ -138,3 +138,25 @@ def test_smote_makes_exactly_what_is_missing(spark):
     df = spark.createDataFrame(rows, "row_id long, a double, b double, label int")
     out = G.smote(df, ["a", "b"], "label", 1.0, k=3)
     assert out.where("synthetic").count() == 5 and out.where("label = 1").count() == 15
+
+
+def test_knn_index_limits_cells_and_prunes(spark):
+    """Clusters, a dense spot and far points: no cell above the limit, few candidates, exact neighbours."""
+    import numpy as np
+
+    from stratum.operators.neighbors import index_report
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(c, 0.05, size=(60, 3)) for c in rng.uniform(-10, 10, size=(20, 3))]
+                  + [rng.normal(0, 1e-4, size=(500, 3)), rng.uniform(-1e6, 1e6, size=(40, 3))])
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double").repartition(4)
+    r = index_report(df, "row_id", ["a", "b", "c"], 5, cell=24).first()
+    assert r["points"] == len(x) and r["largest_cell"] <= 24 and r["candidates"] < 100 and r["cells"] > 1740 / 24
+    got = {}
+    for q in knn(df, "row_id", ["a", "b", "c"], 5, cell=24).collect():
+        got.setdefault(q["q_id"], {})[q["nn_rank"]] = q["nn_id"]
+    for i in range(0, len(x), 7):
+        d = ((x[i, 0] - x[:, 0]) ** 2 + (x[i, 1] - x[:, 1]) ** 2) + (x[i, 2] - x[:, 2]) ** 2
+        d[i] = np.inf
+        assert [got[i][k] for k in range(5)] == np.lexsort((np.arange(len(x)), d))[:5].tolist()
