@@ -34,8 +34,8 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
     """count, mean, std (ddof=1), min, q25, q50, q75, max per numeric column.
 
     Moments come from one aggregation (the mean of whole numbers and of values with
-    up to six decimals from an exact decimal sum, so that it does not depend on the
-    order of addition); quartiles are exact (linear
+    up to six decimals is an exact decimal sum, as a double, by the count, so that it does
+    not depend on the order of addition); quartiles are exact (linear
     interpolation) via ``exact_quantiles`` — distributed selection, never a
     single task holding a column's distinct values — or approximate sketches
     with ``approx=True``.  The result has one row per column."""
@@ -47,7 +47,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
         x = F.col(c).cast("double")
         exact = x.try_cast("decimal(38,6)")
         mean = F.when(F.count_if(exact.isNull() & x.isNotNull() | (exact.cast("double") != x)) == 0,
-                      (F.try_sum(exact) / F.count(x)).cast("double"))
+                      F.try_sum(exact).cast("double") / F.count(x))
         aggs += [F.count(x).alias(f"n{i}"), F.coalesce(mean, F.avg(x)).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         if approx:
