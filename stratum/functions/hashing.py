@@ -18,7 +18,8 @@ TWO32 = 4294967296.0
 def hash_uniform(key, seed, draw=0) -> Column:
     k = F.col(key) if isinstance(key, str) else key
     d = draw if isinstance(draw, Column) else F.lit(str(draw))
-    h = F.md5(F.concat_ws("|", k.cast("string"), F.lit(str(seed)), d.cast("string")))
+    s = seed if isinstance(seed, Column) else F.lit(str(seed))
+    h = F.md5(F.concat_ws("|", k.cast("string"), s.cast("string"), d.cast("string")))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO32)
 
 

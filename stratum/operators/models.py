@@ -25,7 +25,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.sampling import kfold_stratified, split_stratified
+from stratum.operators.sampling import kfold_repeated, kfold_stratified, split_stratified
+from stratum.session import cut_lineage
 
 FEAT = "features"
 
@@ -341,19 +342,34 @@ def rank_approaches(results: DataFrame, metric: str = "accuracy", order_col: str
     return results.orderBy(F.col(metric).desc(), order_col).limit(2)
 
 
-def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], est, repeats: int = 10, k: int = 5,
-                          key: str = "row_id", threads: int = 8) -> DataFrame:
+def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], repeats: int = 10, k: int = 5, trees: int = 200,
+                          key: str = "row_id", depth: int = 30, bins: int = 32, seed: int = 42) -> DataFrame:
     """Accuracy per (method, repeat, fold): each balanced set gets its own hash folds
-    (seed = repeat), and the learner is refit per fold; fits run side by side."""
-    spark = next(iter(sets.values())).sparkSession
-    sets = {m: d.persist() for m, d in sets.items()}
-    jobs = [(m, r) for r in range(repeats) for m in sets]
-
-    def one(job):
-        return [(*job, f["fold"], f["accuracy"]) for f in cross_validate(sets[job[0]], feats, est, "label", k, job[1], key).collect()]
-
-    rows = [x for part in side_by_side([lambda j=j: one(j) for j in jobs], threads) for x in part]
-    return spark.createDataFrame(rows, "method string, repeat int, fold int, accuracy double")
+    (seed = repeat), and a forest is fitted for every fold of every repeat of every
+    set, all grown together."""
+    from stratum.operators import trees as T
+
+    names = list(sets)
+    rows = None
+    for i, d in enumerate(sets.values()):
+        one = d.select(key, *feats, F.col("label").cast("int").alias("_y"), F.lit(i).alias("_set"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = kfold_repeated(cut_lineage(rows), ["_set", "_y"], k, repeats, key)
+    models = [(m, r, f) for m in names for r in range(repeats) for f in range(k)]
+
+    def masks(b):
+        folds = np.array(b.column("_folds").to_pylist(), np.int64).reshape(b.num_rows, repeats)
+        is_test = (folds[:, :, None] == np.arange(k)).reshape(b.num_rows, 1, repeats * k)
+        here = b.column("_set").to_numpy()[:, None, None] == np.arange(len(names))[None, :, None]
+        return tuple((here & x).reshape(b.num_rows, -1).astype(np.uint8) for x in (~is_test, is_test))
+
+    binned = T.bin_rows(rows, feats, T.bin_edges(rows, feats, bins), key, ["_y", "_set", "_folds"], masks)
+    binned = T.laid_out(binned)
+    grown = T.grow_forests(binned, len(feats), [f"{m}|{r}|{f}" for m, r, f in models], trees, depth, bins=bins, seed=seed)
+    hits = T.staged_accuracy(binned, grown, len(models), trees, [trees], T.class_share(grown.stats), bins=bins)[:, 0]
+    binned.unpersist()
+    return next(iter(sets.values())).sparkSession.createDataFrame(
+        [(*m, float(x[1] / x[0])) for m, x in zip(models, hits) if x[0]], "method string, repeat int, fold int, accuracy double")
 
 
 def reference_grids(n_features: int, n_rows: int) -> dict:

@@ -60,6 +60,16 @@ def kfold_stratified(df: DataFrame, label: str = "label", k: int = 5, seed: int
     return r.withColumn(fold_col, (F.col("_rk") % k).cast("int")).drop("_rk")
 
 
+def kfold_repeated(df: DataFrame, groups: list[str], k: int, repeats: int, key: str = "row_id") -> DataFrame:
+    """``df`` with _folds: for every repeat r the fold that ``kfold_stratified`` with seed r
+    gives the row inside its group, all from one ranking."""
+    t = df.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    r = hash_rank(t.select(key, *groups, "_rep"), key, F.col("_rep"), group=[*groups, "_rep"], rank_col="_rk", draw="fold")
+    folds = (r.groupBy(key, *groups).agg(F.sort_array(F.collect_list(F.struct("_rep", (F.col("_rk") % k).cast("int").alias("f")))).alias("_f"))
+             .select(key, *groups, F.col("_f.f").alias("_folds")))
+    return df.join(folds, [key, *groups])
+
+
 def undersample_random(df: DataFrame, label: str = "label", ratio: float = 1.0, seed: int = 42,
                        key: str = "row_id") -> DataFrame:
     """Keep the minority class; keep floor(n_min / ratio) majority rows in hash order."""

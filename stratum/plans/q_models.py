@@ -193,9 +193,9 @@ def q_train_eval_resampled(spark, sf):
 @register("compare_balancers_ttest")
 def q_compare_balancers_ttest(spark, sf):
     """{original, undersampled, smote, combined} training rows × folds: forest accuracy, paired t against
-    the original (one repeat of five folds; ``balancing_fold_scores`` takes ten by default)."""
+    the original (ten repeats of five folds, 200 trees: 200 forests grown together)."""
     train, _ = H.holdout(_docs(spark, sf))
-    scores = H.balancing_fold_scores(_balanced(train), DOC_NUM, H.clf_forest(), repeats=1, k=5)
+    scores = H.balancing_fold_scores(_balanced(train), DOC_NUM, repeats=10, k=5, trees=200)
     orig = scores.where("method = 'original'").select("repeat", "fold", F.col("accuracy").alias("original"))
     out = None
     for m in ("undersampled", "smote", "combined"):
