@@ -36,6 +36,7 @@ from stratum.session import cut_lineage
 _POISSON = np.array([round(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) * 2 ** 32) - 1 for k in range(12)], np.uint64)
 _CHUNK = 256            # nodes whose histograms are added up and split together
 _CELLS = 1 << 20        # rows x trees handled at once
+_DIRECT = 32 << 20      # bytes of partial histograms, over all tasks, that may go to the driver
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -148,6 +149,12 @@ class Growth:
     gain: object            # (left sums, totals) -> gain
     min_child: float = 1.0  # least first statistic of a child
     pure: bool = True       # a node of one class is not split
+    layout: tuple[int, int] | None = None  # blocks and partitions of the rows
+
+
+def layout(rows: DataFrame) -> tuple[int, int]:
+    first = rows.select("_blocks").first()
+    return (first[0] if first else 1), rows.rdd.getNumPartitions()
 
 
 def tried(g: Growth, trees: Trees, node: np.ndarray) -> np.ndarray:
@@ -197,8 +204,8 @@ def grow(rows: DataFrame, g: Growth, nodes_per_pass: int = 150_000) -> Trees:
     """rows as ``laid_out`` leaves them.  One pass per level and ``nodes_per_pass`` open nodes."""
     trees = Trees.roots(len(g.model))
     front, level = np.arange(len(g.model)), 0
-    blocks = rows.select("_blocks").first()
-    blocks = blocks[0] if blocks else 1
+    g.layout = g.layout or layout(rows)
+    blocks = g.layout[0]
     while len(front):
         # chunks hold nodes of one block of trees
         front = front[np.argsort(trees.tree[front] % blocks, kind="stable")]
@@ -265,34 +272,44 @@ def _pass(rows: DataFrame, g: Growth, trees: Trees, part: np.ndarray) -> dict:
                 more = np.bincount(cell + k - lo, weights=stat[k][i, c])
                 hist[lo:lo + len(more)] += more
 
-    def split(batches):
-        def done(k, h):
-            h = h.reshape(-1, slots, width, 2)
-            slot, bin_, side, _, left, total = best_splits(h, g.gain, g.min_child)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                k * _CHUNK + np.arange(len(h)), slot.astype(np.int64), bin_.astype(np.int64), side.astype(bool), left[:, 0], left[:, 1], total[:, 0], total[:, 1])], names=_SUMS)
-
-        now, acc, codec = None, None, pa.Codec("zstd")
-        for b in batches:  # sorted by chunk: one chunk's sums are held at a time
-            for k, n, raw in zip(b.column("chunk").to_pylist(), b.column("size").to_pylist(), b.column("hist").to_pylist()):
-                h = np.frombuffer(codec.decompress(raw, n * 8, asbytes=True), np.float64)
-                if k != now:
-                    if now is not None:
-                        yield done(now, acc)
-                    now, acc = k, h.copy()
-                else:
-                    acc += h
-        if now is not None:
-            yield done(now, acc)
-
-    pieces = rows.mapInArrow(sums, "chunk long, size long, hist binary").repartition("chunk").sortWithinPartitions("chunk")
-    got = pieces.mapInArrow(split, "at long, slot long, bin long, side boolean, l0 double, l1 double, t0 double, t1 double").toArrow()
+    pieces, empty = rows.mapInArrow(sums, "chunk long, size long, hist binary"), {n: np.empty(0, np.int64) for n in _SUMS}
+    if len(part) * slots * width * 16 * g.layout[1] <= _DIRECT:
+        # the partial sums of all tasks are small, whatever they hold: added up by the driver
+        t = pieces.toArrow().sort_by("chunk")
+        got = [pa.table(b) for b in _merged(t.to_batches(), g, slots, width)]
+    else:
+        got = [pieces.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(
+            lambda batches: _merged(batches, g, slots, width),
+            "at long, slot long, bin long, side boolean, l0 double, l1 double, t0 double, t1 double").toArrow()]
     shared.destroy()
-    c = {n: got[n].to_numpy() for n in _SUMS}
+    c = {n: pa.concat_tables(got)[n].to_numpy() for n in _SUMS} if got else empty
     return {"at": c["at"], "slot": c["slot"], "bin": c["bin"], "side": c["side"],
             "left": np.column_stack([c["l0"], c["l1"]]), "total": np.column_stack([c["t0"], c["t1"]])}
 
 
+def _merged(batches, g: Growth, slots: int, width: int):
+    """Sums and best splits of chunks, whose partial histograms follow one another: one
+    chunk's sums are held at a time."""
+    def done(k, h):
+        h = h.reshape(-1, slots, width, 2)
+        slot, bin_, side, _, left, total = best_splits(h, g.gain, g.min_child)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (
+            k * _CHUNK + np.arange(len(h)), slot.astype(np.int64), bin_.astype(np.int64), side.astype(bool), left[:, 0], left[:, 1], total[:, 0], total[:, 1])], names=_SUMS)
+
+    now, acc, codec = None, None, pa.Codec("zstd")
+    for b in batches:
+        for k, n, raw in zip(b.column("chunk").to_pylist(), b.column("size").to_pylist(), b.column("hist").to_pylist()):
+            h = np.frombuffer(codec.decompress(raw, n * 8, asbytes=True), np.float64)
+            if k != now:
+                if now is not None:
+                    yield done(now, acc)
+                now, acc = k, h.copy()
+            else:
+                acc += h
+    if now is not None:
+        yield done(now, acc)
+
+
 def _codes(b, bins: int) -> np.ndarray:
     code = _bytes(b.column("_b"))
     return np.where(code == MISSING, bins, code)
@@ -429,7 +446,7 @@ def grow_boosted(rows: DataFrame, d: int, depth: list[int], rate: list[float], r
     n, n1 = c.reshape(m, 2).T
     p = np.clip(n1 / np.maximum(n, 1), 1e-6, 1 - 1e-6)
     start = np.log(p / (1 - p))
-    columns = rows.columns
+    columns, placed = rows.columns, layout(rows)
     now = rows.withColumn("_m", F.lit(start.astype("<f8").tobytes()))
     recent: list[tuple[Trees, np.ndarray]] = []   # rounds since the margins were renewed
     done: list[tuple[Trees, np.ndarray]] = []
@@ -451,7 +468,7 @@ def grow_boosted(rows: DataFrame, d: int, depth: list[int], rate: list[float], r
             y = b.column("_y").to_numpy()[r, None]
             return w * np.maximum(p * (1 - p), 1e-16), w * (p - y)
 
-        t = grow(now, Growth(np.arange(m), np.arange(m, dtype=np.uint64), depth, d, d, bins, statistics, newton_gain(l2), min_child, pure=False))
+        t = grow(now, Growth(np.arange(m), np.arange(m, dtype=np.uint64), depth, d, d, bins, statistics, newton_gain(l2), min_child, False, placed))
         value = -rate[t.tree] * t.stats[:, 1] / (t.stats[:, 0] + l2)
         recent.append((t.ways(), value))
         done.append((t, value))
