@@ -218,7 +218,7 @@ def _ica_sums(z: DataFrame, zcols: list[str], tries: list[np.ndarray]) -> list[t
     return [(m[:k], m[k:-k].reshape(k, k), m[-k:]) for m in means]
 
 
-def ica_fit(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 1000, tol: float = 1e-4,
+def ica_fit(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 100, tol: float = 1e-4,
             seed: int = 42) -> dict:
     """ICA (parallel, logcosh) on PCA-whitened data, by preconditioned quasi-Newton steps
     over rotations (Ablin, Cardoso, Gramfort 2018).
@@ -288,7 +288,7 @@ def ica_apply(df: DataFrame, cols: list[str], fit: dict) -> DataFrame:
     return _project(df.na.drop(subset=cols), cols, fit["mean"], fit["matrix"], names, [c for c in df.columns if c not in cols])
 
 
-def ica_components(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 1000, tol: float = 1e-4,
+def ica_components(df: DataFrame, cols: list[str], k: int | None = None, max_iter: int = 100, tol: float = 1e-4,
                    seed: int = 42, key: str = "row_id") -> tuple[DataFrame, dict]:
     """(frame with IC1..ICk, the fit) on the same rows."""
     fit = ica_fit(df, cols, k, max_iter, tol, seed)

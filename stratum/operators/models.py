@@ -3,8 +3,7 @@
 Learners are Spark ML estimators (distributed training).  Deviations from
 the single-machine originals are deliberate and listed per factory:
 kernel SVM → linear SVM on an explicit feature map (degree-2 polynomial or
-random Fourier features for RBF) with a Platt-scaling logistic step for
-probabilities; the second boosted-tree member → ``GBTClassifier`` with deeper
+random Fourier features for RBF) with probabilities from out-of-fold margins; the second boosted-tree member → ``GBTClassifier`` with deeper
 trees.  Folds are the hash-based ``fold`` column (``CrossValidator(foldCol)``),
 so every repeat is reproducible and never depends on row order.
 """
@@ -19,12 +18,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.operators.calibration import OutOfFoldPlatt
+from stratum.operators.network import NetworkClassifier
 from stratum.operators.sampling import kfold_repeated, kfold_stratified, split_stratified
 from stratum.session import cut_lineage
 
@@ -42,7 +43,10 @@ def _penalised(est, C: float):
 
 def with_rows(est, n: int):
     c = getattr(est, "inverse_penalty", None)
-    return est if c is None else est.copy({est.regParam: 1.0 / (c * max(n, 1))})
+    if c is None:
+        return est
+    owner = getattr(est, "estimator", est)
+    return est.copy({owner.regParam: 1.0 / (c * max(n, 1))})
 
 
 def clf_logistic(C: float = 1.0, max_iter: int = 100):
@@ -72,20 +76,18 @@ def clf_boosted_deep(max_iter: int = 100, seed: int = 42):
 
 
 def clf_mlp(n_features: int, hidden: int = 100, max_iter: int = 1000, seed: int = 42):
-    """MLP with one hidden layer (sigmoid + L-BFGS in Spark)."""
-    return MultilayerPerceptronClassifier(featuresCol=FEAT, labelCol="label", layers=[n_features, hidden, 2],
-                                          maxIter=max_iter, seed=seed)
+    """Network with one hidden ReLU layer, mini-batch Adam and L2 (``operators.network``)."""
+    return NetworkClassifier(featuresCol=FEAT, labelCol="label", hidden=hidden, max_iter=max_iter, seed=seed)
 
 
 def clf_svm(kind: str = "linear", C: float = 1.0, max_iter: int = 100) -> list:
     """Stages of a linear SVM on the assembled features, on their degree-2 expansion
     (``kind`` 'poly'), or on random Fourier features assembled by the caller ('rbf');
-    a logistic fit on the training margins (Platt) gives the probability."""
+    a logistic curve fitted to out-of-fold margins gives the probability."""
     col = "_poly" if kind == "poly" else FEAT
-    svm = _penalised(LinearSVC(featuresCol=col, labelCol="label", maxIter=max_iter, standardization=True), C)
+    svm = LinearSVC(featuresCol=col, labelCol="label", maxIter=max_iter, standardization=True)
     expand = [PolynomialExpansion(inputCol=FEAT, outputCol=col, degree=2)] if kind == "poly" else []
-    return [*expand, svm, VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1]),
-            LogisticRegression(featuresCol="_margin", labelCol="label", predictionCol="_platt", rawPredictionCol="_platt_raw")]
+    return [*expand, _penalised(OutOfFoldPlatt(svm, col), C)]
 
 
 def rff_features(df: DataFrame, cols: list[str], n_components: int = 50, gamma: float | None = None,
@@ -275,7 +277,7 @@ def reduced(train: DataFrame, test: DataFrame, feats: list[str], method: str, ke
         fit = E.pca_fit(tr, feats)
         tr, te = (E.pca_project(d, feats, var_threshold=0.95, fit=fit)[0] for d in (tr, te))
     elif method == "ica":
-        fit = E.ica_fit(tr, feats, k=min(10, len(feats)), max_iter=1000)
+        fit = E.ica_fit(tr, feats, k=min(10, len(feats)))
         tr, te = (E.ica_apply(d, feats, fit) for d in (tr, te))
     elif method == "feature_selection":
         keep, _ = E.select_features_by_importance(tr, feats, "label")
@@ -383,8 +385,8 @@ def reference_grids(n_features: int, n_rows: int) -> dict:
     return {
         "forest": (clf_forest(), {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}),
         "gbt": (clf_gbt(), {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]}),
-        "svm": (clf_svm("linear")[0], {"regParam": [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]}),
-        "mlp": (clf_mlp(n_features), {"layers": [[n_features, 50, 2], [n_features, 100, 2], [n_features, 50, 50, 2]]}),
+        "svm": (clf_svm("linear")[0].estimator, {"regParam": [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]}),
+        "mlp": (MultilayerPerceptronClassifier(featuresCol=FEAT, labelCol="label", layers=[n_features, 100, 2], maxIter=1000, seed=42), {"layers": [[n_features, 50, 2], [n_features, 100, 2], [n_features, 50, 50, 2]]}),
         "boosted_deep": (clf_boosted_deep(), {"maxIter": [100, 200], "maxDepth": [3, 5, 7],
                                               "stepSize": [0.05, 0.1, 0.2]}),
     }

@@ -123,7 +123,7 @@ def q_pca_properties(spark, sf):
 @register("ica_components")
 def q_ica_components(spark, sf):
     d = _scaled(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
-    out, info = E.ica_components(d, DOC_NUM, max_iter=1000)
+    out, info = E.ica_components(d, DOC_NUM)
     return out.withColumn("converged", F.lit(info["converged"])).withColumn("n_iter", F.lit(info["n_iter"]))
 
 
@@ -133,7 +133,7 @@ def q_ica_components(spark, sf):
 def q_ica_properties(spark, sf):
     """Components of the scaled text statistics: converged, of variance one, uncorrelated."""
     d = _scaled(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
-    out, info = E.ica_components(d, DOC_NUM, max_iter=1000)
+    out, info = E.ica_components(d, DOC_NUM)
     ics = [c for c in out.columns if c.startswith("IC")]
     var = [F.var_samp(c) for c in ics]
     cov = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(ics) for b in ics[i + 1:]]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import features as E
 from stratum.operators import models as H
+from stratum.operators import network as N
 
 FEATS = ["a", "b", "c", "d"]
 
@@ -49,8 +50,7 @@ def test_five_voters_on_one_split(blobs, monkeypatch):
     small = {"clf_forest": lambda seed=42: H.RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=10, seed=seed),
              "clf_gbt": lambda seed=42: H.GBTClassifier(featuresCol="features", labelCol="label", maxIter=5, seed=seed),
              "clf_boosted_deep": lambda seed=42: H.GBTClassifier(featuresCol="features", labelCol="label", maxIter=5, maxDepth=6, seed=seed),
-             "clf_mlp": lambda n, seed=42: H.MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[n, 8, 2],
-                                                                            maxIter=60, seed=seed),
+             "clf_mlp": lambda n, seed=42: H.NetworkClassifier(hidden=8, max_iter=120, seed=seed),
              "clf_svm": (lambda svm: lambda kind, C=1.0: svm(kind, C, max_iter=15))(H.clf_svm)}
     for k, v in small.items():
         monkeypatch.setattr(H, k, v)
@@ -107,3 +107,57 @@ def test_rotation_is_the_exponential():
         term = term @ a / n
         total = total + term
     assert np.allclose(E._rotation(a), total)
+
+
+def test_network_gradient_against_differences():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(13, 3)), (rng.random(13) < 0.4).astype(float)
+    w = N.start_weights(3, 5, 1) + rng.normal(size=26) * 0.1
+    _, g = N.loss_and_gradient(w, x, y, 0.3)
+    for k in range(len(w)):
+        e = np.zeros(len(w))
+        e[k] = 1e-6
+        assert g[k] == pytest.approx((N.loss_and_gradient(w + e, x, y, 0.3)[0] - N.loss_and_gradient(w - e, x, y, 0.3)[0]) / 2e-6, abs=1e-7)
+
+
+@pytest.fixture(scope="module")
+def rings(spark):
+    """No line separates the classes."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2))
+    return spark.createDataFrame([(i, float(a), float(b), int(a * a + b * b < 1.2)) for i, (a, b) in enumerate(x)],
+                                 "row_id long, a double, b double, label int").persist()
+
+
+def test_network_separates_rings(rings):
+    """In one task and averaged over several; probabilities spread over both classes."""
+    for rows in (50_000, 150):
+        est = H.NetworkClassifier(hidden=30, max_iter=400, rows_per_task=rows, rate=0.01)
+        m = H.fit_pipeline(rings, ["a", "b"], est, scaler="standard")
+        p = H.predict(m, rings).collect()
+        assert np.mean([r["y"] == r["yhat"] for r in p]) > 0.95
+        assert min(r["p1"] for r in p) < 0.1 and max(r["p1"] for r in p) > 0.9 and all(r["yhat"] == int(r["p1"] > 0.5) for r in p)
+        assert 0 < m.stages[-1].passes <= 400 and np.isfinite(m.stages[-1].loss)
+    again = H.predict(H.fit_pipeline(rings, ["a", "b"], est, scaler="standard"), rings).collect()
+    assert {r["row_id"]: r["yhat"] for r in again} == {r["row_id"]: r["yhat"] for r in p}
+
+
+def test_calibration_sees_out_of_fold_margins_only(rings):
+    """With labels that are noise, in-sample margins of a rich map look informative; the
+    curve fitted to out-of-fold margins is flat."""
+    noise = rings.select("row_id", "a", "b", (F.xxhash64("row_id") % 2 == 0).cast("int").alias("label")).limit(120)
+    rff = H.rff_features(noise, ["a", "b"], 60, gamma=4.0)
+    cols = [f"rff{i}" for i in range(60)]
+    stages = H.clf_svm("rbf", C=100.0, max_iter=40)
+    m = H.fit_pipeline(rff, cols, stages, scaler=None)
+    fitted = m.stages[-1]
+    d = m.stages[0].transform(rff.withColumn("label", F.col("label").cast("double")))
+    oof = H.OutOfFoldPlatt(stages[-1].estimator.copy({stages[-1].estimator.regParam: 1 / (100.0 * 120)}), "features").out_of_fold(d)
+    got = oof.collect()
+    assert len(got) == rff.count() and len({r["_fold"] for r in got}) == 3
+    inside = fitted.model.transform(d).select("label", "rawPrediction").collect()
+    auc = lambda y, s: np.mean([a > b for a, i in zip(s, y) if i for b, j in zip(s, y) if not j])
+    assert auc([r["label"] for r in inside], [r["rawPrediction"][1] for r in inside]) > 0.7
+    assert abs(auc([r["label"] for r in got], [r["_margin"] for r in got]) - 0.5) < 0.2
+    p = [r["p1"] for r in H.predict(m, rff).collect()]
+    assert max(p) - min(p) < 0.6
