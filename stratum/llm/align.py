@@ -19,8 +19,9 @@ broadcast in parts of ``pairs_per_pass`` pairs at most: the tokenizers run once,
 links stay compressed in a written table in the shared folder, and a further
 part costs one more reading of that table.
 
-A's pre-tokenizer cuts a text into pieces that are encoded on their own, so each
-distinct piece is encoded once per task and remembered.
+A's pre-tokenizer cuts a text into pieces that are encoded on their own, and no
+piece of B reaches across the begin of a run of blanks; each distinct part is
+encoded by its tokenizer once and remembered for a while.
 
 Edge cases: null and empty texts, and texts whose joined A or B token bytes are
 not blank + text (say, U+2581, which B cannot tell from a blank), have no
@@ -82,27 +83,34 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PLAIN = "[\t\n\r -~\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*"
 
 
-class Pieces:
-    """Byte-level BPE that encodes each distinct piece once.  A text with code points
-    outside PLAIN goes to the tokenizer whole."""
+#: parts of blank + text that the piece BPE encodes on their own, if no piece has a blank behind another symbol
+PART = r" +[^ ]*"
 
-    def __init__(self, tokenizer, most: int = 1 << 18):
-        import regex
 
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
-        self.cut, self.plain = regex.compile(PIECE).findall, re.compile(PLAIN).fullmatch
+class Remembered:
+    """Encodes each distinct part of the texts once, as long as it is remembered: parts
+    used since the last ``most`` new ones are.  ``cut`` gives a text's parts, or None
+    for a text to be encoded whole; ``encode`` gives the ids of several."""
+
+    def __init__(self, cut, encode, most: int = 1 << 18):
+        self.cut, self.encode, self.most, self.young, self.old = cut, encode, most, {}, {}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, texts: list[str], whole: bool) -> list[bytes]:
+        return [np.array(ids, np.int32).tobytes() for ids in self.encode(texts, whole)] if texts else []
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.cut(t) if self.plain(t) else None for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in set(chain.from_iterable(c for c in cut if c is not None)) if p not in self.known]
-        self.known.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else list(chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
+    def __call__(self, texts: list[str]) -> pa.ListArray:
+        cut = [self.cut(t) for t in texts]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        need = set(chain.from_iterable(c for c in cut if c is not None)).difference(self.young)
+        again = need.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        new = list(need - again)
+        self.young.update(zip(new, self._bytes(new, False)))
+        whole = iter(self._bytes([t for t, c in zip(texts, cut) if c is None], True))
+        ids = [next(whole) if c is None else b"".join(map(self.young.__getitem__, c)) for c in cut]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 class Aligner:
@@ -114,7 +122,14 @@ class Aligner:
         self.a = tokenizers.Tokenizer.from_file(byte_bpe)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
-        self.pieces = Pieces(self.a)
+        import regex
+
+        cut_a, plain = regex.compile(PIECE).findall, re.compile(PLAIN).fullmatch
+        self.ids_a = Remembered(lambda t: cut_a(t) if plain(t) else None, self._encode_a)
+        # a piece with a blank behind another symbol could join two parts
+        apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        cut_b = re.compile(PART).findall
+        self.ids_b = Remembered(lambda t: cut_b(t) if apart and "▁" not in t else None, self._encode_b)
         symbols, vocabulary = byte_symbols(), self.a.get_vocab(with_added_tokens=False)
         a = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for entry, i in vocabulary.items():
@@ -125,17 +140,21 @@ class Aligner:
         self.bytes_a, self.bytes_b = pa.array(a, pa.binary()), pa.array(b, pa.binary())
         self.name_a, self.name_b = (pa.array([str(i) for i in range(len(x))]) for x in (a, b))
 
-    def _lists(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        a = self.pieces([" " + t for t in texts])
-        b = self.b.encode(texts, num_threads=1) if texts else []
-        return _list_array(a), _list_array(b)
+    def _encode_a(self, texts: list[str], whole: bool) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_b(self, texts: list[str], whole: bool) -> list[list[int]]:
+        """Texts and parts begin with a blank; B adds it itself (though not to nothing)."""
+        blank = [self.b.piece_to_id("▁")]
+        ids = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [i if t != " " else blank for t, i in zip(texts, ids)]
 
     def __call__(self, texts: list[str | None]) -> Aligned:
         n = len(texts)
         at = np.array([k for k, t in enumerate(texts) if t], np.int64)
-        some = [texts[k] for k in at]
-        a, b = self._lists(some)
-        want = pa.array([b" " + t.encode() for t in some], pa.binary())
+        some = [" " + texts[k] for k in at]
+        a, b = self.ids_a(some), self.ids_b(some)
+        want = pa.array([t.encode() for t in some], pa.binary())
         same = pc.and_(pc.equal(_joined(a, self.bytes_a), want), pc.equal(_joined(b, self.bytes_b), want))
         a, b, want, at = a.filter(same), b.filter(same), want.filter(same), at[same.to_numpy(zero_copy_only=False)]
         size = pc.binary_length(want).cast(pa.int64())
@@ -163,11 +182,6 @@ def aligner(byte_bpe: str, piece_bpe: str) -> Aligner:
     return Aligner(byte_bpe, piece_bpe)
 
 
-def _list_array(lists: list[list[int]]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, lists)])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])))
-
-
 def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, table.take(lists.values)), b"")
 

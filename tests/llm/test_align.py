@@ -118,17 +118,19 @@ def test_small_slices_and_flushes(corpus, monkeypatch):
     assert handed == Counter(whole.pair.to_pylist())
 
 
-def test_remembered_pieces_equal_whole_texts():
-    """The pieces' ids are the tokenizer's own, in plain and in odd texts."""
+def test_remembered_parts_equal_whole_texts():
+    """The parts' ids are the tokenizers' own, in plain and in odd texts."""
     x, rng = align.Aligner(), random.Random(2)
     plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x20A0, 0x20C0)] if c != 0xAD]
-    odd = plain + [chr(c) for c in (0, 0x1C, 0x1F, 0x7F, 0x85, 0xA0, 0xAD, 0x2003, 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x301, 0x661)]
-    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(60))) for some in (" 's'll aB1é!.\n", plain, odd) for _ in range(1500)]
-    for group in (texts, ODD, [" ", "  ", " \n ", "<|endoftext|>"]):
-        want = [e.ids for e in x.a.encode_batch(group, add_special_tokens=False)]
-        assert x.pieces(group) == want
-    few = align.Pieces(x.a, most=3)
-    assert [few([t])[0] for t in texts[:50]] == x.pieces(texts[:50])
+    odd = plain + [chr(c) for c in (0, 0x1C, 0x1F, 0x7F, 0x85, 0xA0, 0xAD, 0x2003, 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x301, 0x661, 0x2581)]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(1, 60))) for some in (" 's'll aB1é!.\n", plain, odd) for _ in range(1500)]
+    for group in (texts, ODD, [" ", "  ", " \n ", "<|endoftext|>", "a ", "a  ", "  a   b "]):
+        blank = [" " + t for t in group]
+        want = [e.ids for e in x.a.encode_batch(blank, add_special_tokens=False)]
+        assert x.ids_a(blank).to_pylist() == want
+        assert x.ids_b(blank).to_pylist() == x.b.encode(group)
+    few = align.Remembered(x.ids_a.cut, x._encode_a, most=3)
+    assert [few([t]).to_pylist()[0] for t in texts[:50]] == x.ids_a(texts[:50]).to_pylist()
 
 
 def test_empty(none, spark):
