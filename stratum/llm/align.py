@@ -92,7 +92,7 @@ class Remembered:
     used since the last ``most`` new ones are.  ``cut`` gives a text's parts, or None
     for a text to be encoded whole; ``encode`` gives the ids of several."""
 
-    def __init__(self, cut, encode, most: int = 1 << 18):
+    def __init__(self, cut, encode, most: int = 1 << 19):
         self.cut, self.encode, self.most, self.young, self.old = cut, encode, most, {}, {}
 
     def _bytes(self, texts: list[str], whole: bool) -> list[bytes]:
