@@ -6,9 +6,9 @@ a window has as many words as a benchmark item (a shorter document is one window
 1. Seeds.  A window of similarity t to an item of m shingles shares at least
    t/(1+t) * (their shingles together) of them.  Positions of documents whose
    shingle occurs in an item are found by an equi-join; a document and an item
-   with too few of them, or none dense enough for any window, cannot match.  Of
-   the windows of one dense place, that with the most shared shingles (the
-   first of equals) stands for the place.
+   with too few of them, or none dense enough for any window, cannot match.  Every
+   window that begins at such a position (or is the document's last) and holds
+   enough of them is looked at.
 2. SimHash.  Windows and items get 64-bit fingerprints: the sign, bit by bit,
    of their shingles' hashes; a shingle's k-th occurrence is hashed with k, as one
    of its own, so that a repeated shingle has no more pull than as many others.
@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.ordered import text_crc
+from stratum.llm.ordered import text_digest, whole
 from stratum.session import cut_lineage
 
 SHINGLE = 5
@@ -106,7 +106,7 @@ def items_table(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20, id_col: str = "doc_id",
                text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row for each document and item it holds: _id, _crc, _iid and the best
+    """One row for each document and item it holds: _id, _digest (of the text), _iid and the best
     window's _start (0-based word), _words, _hamming and _similarity."""
     items = cut_lineage(items_table(benchmark, item_col, item_text_col))
     item_sh = items.select("_item", "_n", "_m", F.explode("_sh").alias("_h")).groupBy("_item", "_n", "_m", "_h").agg(
@@ -115,20 +115,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     need = lambda m: F.ceil(F.lit(similarity / (1 + similarity)) * m - F.lit(1e-9)).cast("int")  # noqa: E731  of both sides' shingles
 
     text = F.col(f"`{text_col}`").cast("string")
-    base = docs.select(_id_key(F.col(f"`{id_col}`")).alias("_id"), text_crc(text).alias("_crc"), text.alias("_text"))
+    base = docs.select(_id_key(F.col(f"`{id_col}`")).alias("_id"), text_digest(text).alias("_digest"), text.alias("_text"))
     # 1. seeds: positions of shingles that items have, then the dense places
-    seeds = (base.select("_id", "_crc", F.posexplode(_shingles(_words(F.col("_text")))).alias("_p", "_h"))
+    seeds = (base.select("_id", "_digest", F.posexplode(_shingles(_words(F.col("_text")))).alias("_p", "_h"))
              .join(_few(item_sh.select("_h", "_item", "_n", "_m"), broadcast_rows), "_h"))
     # a document that is repeated in full gives each position several times: a set counts it once
-    held = (seeds.groupBy("_id", "_crc", "_item", "_n", "_m").agg(F.sort_array(F.collect_set("_p")).alias("_at")))
+    held = (seeds.groupBy("_id", "_digest", "_item", "_n", "_m").agg(F.sort_array(F.collect_set("_p")).alias("_at")))
     # a document shorter than the item is caught by its own size below, so the bound here allows for it
     held = cut_lineage(held.where(F.size("_at") >= need(F.col("_m"))))
-    same = (F.col("_id") == F.col("_hid")) & (F.col("_crc") == F.col("_hcrc"))
-    sizes = base.join(_few(held.select(F.col("_id").alias("_hid"), F.col("_crc").alias("_hcrc")).distinct(), broadcast_rows), same, "left_semi")
-    texts = (sizes.dropDuplicates(["_id", "_crc"]).select("_id", "_crc", _words(F.col("_text")).alias("_w"))
-             .select("_id", "_crc", F.size("_w").alias("_len"), _shingles(F.col("_w")).alias("_dsh")))
-    h = held.select(F.col("_id").alias("_hid"), F.col("_crc").alias("_hcrc"), "_item", "_n", "_m", "_at")
-    places = texts.join(h, same).drop("_hid", "_hcrc")
+    same = (F.col("_id") == F.col("_hid")) & (F.col("_digest") == F.col("_hdigest"))
+    sizes = base.join(_few(held.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest")).distinct(), broadcast_rows), same, "left_semi")
+    texts = (sizes.dropDuplicates(["_id", "_digest"]).select("_id", "_digest", _words(F.col("_text")).alias("_w"))
+             .select("_id", "_digest", F.size("_w").alias("_len"), _shingles(F.col("_w")).alias("_dsh")))
+    h = held.select(F.col("_id").alias("_hid"), F.col("_digest").alias("_hdigest"), "_item", "_n", "_m", "_at")
+    places = texts.join(h, same).drop("_hid", "_hdigest")
     places = places.withColumn("_span", F.least("_m", F.size("_dsh"))).withColumn("_need", need(F.col("_m") + F.col("_span")))
     # windows that begin at a seed (or are the last one) and hold enough of them: moving a
     # window's start to its first seed loses none
@@ -136,10 +136,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     reach = F.transform("_at", lambda p, i: F.struct(F.least(p, last).alias("s"), F.get("_at", i + F.col("_need") - 1).alias("e")))
     starts = F.array_distinct(F.transform(F.filter(reach, lambda x: x["e"] < x["s"] + F.col("_span")), lambda x: x["s"]))
     windows = cut_lineage(places.withColumn("_start", F.explode(starts)).select(
-        "_id", "_crc", "_start", "_n", F.slice("_dsh", F.col("_start") + 1, F.col("_span")).alias("_wsh")).distinct())
+        "_id", "_digest", "_start", "_n", F.slice("_dsh", F.col("_start") + 1, F.col("_span")).alias("_wsh")).distinct())
 
     # 2. fingerprints
-    key = ["_id", "_crc", "_start", "_n"]
+    key = ["_id", "_digest", "_start", "_n"]
     weigh = windows.select(*key, F.explode("_wsh").alias("_h")).groupBy(*key, "_h").agg(F.count(F.lit(1)).alias("_c"))
     fps = _simhash(weigh, key)
     item_fps = _simhash(item_sh.select("_item", "_n", "_h", F.col("_ic").alias("_c")), ["_item", "_n"])
@@ -159,10 +159,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     scored = (both.join(total, key).join(_few(items.select("_item", "_iid", "_m"), broadcast_rows), "_item")
               .withColumn("_similarity", F.col("_common") / (F.col("_wm") + F.col("_m") - F.col("_common")))
               .where(F.col("_similarity") >= similarity))
-    best = scored.groupBy("_id", "_crc", "_item", "_iid").agg(
+    best = scored.groupBy("_id", "_digest", "_item", "_iid").agg(
         F.max_by(F.struct("_start", F.col("_n").alias("_words"), "_hamming", "_similarity"), F.struct("_similarity", -F.col("_start"))).alias("_b"))
     ident = F.when(F.col("_id") != "n", F.substring("_id", 2, 1 << 30)).cast(docs.schema[id_col].dataType)
-    return best.select(ident.alias("_id"), "_crc", "_iid", F.col("_b._start").alias("_start"), F.col("_b._words").alias("_words"),
+    return best.select(ident.alias("_id"), "_digest", "_iid", F.col("_b._start").alias("_start"), F.col("_b._words").alias("_words"),
                        F.col("_b._hamming").alias("_hamming"), F.col("_b._similarity").alias("_similarity"))
 
 
@@ -170,7 +170,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                **more) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     leaks = cut_lineage(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **more)
-                        .select(_id_key(F.col("_id")).alias("_lid"), F.col("_crc").alias("_lcrc")).distinct())
+                        .select(_id_key(F.col("_id")).alias("_lid"), F.col("_digest").alias("_ldigest")).distinct())
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
-    on = (_id_key(ident) == F.col("_lid")) & (text_crc(text) == F.col("_lcrc"))
-    return docs.join(_few(leaks, broadcast_rows), on, "left_anti")
+    keyed = docs.select(whole(docs), _id_key(ident).alias("_lid"), text_digest(text).alias("_ldigest"))
+    return keyed.join(_few(leaks, broadcast_rows), ["_lid", "_ldigest"], "left_anti").select("_doc.*")

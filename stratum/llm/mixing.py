@@ -10,13 +10,16 @@ below their stop are one level times their weight).
 Inside a source, documents are ordered by a random key, a hash of id and seed;
 prefix sums of sizes come from totals of sorted ranges.  A source whose target
 is q of its sizes and a rest takes every document q times, and once more those
-in front of the rest; the document that the cut falls into gives its first words
-only, so a source's words are its target's whole part exactly.
+in front of the rest; in ``plan_mix`` the document that the cut falls into gives its
+first words only, so a source's words are its target's whole part exactly.
+``mix_documents`` keeps texts whole: that document is taken once more if at least
+half of its words are in front of the cut, else not, so a source's words are off by
+half of one document at most.
 
 Edge cases: documents without words are taken 0 words; a source without words
 has target 0; an empty table gives no rows; repeated rows are documents of
-their own, one after another in the order; extra columns pass through
-``mix_documents`` (names beginning with ``_`` are reserved).
+their own, one after another in the order; extra columns, whatever their names, pass
+through ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.ordered import BLANKS, meet, row_key, running, text_crc, word_count
+from stratum.llm.ordered import numbered, running, text_crc, text_digest, word_count
 from stratum.session import cut_lineage
 
 WEIGHTS = (3, 1, 2)
@@ -64,12 +67,13 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: fl
 
 
 def _plan(rows: DataFrame, seed: int, weights, share: float, max_epochs: float) -> DataFrame:
-    """rows (_id, _crc, _copy, _source, _size) with _total, _target, _taken."""
+    """rows (_id, _mark: tells texts of one id apart, _source, _size, more) with _total,
+    _target, _taken."""
     rows = (rows.withColumn("_null", F.col("_source").isNull().cast("int"))
             .withColumn("_g", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")))
             .withColumn("_key", random_key(F.col("_id"), seed)))
     goal = targets(rows, weights, share, max_epochs)
-    t = running(rows, ["_key", "_id", "_crc", "_copy"], ["_size"], group="_g").join(goal, "_g")
+    t = running(rows, ["_key", "_id", "_mark", "_size"], ["_size"], group="_g").join(goal, "_g")
     budget = F.floor("_target")
     epochs = F.when(F.col("_total") > 0, F.floor(budget / F.col("_total"))).otherwise(F.lit(0))
     t = t.withColumn("_epochs", epochs.cast("long")).withColumn("_rest", budget - F.col("_epochs") * F.col("_total"))
@@ -81,35 +85,22 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
     """Per document: id, size, source_size, target (its source's), taken.  No text is shuffled."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_crc(text).alias("_crc"), F.lit(1).alias("_copy"),
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_crc(text).alias("_mark"),
                        F.col(f"`{source_col}`").cast("string").alias("_source"), word_count(text).alias("_size"))
-    return _plan(rows, seed, weights, share, max_epochs).select(
+    return _plan(cut_lineage(rows), seed, weights, share, max_epochs).select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"),
         F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                  chars_col: str = "n_chars", weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0,
-                  seed: int = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the one at a source's
-    cut with its first words (and its ``chars_col`` set anew).  One shuffle of the text."""
-    rows = row_key(docs, id_col, text_col)
-    slim = rows.select(F.col(f"`{id_col}`").alias("_id"), "_idk", "_crc", "_copy",
-                       F.col(f"`{source_col}`").cast("string").alias("_source"),
-                       word_count(F.col(f"`{text_col}`").cast("string")).alias("_size"))
-    plan = _plan(slim, seed, weights, share, max_epochs).where("_taken > 0").select(
-        "_idk", "_crc", "_copy", "_size", "_taken")
-    t = meet(rows, plan)
-    # words left to take when the k-th copy begins; the last copy may be a part
-    t = t.withColumn("_left", F.explode(F.transform(
-        F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size"))),
-        lambda k: F.col("_taken") - k * F.col("_size"))))
-    text, part = F.col(f"`{text_col}`"), F.col("_left") < F.col("_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{BLANKS}]*[^{BLANKS}]+"), F.lit(0)),
-                               1, F.col("_left").cast("int")), "")
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out[text_col] = F.when(part, cut).otherwise(text)
-    if chars_col in out:
-        kind = docs.schema[chars_col].dataType
-        out[chars_col] = F.when(part, F.length(cut).cast(kind)).otherwise(F.col(f"`{chars_col}`"))
-    return t.select(*[x.alias(c) for c, x in out.items()])
+                  weights=WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
+    """The mix itself: each document, whole, as often as it is taken.  One shuffle of the text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = numbered(docs, _id=F.col(f"`{id_col}`"), _mark=text_digest(text),
+                    _source=F.col(f"`{source_col}`").cast("string"), _size=word_count(text))
+    plan = _plan(rows.drop("_doc"), seed, weights, share, max_epochs).where("_taken > 0")
+    # half a document or more counts as one; in whole numbers
+    copies = F.expr("(2 * _taken + _size) div (2 * _size)").cast("int")
+    plan = plan.select("_row", copies.alias("_copies")).where("_copies > 0")
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
+    return rows.select("_row", "_doc").join(plan, "_row").select("_doc", again.alias("_again")).select("_doc.*")

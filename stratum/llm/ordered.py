@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.session import cut_lineage
+from stratum.session import cut_lineage, scratch_path
 
 #: what splits words: ASCII blank, tab, line feed, vertical tab, form feed, carriage return
 BLANKS = r"\x20\x09-\x0D"
@@ -52,23 +52,30 @@ def running(df: DataFrame, order: list[str], sums: list[str], group: str | None
                     (F.row_number().over(inside) - 1 + F.col("_o_index")).cast("long").alias("index"))
 
 
-def row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with _idk, _crc, _copy, which tell any two of its rows apart: the id as
-    a string that is never null, the text's CRC-32 (null text: of the empty one)
-    and a number among rows equal in both."""
-    idk = F.coalesce(F.concat(F.lit("i"), F.col(f"`{id_col}`").cast("string")), F.lit("n"))
-    t = df.withColumns({"_idk": idk, "_crc": text_crc(F.col(f"`{text_col}`"))})
-    return t.withColumn("_copy", F.row_number().over(Window.partitionBy("_idk", "_crc").orderBy("_idk")))
+def numbered(docs: DataFrame, **own: Column) -> DataFrame:
+    """One row for each of ``docs``: _row (a number that no other row has), the columns
+    ``own``, and _doc, all columns of ``docs`` in one struct, so that no name can clash
+    (``select("_doc.*")`` gives them back).
 
+    It is written once, as a table in the shared folder: every later reading, and every
+    retry after a lost executor, gives a row the same number, whatever ``docs`` is made
+    of.  Joins by _row are joins by a unique key: rows that are equal in id and text are
+    spread like any others.  Columns must be of types that Parquet can hold."""
+    spark = docs.sparkSession
+    t = docs.select(F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in own.items()], whole(docs))
+    path = scratch_path(spark, "rows")
+    t.write.parquet(path)
+    return spark.read.schema(t.schema).parquet(path)
 
-def meet(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with a row key, joined to what ``plan`` (with the same three columns) says
-    of them; plan's key columns go.  The copy number is left out of the join's
-    keys so that the rows, already dealt by the other two, are not shuffled again."""
-    p = plan.withColumnsRenamed({"_idk": "_pidk", "_crc": "_pcrc", "_copy": "_pcopy"})
-    on = ((F.col("_idk") == F.col("_pidk")) & (F.col("_crc") == F.col("_pcrc"))
-          & (F.col("_copy") - F.col("_pcopy") == 0))
-    return rows.join(p, on).drop("_pidk", "_pcrc", "_pcopy")
+
+def whole(docs: DataFrame) -> Column:
+    """_doc: all columns of ``docs`` in one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits (MD5) that tell texts apart; null text: of the empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def text_crc(text: Column) -> Column:

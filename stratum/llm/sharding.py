@@ -11,7 +11,7 @@ A size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Edge cases:
 an empty table gives no rows; with fewer documents than shards some shards stay
 empty; repeated rows are separate documents with slots of their own; extra
 columns pass through ``shard_documents`` (input columns called like a result
-column are replaced, names beginning with ``_`` are reserved).
+column are replaced).
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.ordered import meet, row_key, running, text_crc
+from stratum.llm.ordered import numbered, running, text_crc
+from stratum.session import cut_lineage
 
 LAW = "bytes"
 
@@ -44,7 +45,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", t
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_crc(text).alias("_crc"),
                        (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("_size"))
-    return _assign(rows, n_shards).select(
+    return _assign(cut_lineage(rows), n_shards).select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
         F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -54,8 +55,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     """``docs`` with size, shard and slot; the text is shuffled once, to meet its plan row."""
     docs = docs.drop("size", "shard", "slot")
     text = F.col(f"`{text_col}`").cast("string")
-    sized = docs.withColumn("_size", (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long"))
-    plan = _assign(row_key(sized.select(id_col, text_col, "_size"), id_col, text_col)
-                   .select(F.col(f"`{id_col}`").alias("_id"), "_idk", "_crc", "_copy", "_size"), n_shards)
-    plan = plan.select("_idk", "_crc", "_copy", F.col("_size").alias("size"), "shard", "slot")
-    return meet(row_key(docs, id_col, text_col), plan).select(*docs.columns, "size", "shard", "slot")
+    rows = numbered(docs, _id=F.col(f"`{id_col}`"), _crc=text_crc(text),
+                    _size=(F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long"))
+    plan = _assign(rows.drop("_doc"), n_shards).select("_row", F.col("_size").alias("size"), "shard", "slot")
+    return rows.select("_row", "_doc").join(plan, "_row").select("_doc.*", "size", "shard", "slot")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratum.llm.components import components
-from stratum.llm.ordered import meet, row_key, text_crc
+from stratum.llm.ordered import numbered, text_digest
 from stratum.session import cut_lineage
 
 BYTES = 8
@@ -63,20 +63,22 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(count * 2 > len(bits), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(_id, _crc, _fp): the id, the text's CRC-32 and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, carry, _fp): the id, columns to carry along and the fingerprint as a signed long."""
     text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), text_crc(text).alias("_crc"), text.alias("_text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), *carry, text.alias("_text"))
+    names = ["_id", *carry, "_fp"]
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
                 fp = np.array([simhash(t, shingle) for t in part.column("_text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_crc"), pa.array(fp.view(np.int64))],
-                                                 names=["_id", "_crc", "_fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names[:-1]], pa.array(fp.view(np.int64))], names=names)
 
-    return slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, _crc long, _fp long")
+    kinds = [f"{c} {slim.schema[c].dataType.simpleString()}" for c in names[:-1]]
+    return slim.mapInArrow(run, ", ".join([*kinds, "_fp long"]))
 
 
 def _byte(c, k: int):
@@ -157,12 +159,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                          max_bits: int = 3, list_limit: int = 256) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id (null
-    last; of rows with that id, the smallest CRC-32 of the text).  The text is
-    shuffled once, to meet the keys of what stays."""
-    fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    last; of rows with that id, the smallest MD5 of the text; of equal ones, any).  The
+    text is shuffled once, to meet the numbers of what stays."""
+    rows = numbered(docs, _digest=text_digest(F.col(f"`{text_col}`").cast("string")))
+    doc = F.col("_doc")
+    slim = rows.select("_row", "_digest", doc[id_col].alias("_id"), doc[text_col].alias("_text"))
+    fps = cut_lineage(fingerprints(slim, "_id", "_text", shingle, ("_row", "_digest")))
     stays = (_rooted(fps, max_bits, list_limit)
              .where(F.col("_id").eqNullSafe(F.col("_root.id")) & (F.col("_fp") == F.col("_root.fp")))
-             .groupBy("_root").agg(F.min("_crc").alias("_crc")))
-    keys = stays.select(F.coalesce(F.concat(F.lit("i"), F.col("_root.id").cast("string")), F.lit("n")).alias("_idk"),
-                        "_crc", F.lit(1).alias("_copy"))
-    return meet(row_key(docs, id_col, text_col), keys).select(*docs.columns)
+             .groupBy("_root").agg(F.min(F.struct("_digest", "_row")).alias("_first")).select(F.col("_first._row").alias("_row")))
+    return rows.join(stays, "_row", "left_semi").select("_doc.*")

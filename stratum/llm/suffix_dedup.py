@@ -33,7 +33,7 @@ third of the corpus arrives once per map task.  Texts are shuffled once, by
 document, and read three times from that shuffle.
 
 Edge cases: null and short texts have nothing removed; repeated rows with an
-equal id are ordered by their text's CRC-32, then arbitrarily (they are equal);
+equal id are ordered by their text's MD5, then arbitrarily (they are equal);
 null ids come first; extra columns are unread; an empty table gives no rows.
 """
 
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.llm.ordered import meet, partitions, row_key, running
+from stratum.llm.ordered import numbered, partitions, running, text_digest
 from stratum.llm.terms import mix
 from stratum.session import cut_lineage
 
@@ -220,9 +220,9 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     whole = dict(slim.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint")
     if whole and not slim.groupBy("_id").count().where("_id IS NULL OR count > 1").limit(1).count():
         return slim.select(F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_ord"), "_text"), None
-    key = row_key(slim, "_id", "_text")
-    place = cut_lineage(running(key.select("_id", "_idk", "_crc", "_copy"), ["_id", "_crc", "_copy"], []))
-    texts = meet(key, place.select("_idk", "_crc", "_copy", F.col("index").alias("_ord")))
+    rows = numbered(slim, _id=F.col("_id"), _digest=text_digest(F.col("_text")))
+    place = cut_lineage(running(rows.drop("_doc"), ["_id", "_digest"], []))
+    texts = rows.select("_row", F.col("_doc._text").alias("_text")).join(place.select("_row", F.col("index").alias("_ord")), "_row")
     return texts.select(F.coalesce("_ord", F.lit(0)).alias("_ord"), "_text"), place.select(F.col("index").alias("_o"), "_id")
 
 

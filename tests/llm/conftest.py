@@ -44,11 +44,25 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+@pytest.fixture(scope="session")
+def twins():
+    """Two different texts of equal CRC-32, of 40 words each."""
+    import zlib
+
+    rng, seen = random.Random(11), {}
+    tail = " ".join(words(rng, 39))
+    while True:
+        t = f"{rng.getrandbits(60):x} {tail}"
+        other = seen.setdefault(zlib.crc32(t.encode()), t)
+        if other != t:
+            return other, t
+
+
 def strange(df):
     """Extra columns named like results and like what operators use inside."""
     from pyspark.sql import functions as F
 
     for c in ("score", "size", "shard", "slot", "lang_pred", "held_out", "fingerprint", "component_id", "taken", "target", "_order",
-              "index"):
+              "index", "_row", "_doc", "_id", "_digest", "_crc", "_copy", "_size", "_taken", "_mark", "_lid", "_ldigest", "_again"):
         df = df.withColumn(c, F.lit("x"))
     return df

@@ -85,6 +85,18 @@ def test_repeated_words_after_a_long_item(spark):
     assert {(r["_id"], r["_iid"]) for r in out} == want and all(r["_hamming"] <= 20 for r in out)
 
 
+def test_texts_of_equal_checksum_without_ids(spark, twins):
+    """One of two texts of equal CRC-32 leaks, in either order: it goes, the other stays."""
+    clean, leak = twins
+    for first, second in ((clean, leak), (leak, clean)):
+        item = " ".join(leak.split()[:8])
+        d = spark.createDataFrame([row(None, first), row(None, second)], DOCS).coalesce(1)
+        b = spark.createDataFrame([(1, item)], "item_id long, text string")
+        assert len(brute([(1, clean), (2, leak)], [(1, item)])) == 1
+        assert find_leaks(d, b).count() == 1
+        assert [r["text"] for r in drop_leaks(d, b).collect()] == [clean]
+
+
 def test_empty(spark, docs, none):
     b = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, b).count() == 0

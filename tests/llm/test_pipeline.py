@@ -58,7 +58,10 @@ def test_stages_match_brute_force(spark, tmp_path):
             took = {}
             for r in has:
                 took[r["source"]] = took.get(r["source"], 0) + len(r["text"].split())
-            assert took == {s: int(t + 1e-9) for s, t in target.items() if int(t + 1e-9)}
+            texts = {(r["doc_id"], r["text"]) for r in had}
+            most = max(len(t.split()) for _, t in texts)
+            assert all((r["doc_id"], r["text"]) in texts for r in has)
+            assert all(abs(took.get(s, 0) - t) <= most / 2 + 1 for s, t in target.items())
         if name == "shard":
             got = sorted(((r["doc_id"], r["size"], r["shard"]) for r in has), key=str)
             assert got == sorted(((x[0], x[1], x[4]) for x in shards(had)), key=str)

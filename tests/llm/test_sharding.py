@@ -48,6 +48,14 @@ def test_rows_keep_their_plan(docs, rows):
     assert got == brute(rows)
 
 
+def test_equal_rows_and_equal_checksums(spark, twins):
+    df = spark.range(50_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same' AS text", "'en' AS lang", "'a' AS source", "4L AS n_chars")
+    out = shard_documents(df).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots")).collect()
+    assert len(out) == 40 and all(r["n"] == r["slots"] == 1250 for r in out)
+    both = spark.createDataFrame([row(None, t) for t in twins for _ in range(3)], DOCS)
+    assert sorted(r["text"] for r in shard_documents(both).collect()) == sorted(t for t in twins for _ in range(3))
+
+
 def test_empty(none):
     assert assign_shards(none).count() == 0 and shard_documents(none).count() == 0
 

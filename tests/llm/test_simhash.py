@@ -105,6 +105,15 @@ def test_drop_keeps_one_of_each(docs, rows):
     assert drop_near_duplicates(strange(docs)).columns == strange(docs).columns
 
 
+def test_drop_of_equal_rows(spark, twins):
+    """Rows equal in all but what is not read, and texts of equal CRC-32 without ids."""
+    df = spark.range(50_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same words' AS text", "string(id) AS more")
+    assert drop_near_duplicates(df).count() == 1
+    both = spark.createDataFrame([(None, t) for t in twins for _ in range(3)], "doc_id long, text string")
+    fps = [plain(t) for t in twins]
+    assert drop_near_duplicates(both).count() == len(set(brute([(None, f) for f in fps]))) - ((fps[0] ^ fps[1]).bit_count() in (1, 2, 3))
+
+
 def test_empty(none, spark):
     assert near_duplicates(none).count() == 0 and drop_near_duplicates(none).count() == 0
     one = spark.createDataFrame([row(7, None)], DOCS)

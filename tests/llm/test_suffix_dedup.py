@@ -30,7 +30,7 @@ def got(df):
 
 
 def unique(rows):
-    """One row of equal id: with different texts the order of equal ids is by CRC-32."""
+    """One row of equal id: with different texts the order of equal ids is by MD5."""
     seen, out = set(), []
     for r in rows:
         if r["doc_id"] not in seen:
