@@ -98,7 +98,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(f"`{text_col}`").cast("string")
     rows = numbered(docs, _id=F.col(f"`{id_col}`"), _mark=text_digest(text),
                     _source=F.col(f"`{source_col}`").cast("string"), _size=word_count(text))
-    plan = _plan(rows.drop("_doc"), seed, weights, share, max_epochs).where("_taken > 0")
+    plan = _plan(cut_lineage(rows.drop("_doc")), seed, weights, share, max_epochs).where("_taken > 0")
     # half a document or more counts as one; in whole numbers
     copies = F.expr("(2 * _taken + _size) div (2 * _size)").cast("int")
     plan = plan.select("_row", copies.alias("_copies")).where("_copies > 0")

@@ -8,6 +8,7 @@ its offset; inside a range an ordinary window does the rest.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +54,42 @@ def running(df: DataFrame, order: list[str], sums: list[str], group: str | None
 
 
 def numbered(docs: DataFrame, **own: Column) -> DataFrame:
-    """One row for each of ``docs``: _row (a number that no other row has), the columns
+    """One row for each of ``docs``: _row (a name that no other row has), the columns
     ``own``, and _doc, all columns of ``docs`` in one struct, so that no name can clash
     (``select("_doc.*")`` gives them back).
 
-    It is written once, as a table in the shared folder: every later reading, and every
-    retry after a lost executor, gives a row the same number, whatever ``docs`` is made
-    of.  Joins by _row are joins by a unique key: rows that are equal in id and text are
-    spread like any others.  Columns must be of types that Parquet can hold."""
+    Every reading, and every retry after a lost executor, gives a row the same name: in
+    a Parquet table, its file and its place there; anything else is written once, as a
+    table in the shared folder, with numbers (of types that Parquet can hold).  Joins by
+    _row are joins by a unique key: rows that are equal in id and text are spread like
+    any others."""
     spark = docs.sparkSession
-    t = docs.select(F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in own.items()], whole(docs))
+    more = [*[c.alias(n) for n, c in own.items()], whole(docs)]
+    if _is_table(docs):
+        return docs.select(_name(F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")), *more)
+    t = docs.select(_name(F.lit(0).cast("long"), F.monotonically_increasing_id()), *more)
     path = scratch_path(spark, "rows")
     t.write.parquet(path)
     return spark.read.schema(t.schema).parquet(path)
 
 
+def _name(file: Column, place: Column) -> Column:
+    return F.struct(file.alias("file"), place.alias("place")).alias("_row")
+
+
+def _is_table(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a Parquet table as read, each of whose rows is one of a file."""
+    if "_metadata" in (c.lower() for c in docs.columns) or not hasattr(docs, "_jdf"):
+        return False
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:  # a format whose rows have no place
+        return False
+    return True
+
+
 def whole(docs: DataFrame) -> Column:
     """_doc: all columns of ``docs`` in one struct."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")

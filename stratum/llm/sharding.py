@@ -57,5 +57,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     text = F.col(f"`{text_col}`").cast("string")
     rows = numbered(docs, _id=F.col(f"`{id_col}`"), _crc=text_crc(text),
                     _size=(F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long"))
-    plan = _assign(rows.drop("_doc"), n_shards).select("_row", F.col("_size").alias("size"), "shard", "slot")
+    plan = _assign(cut_lineage(rows.drop("_doc")), n_shards).select("_row", F.col("_size").alias("size"), "shard", "slot")
     return rows.select("_row", "_doc").join(plan, "_row").select("_doc.*", "size", "shard", "slot")

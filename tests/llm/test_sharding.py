@@ -3,7 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from stratum.llm.ordered import running
+from stratum.llm.ordered import numbered, running
 from stratum.llm.sharding import assign_shards, shard_documents
 from tests.llm.conftest import DOCS, row, strange
 
@@ -56,6 +56,21 @@ def test_equal_rows_and_equal_checksums(spark, twins):
     assert sorted(r["text"] for r in shard_documents(both).collect()) == sorted(t for t in twins for _ in range(3))
 
 
+def test_rows_of_a_table_are_named_without_a_copy(spark, docs, rows, tmp_path):
+    """Several files, repeated rows in and across them; the same plan as from a frame."""
+    docs.write.parquet(str(tmp_path / "t"))
+    docs.where("doc_id >= 400").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    named = numbered(table)
+    assert named.select("_row").distinct().count() == table.count() and "rows-" not in " ".join(named.inputFiles())
+    out = shard_documents(table)
+    want = brute([r.asDict() for r in table.collect()])
+    got = [(r["doc_id"], r["size"], zlib.crc32((r["text"] or "").encode()), "bytes", r["shard"], r["slot"], None) for r in out.collect()]
+    assert sorted(got, key=str) == want
+    # a frame that is not a table as read has rows of its own
+    assert numbered(table.union(table)).select("_row").distinct().count() == 2 * table.count()
+
+
 def test_empty(none):
     assert assign_shards(none).count() == 0 and shard_documents(none).count() == 0
 
