@@ -16,7 +16,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+                                       RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -75,9 +75,9 @@ def clf_boosted_deep(max_iter: int = 100, seed: int = 42):
     return clf_gbt(max_iter=max_iter, max_depth=6, step=0.3, seed=seed)
 
 
-def clf_mlp(n_features: int, hidden: int = 100, max_iter: int = 1000, seed: int = 42):
-    """Network with one hidden ReLU layer, mini-batch Adam and L2 (``operators.network``)."""
-    return NetworkClassifier(featuresCol=FEAT, labelCol="label", hidden=hidden, max_iter=max_iter, seed=seed)
+def clf_mlp(n_features: int, hidden: int | tuple[int, ...] = 100, max_iter: int = 1000, seed: int = 42, alpha: float = 1e-4):
+    """Network with hidden ReLU layers, mini-batch Adam and L2 (``operators.network``)."""
+    return NetworkClassifier(featuresCol=FEAT, labelCol="label", hidden=hidden, max_iter=max_iter, seed=seed, alpha=alpha)
 
 
 def clf_svm(kind: str = "linear", C: float = 1.0, max_iter: int = 100) -> list:
@@ -162,9 +162,13 @@ def predict_all(models: dict[str, PipelineModel], df: DataFrame, key: str = "row
     return t.select(key, F.col("label").cast("int").alias("y"), *[c for c in base if c.startswith(("p_", "y_")) and c[2:] in models])
 
 
+def _vote(names: list[str]):
+    return sum((F.col(f"p_{n}") for n in names[1:]), F.col(f"p_{names[0]}")) / F.lit(float(len(names)))
+
+
 def vote_columns(t: DataFrame, names: list[str], key: str = "row_id") -> DataFrame:
     """Soft vote over the p_<name> columns: (key, y, yhat, p1); a tie goes to class 0."""
-    mean = sum((F.col(f"p_{n}") for n in names[1:]), F.col(f"p_{names[0]}")) / F.lit(float(len(names)))
+    mean = _vote(names)
     return t.select(key, "y", (mean > 0.5).cast("int").alias("yhat"), mean.alias("p1"))
 
 
@@ -302,37 +306,68 @@ def compare_reduction(df: DataFrame, feats: list[str], label: str = "label", see
     return df.sparkSession.createDataFrame(rows, "approach string, declared int, accuracy double")
 
 
-def train_select(df: DataFrame, feats: list[str], label: str = "label", seed: int = 42, key: str = "row_id") -> DataFrame:
-    """The training flow as a table (step, choice, accuracy): strongest correlation with
-    the label; reduction contest, whose winner overrides the flags; without reduction
-    the scaler contest (min-max only if strictly better); five voters; the best single
-    voter only if strictly better than the vote."""
+class FittedScores:
+    """What ``select_flow`` asks for, from models fitted on one stratified split."""
+
+    def __init__(self, df: DataFrame, feats: list[str], label: str = "label", seed: int = 42, key: str = "row_id"):
+        self.df, self.feats, self.label, self.seed, self.key = df, feats, label, seed, key
+        self._split = None
+
+    def correlations(self) -> DataFrame:
+        """(a, b, corr) of features and label."""
+        from stratum.operators import stats as S
+
+        return S.corr_matrix(self.df.select(*self.feats, F.col(self.label).cast("double").alias(self.label)), [*self.feats, self.label])
+
+    def reductions(self) -> DataFrame:
+        """(approach, declared, accuracy)."""
+        return compare_reduction(self.df, self.feats, self.label, self.seed, self.key, ["baseline", "pca", "ica"])
+
+    def voters(self, method: str, scaler: str | None) -> DataFrame:
+        """(key, y, p_<voter>, y_<voter>) of the test rows."""
+        if self._split is None:
+            self._split = holdout(self.df.select(self.key, *self.feats, self.label), self.label, self.seed, self.key)
+        train, test = self._split
+        if method == "baseline":
+            return fit_members(train, test, self.feats, scaler, self.seed, key=self.key)[1]
+        tr, te, cols = reduced(train, test, self.feats, method, self.key)
+        return fit_members(tr, te, cols, None, self.seed, key=self.key)[1]
+
+
+def select_flow(scores, label: str = "label") -> list[tuple]:
+    """The training flow's decisions as rows (step, choice, accuracy), whatever gives the
+    scores (see ``FittedScores``): strongest correlation with the label; reduction contest,
+    whose winner overrides the flags (the first declared of equals); without reduction the
+    scaler contest (min-max only if strictly better); five voters; the best single voter
+    (the first of equals) only if strictly better than the vote."""
     from stratum.operators import stats as S
 
-    top = S.top_correlated(S.corr_matrix(df.select(*feats, F.col(label).cast("double").alias(label)), [*feats, label]), label, 1).first()
+    top = S.top_correlated(scores.correlations(), label, 1).first()
     rows = [("correlation", top["feature"] if top else None, float(top["corr"]) if top else None)]
-    contest = compare_reduction(df, feats, label, seed, key, ["baseline", "pca", "ica"]).orderBy(F.desc("accuracy"), "declared").collect()
+    contest = scores.reductions().orderBy(F.desc("accuracy"), "declared").collect()
     method = contest[0]["approach"]
     rows += [(f"reduction:{r['approach']}", r["approach"], r["accuracy"]) for r in sorted(contest, key=lambda r: r["declared"])]
-    train, test = holdout(df.select(key, *feats, label), label, seed, key)
+
+    def measure(scaler):  # accuracy of the vote and of each voter, in one aggregation
+        hit = lambda yhat: F.avg((yhat == F.col("y")).cast("double"))
+        return scores.voters(method, scaler).agg(hit((_vote(VOTERS) > 0.5).cast("int")).alias("vote"),
+                                                 *[hit(F.col(f"y_{n}")).alias(n) for n in VOTERS]).first()
+
     if method == "baseline":
-        tried = {}
-        for scaler in ("standard", "minmax"):
-            _, t = fit_members(train, test, feats, scaler, seed, key=key)
-            t = t.persist()
-            tried[scaler] = (t, accuracy_of(vote_columns(t, VOTERS, key)))
-            rows.append((f"scaler:{scaler}", scaler, tried[scaler][1]))
-        scaler = "minmax" if tried["minmax"][1] > tried["standard"][1] else "standard"
-        scored = tried[scaler][0]
+        tried = {s: measure(s) for s in ("standard", "minmax")}
+        rows += [(f"scaler:{s}", s, m["vote"]) for s, m in tried.items()]
+        got = tried["minmax" if tried["minmax"]["vote"] > tried["standard"]["vote"] else "standard"]
     else:
-        tr, te, cols = reduced(train, test, feats, method, key)
-        _, scored = fit_members(tr, te, cols, None, seed, key=key)
-        scored = scored.persist()
-    single = scored.agg(*[F.avg((F.col(f"y_{n}") == F.col("y")).cast("double")).alias(n) for n in VOTERS]).first()
-    rows += [(f"member:{n}", n, float(single[n])) for n in VOTERS]
-    vote = accuracy_of(vote_columns(scored, VOTERS, key))
-    best = max(VOTERS, key=lambda n: single[n])
-    rows += [("ensemble", "vote_soft", vote), ("chosen", *((best, float(single[best])) if single[best] > vote else ("ensemble", vote)))]
+        got = measure(None)
+    rows += [(f"member:{n}", n, got[n]) for n in VOTERS]
+    best = max(VOTERS, key=lambda n: got[n])
+    return [*rows, ("ensemble", "vote_soft", got["vote"]),
+            ("chosen", *((best, got[best]) if got[best] > got["vote"] else ("ensemble", got["vote"])))]
+
+
+def train_select(df: DataFrame, feats: list[str], label: str = "label", seed: int = 42, key: str = "row_id") -> DataFrame:
+    """``select_flow`` on models fitted here, as a table (step, choice, accuracy)."""
+    rows = select_flow(FittedScores(df, feats, label, seed, key), label)
     return df.sparkSession.createDataFrame(rows, "step string, choice string, accuracy double")
 
 
@@ -375,10 +410,10 @@ def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], repeats:
 
 
 def reference_grids(n_features: int, n_rows: int) -> dict:
-    """The five tuning grids, mapped onto Spark ML params (grid values: fixed values).
+    """Four tuning grids, mapped onto Spark ML params (grid values: fixed values); the
+    network's is ``network_grid``.
 
-    Dropped (no Spark equivalent): forest ``min_samples_split``; SVM ``gamma``;
-    MLP ``alpha`` and learning-rate schedule.  The SVM's kernel choice is two
+    Dropped (no Spark equivalent): forest ``min_samples_split``; SVM ``gamma``.  The SVM's kernel choice is two
     searches: these features (linear), and ``rff_features`` of them (rbf).  ``max_depth=None`` → Spark's max 30.
     Returns {family: (estimator, {param: values})}."""
     n = max(n_rows, 1)
@@ -386,12 +421,41 @@ def reference_grids(n_features: int, n_rows: int) -> dict:
         "forest": (clf_forest(), {"numTrees": [100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}),
         "gbt": (clf_gbt(), {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 5]}),
         "svm": (clf_svm("linear")[0].estimator, {"regParam": [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]}),
-        "mlp": (MultilayerPerceptronClassifier(featuresCol=FEAT, labelCol="label", layers=[n_features, 100, 2], maxIter=1000, seed=42), {"layers": [[n_features, 50, 2], [n_features, 100, 2], [n_features, 50, 50, 2]]}),
         "boosted_deep": (clf_boosted_deep(), {"maxIter": [100, 200], "maxDepth": [3, 5, 7],
                                               "stepSize": [0.05, 0.1, 0.2]}),
     }
 
 
+def network_grid(n_features: int, max_iter: int = 1000) -> dict:
+    """The network's tuning grid (grid values: fixed values) as {params: estimator}.  The
+    schedule of the learning rate is no axis: it has no meaning for Adam."""
+    return {f"hidden={hidden}, alpha={alpha}": clf_mlp(n_features, hidden, max_iter, alpha=alpha)
+            for hidden in [(50,), (100,), (50, 50)] for alpha in [0.0001, 0.001]}
+
+
+def score_candidates(df: DataFrame, feats: list[str], candidates: dict, label: str = "label", folds: int = 3, seed: int = 0,
+                     key: str = "row_id", scaler: str | None = "minmax", threads: int = 8) -> DataFrame:
+    """Mean accuracy of estimators that have no parameter map, on the hash folds that
+    ``grid_search`` uses: (params, mean_accuracy, is_best); the first of equals is best.
+    Fits run side by side and return one number each; a fold without rows counts for none."""
+    d = sized(kfold_stratified(_label(df, label).select(key, *feats, "label"), "label", folds, seed, key))
+
+    def one(name, f):
+        test = d.where(F.col("fold") == f)
+        if test.limit(1).count() == 0:
+            return None
+        return accuracy_of(predict(fit_pipeline(d.where(F.col("fold") != f), feats, candidates[name], scaler=scaler), test, key))
+
+    jobs = [(n, f) for n in candidates for f in range(folds)]
+    got = dict(zip(jobs, side_by_side([lambda n=n, f=f: one(n, f) for n, f in jobs], threads)))
+    d.unpersist()
+    means = {n: [got[n, f] for f in range(folds) if got[n, f] is not None] for n in candidates}
+    means = {n: float(np.mean(v)) for n, v in means.items() if v}
+    best = max(means, key=means.get) if means else None
+    return df.sparkSession.createDataFrame([(n, m, n == best) for n, m in means.items()],
+                                           "params string, mean_accuracy double, is_best boolean")
+
+
 def tune_families(df: DataFrame, feats: list[str], grids: dict, label: str = "label", folds: int = 3,
                   seed: int = 0):
     """Grid-search every family on the same hash folds; returns (best models by

@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SAMPLE = ["filtered_group_means", "describe", "welch_ttest_features", "anova_oneway", "smote", "tomek_links",
           "roc_auc", "pr_auc", "bootstrap_ci", "viterbi_decode", "score_answers", "adaptive_encode", "clip_iqr",
           "kde_grid", "split_stratified", "clean_data", "significance_report", "vote_soft_scores",
-          "viterbi_scores_long", "box_stats", "confusion_matrix", "classification_report", "scan_csv"]
+          "viterbi_scores_long", "box_stats", "confusion_matrix", "classification_report", "scan_csv", "train_select_rule", "model_store_roundtrip"]
 
 
 def _norm(v):

@@ -109,15 +109,19 @@ def test_rotation_is_the_exponential():
     assert np.allclose(E._rotation(a), total)
 
 
-def test_network_gradient_against_differences():
+@pytest.mark.parametrize("hidden", [5, (5,), (4, 3), (3, 4, 2)])
+def test_network_gradient_against_differences(hidden):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(13, 3)), (rng.random(13) < 0.4).astype(float)
-    w = N.start_weights(3, 5, 1) + rng.normal(size=26) * 0.1
-    _, g = N.loss_and_gradient(w, x, y, 0.3)
+    w = N.start_weights(3, hidden, 1)
+    assert len(w) == N.n_weights(N.layer_sizes(3, hidden))
+    w = w + rng.normal(size=len(w)) * 0.1
+    _, g = N.loss_and_gradient(w, x, y, 0.3, hidden)
     for k in range(len(w)):
         e = np.zeros(len(w))
         e[k] = 1e-6
-        assert g[k] == pytest.approx((N.loss_and_gradient(w + e, x, y, 0.3)[0] - N.loss_and_gradient(w - e, x, y, 0.3)[0]) / 2e-6, abs=1e-7)
+        up, down = (N.loss_and_gradient(w + s * e, x, y, 0.3, hidden)[0] for s in (1, -1))
+        assert g[k] == pytest.approx((up - down) / 2e-6, abs=1e-7)
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +165,49 @@ def test_calibration_sees_out_of_fold_margins_only(rings):
     assert abs(auc([r["label"] for r in got], [r["_margin"] for r in got]) - 0.5) < 0.2
     p = [r["p1"] for r in H.predict(m, rff).collect()]
     assert max(p) - min(p) < 0.6
+
+
+def test_candidates_on_folds(rings):
+    """Every candidate has the mean of its folds' accuracies, computed here fit by fit."""
+    grid = {str(h): H.NetworkClassifier(hidden=h, max_iter=200, rate=0.01) for h in ((30,), (12, 12))}
+    out = {r["params"]: r for r in H.score_candidates(rings, ["a", "b"], grid, scaler="standard").collect()}
+    assert set(out) == set(grid) and sum(r["is_best"] for r in out.values()) == 1 and min(r["mean_accuracy"] for r in out.values()) > 0.9
+    d = H.kfold_stratified(rings, "label", 3, 0)
+    one = [H.accuracy_of(H.predict(H.fit_pipeline(d.where(F.col("fold") != f), ["a", "b"], grid["(12, 12)"], scaler="standard"), d.where(F.col("fold") == f)))
+           for f in range(3)]
+    assert np.mean(one) == pytest.approx(out["(12, 12)"]["mean_accuracy"], abs=0.03)
+    assert list(H.network_grid(4)) == [f"hidden={h}, alpha={a}" for h in ((50,), (100,), (50, 50)) for a in (0.0001, 0.001)]
+
+
+class Table:
+    """Scores written down: {(method, scaler): rows of (y, five probabilities)}."""
+
+    def __init__(self, spark, reductions, voters):
+        self.spark, self.red, self.vot, self.asked = spark, reductions, voters, []
+
+    def correlations(self):
+        return self.spark.createDataFrame([("a", "label", -0.9), ("b", "label", 0.5)], "a string, b string, corr double")
+
+    def reductions(self):
+        return self.spark.createDataFrame([(n, i, x) for i, (n, x) in enumerate(self.red.items())], "approach string, declared int, accuracy double")
+
+    def voters(self, method, scaler):
+        self.asked.append((method, scaler))
+        names = ", ".join(f"p_{n} double, y_{n} int" for n in H.VOTERS)
+        rows = [(i, y, *[v for p in ps for v in (p, int(p > 0.5))]) for i, (y, *ps) in enumerate(self.vot[method, scaler])]
+        return self.spark.createDataFrame(rows, f"row_id int, y int, {names}")
+
+
+def test_selection_rule(spark):
+    good, bad, split = (1, 0.9, 0.9, 0.9, 0.9, 0.9), (1, 0.1, 0.1, 0.1, 0.1, 0.1), (1, 0.1, 0.6, 0.1, 0.6, 0.1)
+    base = {"baseline": 0.8, "pca": 0.8, "ica": 0.7}
+    last = lambda t: dict((r[0], r[1:]) for r in H.select_flow(t))
+    t = Table(spark, base, {("baseline", "standard"): [good, bad], ("baseline", "minmax"): [good, bad]})
+    got = last(t)  # equal scalers: standard; no voter above the vote: the vote
+    assert got["correlation"] == ("a", -0.9) and got["chosen"] == ("ensemble", 0.5) and "scaler:minmax" in got
+    t = Table(spark, base, {("baseline", "standard"): [good, bad], ("baseline", "minmax"): [good, good]})
+    assert last(t)["chosen"] == ("ensemble", 1.0)
+    t = Table(spark, {"baseline": 0.5, "pca": 0.6, "ica": 0.6}, {("pca", None): [good, split]})
+    got = last(t)  # reduction wins: no scaler contest; two voters beat the vote: the first
+    assert t.asked == [("pca", None)] and not any(s.startswith("scaler") for s in got)
+    assert got["chosen"] == ("gbt", 1.0) and got["ensemble"] == ("vote_soft", 0.5)

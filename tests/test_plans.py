@@ -7,7 +7,7 @@ from tests.conftest import SF_SMALL
 
 QUERIES = load_all()[0]
 #: fit many models before they return a table that they made on the driver; their plans have no join
-SLOW = {"train_select", "grid_search", "tune_families", "compare_balancers_ttest", "vote_soft"}
+SLOW = {"train_select", "grid_search", "tune_families", "compare_balancers_ttest", "vote_soft", "grid_search_mlp", "learner_properties"}
 NAMES = sorted(set(QUERIES) - SLOW)
 
 
