@@ -346,7 +346,7 @@ def q_train_select_rule(spark, sf):
 @register("model_store_roundtrip", uses=("docs",), sql="SELECT row_id, label AS y, true AS same FROM docs")
 def q_model_store_roundtrip(spark, sf):
     """Does the reloaded model give every row the class and probability of the one that was stored?"""
-    d = _docs(spark, sf)
+    d = H.sized(_docs(spark, sf))
     m = H.fit_pipeline(d, DOC_NUM, H.clf_tree(max_depth=4))
     t = H.predict_all({"kept": m, "read": model_load(model_store(m, scratch_path(spark, "model")))}, d)
     return t.select("row_id", "y", (F.col("p_kept").eqNullSafe(F.col("p_read")) & (F.col("y_kept") == F.col("y_read"))).alias("same"))
