@@ -92,17 +92,11 @@ def _cells(points: DataFrame, key: str, feats: list[str], cell: int, max_pivots:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
 
     def assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast(pivots)
+        shared = rows.sparkSession.sparkContext.broadcast(Grouped(pivots))
 
         def run(batches):
-            p = shared.value
             for b in batches:
-                x = _matrix(b, feats)
-                near, r = np.empty(len(x), np.int64), np.empty(len(x))
-                for at in _steps(len(x), len(p)):
-                    d = _distances(x[at], p)
-                    near[at] = d.argmin(axis=1)
-                    r[at] = d[np.arange(len(d)), near[at]]
+                near, r = shared.value.nearest(_matrix(b, feats))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(r)], names=[*b.schema.names, "_cell", "_r"])
 
         return rows.mapInArrow(run, f"{schema}, _cell long, _r double")
@@ -132,6 +126,55 @@ def _steps(n: int, width: int):
     return [slice(a, a + step) for a in range(0, n, step)]
 
 
+class Grouped:
+    """Pivots in about sqrt(their number) groups, each around one of them: a ball is held
+    against a group (triangle inequality) before its pivots are looked at."""
+
+    def __init__(self, p: np.ndarray, reach: np.ndarray | None = None):
+        """``reach``: how far a pivot's points lie from it (default: only the pivots count)."""
+        self.p, n = p, max(1, round(len(p) ** 0.5))
+        self.centers = p[np.linspace(0, len(p) - 1, min(n, len(p))).round().astype(int)] if len(p) else p
+        near = np.concatenate([_distances(p[at], self.centers).argmin(axis=1) for at in _steps(len(p), n)]) if len(p) else np.empty(0, int)
+        self.members = [np.flatnonzero(near == g) for g in range(len(self.centers))]
+        far = _distances_by_row(p, self.centers[near]) + (0.0 if reach is None else reach) if len(p) else np.empty(0)
+        self.radius = np.array([far[m].max(initial=0.0) for m in self.members])
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, distance) of each row's nearest pivot."""
+        near, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        for at in _steps(len(x), len(self.centers)) if len(self.p) else []:
+            self._nearest(x[at], near[at], best[at])
+        return near, best
+
+    def _nearest(self, x, near, best):
+        d = _distances(x, self.centers)
+        first = d.argmin(axis=1)
+        for turn in (0, 1):  # the nearest group, then all that may hold a nearer one
+            for g, m in enumerate(self.members):
+                rows = np.flatnonzero(first == g if turn == 0 else (first != g) & ((d[:, g] - self.radius[g]) <= best * (1 + _SLACK) + _SLACK * d[:, g]))
+                for at in _steps(len(rows), len(m)) if len(m) else []:
+                    r = rows[at]
+                    to = _distances(x[r], self.p[m])
+                    k = to.argmin(axis=1)
+                    v = to[np.arange(len(r)), k]
+                    nearer = v < best[r]
+                    near[r[nearer]], best[r[nearer]] = m[k[nearer]], v[nearer]
+
+    def reached(self, x: np.ndarray, r: np.ndarray):
+        """(rows, pivots, their distances) for the groups that rows' balls of radius ``r`` reach."""
+        for at in _steps(len(x), len(self.centers)):
+            d = _distances(x[at], self.centers)
+            for g, m in enumerate(self.members):
+                rows = np.flatnonzero(~(d[:, g] - r[at] > self.radius[g] * (1 + _SLACK) + _SLACK * d[:, g]))
+                for part in _steps(len(rows), len(m)) if len(m) else []:
+                    k = rows[part]
+                    yield at.start + k, m, _distances(x[at.start + k], self.p[m])
+
+
+def _distances_by_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum(((a[:, f] - b[:, f]) ** 2 for f in range(a.shape[1])), np.zeros(len(a))))
+
+
 def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots from differences: right in all but the last digits, near or far."""
     d = np.zeros((len(x), len(p)))
@@ -149,47 +192,57 @@ def _candidates(points: DataFrame, key: str, feats: list[str], k: int, cell: int
     table = {r["_cell"]: (r["_n"], r["_lo"], r["_hi"]) for r in cells.collect()}
     number = np.array(sorted(table), np.int64)
     stats = np.array([table[c] for c in number], np.float64).reshape(-1, 3)
-    shared = points.sparkSession.sparkContext.broadcast((pivots[number] if len(number) else pivots, number, stats))
+    held = pivots[number] if len(number) else pivots
+    shared = points.sparkSession.sparkContext.broadcast((Grouped(held, stats[:, 2] if len(number) else None), number, stats))
     P = dealt.select(F.col(key).alias("p_id"), *[F.col(f).alias(f"p_{f}") for f in feats], "_cell", F.col("_r").alias("_dp"))
-    Q = dealt.select(F.col(key).alias("q_id"), *[F.col(f).alias(f"q_{f}") for f in feats], "_cell")
+    Q = dealt.select(F.col(key).alias("q_id"), *[F.col(f).alias(f"q_{f}") for f in feats], "_cell", F.col("_r").alias("_home_d"))
 
     # the k-th distance inside the own cell bounds that of all
     own = Q.join(P, "_cell").where("p_id <> q_id").select("q_id", "p_id", _d2(feats).alias("dist2"))
     own = _top_k(own, k).groupBy("q_id").agg(F.count(F.lit(1)).alias("_c"), F.max("dist2").alias("_m"))
     bound = own.select("q_id", F.when(F.col("_c") >= k, F.col("_m")).alias("_own"))
-    ready = Q.drop("_cell").join(bound, "q_id", "left")
+    ready = Q.withColumnRenamed("_cell", "_home").join(bound, "q_id", "left")
     names = [f"q_{f}" for f in feats]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.drop("_own").schema)
+    kept = ["q_id", *names]
+    schema = ", ".join(f"`{c}` {ready.schema[c].dataType.simpleString()}" for c in kept)
+
+    def whole_cells(x, p, n, hi):
+        """A radius that holds k others for sure: whole cells, nearest far side first."""
+        out = np.full(len(x), np.inf)
+        if n.sum() < k + 1:
+            return out
+        for at in _steps(len(x), len(p)):
+            far = (_distances(x[at], p) + hi[None, :]) * (1 + _SLACK)
+            few = min(k + 1, len(p))  # no cell is empty
+            order = np.argpartition(far, few - 1, axis=1)[:, :few]
+            order = np.take_along_axis(order, np.take_along_axis(far, order, 1).argsort(axis=1), 1)
+            enough = (np.cumsum(n[order], axis=1) >= k + 1).argmax(axis=1)
+            out[at] = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
+        return out
 
     def look(batches):
-        p, number, stats = shared.value
-        n, lo, hi = stats.T
+        groups, number, stats = shared.value
+        p, (n, lo, hi) = groups.p, stats.T
         for b in batches:
             x = _matrix(b, names)
-            own = b.column("_own").to_numpy(zero_copy_only=False).astype(np.float64)
-            for at in _steps(len(x), len(p)):
-                d = _distances(x[at], p)
-                # whole cells, nearest far side first, until they hold k others
-                far = (d + hi[None, :]) * (1 + _SLACK)
-                order = np.argsort(far, axis=1)
-                enough = (np.cumsum(n[order], axis=1) >= k + 1).argmax(axis=1)
-                whole = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0]
-                if n.sum() < k + 1:
-                    whole = np.full(len(d), np.inf)
-                r = np.fmin(np.sqrt(own[at]), whole) * (1 + _SLACK)
-                eps = _SLACK * (d + hi[None, :])
-                hit = (d - r[:, None] <= hi[None, :] + eps) & (d + r[:, None] >= lo[None, :] - eps)
+            r = np.sqrt(b.column("_own").to_numpy(zero_copy_only=False).astype(np.float64))
+            open_ = np.flatnonzero(~np.isfinite(r))
+            r[open_] = whole_cells(x[open_], p, n, hi)
+            r *= 1 + _SLACK
+            first = np.searchsorted(number, b.column("_home").to_numpy())
+            home = b.column("_home_d").to_numpy()
+            for rows, m, d in groups.reached(x, r):
+                rr, eps = r[rows, None], _SLACK * (d + hi[None, m])
+                i, j = np.nonzero((d - rr <= hi[None, m] + eps) & (d + rr >= lo[None, m] - eps))
+                q, c, d = rows[i], m[j], d[i, j]
                 # a cell's points are nearer to its pivot than to the point's own: the plane between
-                first = d.argmin(axis=1)
-                gap, home = _distances(p[first], p), d[np.arange(len(d)), first][:, None]
+                gap = _distances_by_row(p[first[q]], p[c])
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(gap > 0, (d - home) * (d + home) / (2 * gap) - _SLACK * (d + home) ** 2 / gap, 0.0)
-                hit &= plane <= r[:, None]
-                i, j = np.nonzero(hit)
-                part = b.slice(at.start, len(d)).take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names if c != "_own"], pa.array(number[j]),
-                                                  pa.array(r[i] ** 2), pa.array(d[i, j])],
-                                                 names=[*[c for c in part.schema.names if c != "_own"], "_cell", "_r2", "_dq"])
+                    plane = np.where(gap > 0, (d - home[q]) * (d + home[q]) / (2 * gap) - _SLACK * (d + home[q]) ** 2 / gap, 0.0)
+                hit = plane <= r[q]
+                part = b.select(kept).take(pa.array(q[hit]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(number[c[hit]]), pa.array(r[q[hit]] ** 2), pa.array(d[hit])],
+                                                 names=[*kept, "_cell", "_r2", "_dq"])
 
     return ready.mapInArrow(look, f"{schema}, _cell long, _r2 double, _dq double"), P
 
