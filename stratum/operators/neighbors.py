@@ -140,10 +140,16 @@ class Grouped:
         self.radius = np.array([far[m].max(initial=0.0) for m in self.members])
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number, distance) of each row's nearest pivot."""
+        """(number, distance) of each row's nearest pivot.  A missing value is no distance: such a
+        pivot takes all rows, such a row goes to the first pivot, both at distance NaN."""
         near, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-        for at in _steps(len(x), len(self.centers)) if len(self.p) else []:
-            self._nearest(x[at], near[at], best[at])
+        holes, lost = np.isnan(x).any(axis=1), np.isnan(self.p).any(axis=1)
+        if lost.any():
+            near[:], best[:] = lost.argmax(), np.nan
+        else:
+            for at in _steps(len(x), len(self.centers)) if len(self.p) else []:
+                self._nearest(x[at], near[at], best[at])
+        near[holes], best[holes] = 0, np.nan
         return near, best
 
     def _nearest(self, x, near, best):

@@ -35,3 +35,13 @@ def test_few_pivots():
         g = N.Grouped(np.arange(n, dtype=float)[:, None])
         near, r = g.nearest(np.array([[0.2], [5.0]]))
         assert len(near) == 2 and (np.isinf(r).all() if n == 0 else near.tolist() == [0, n - 1])
+
+
+def test_missing_values_as_numpy_argmin():
+    p = np.array([[0.0, 1.0], [2.0, 3.0], [5.0, 5.0]])
+    x = np.array([[2.1, 3.0], [np.nan, 5.0]])
+    for pivots in (p, np.vstack([p, [[np.nan, 1.0]]])):
+        near, r = N.Grouped(pivots).nearest(x)
+        d = N._distances(x, pivots)
+        assert near.tolist() == d.argmin(axis=1).tolist()
+        assert np.array_equal(r, d[np.arange(2), near], equal_nan=True)
