@@ -91,6 +91,11 @@ def _scaled(df, cols):
     return E.apply_scale(df, E.fit_scale(df, cols, "minmax"))
 
 
+def _text_numbers(spark, sf):
+    """The documents' text statistics, persisted: fits make many passes, the texts are read in one."""
+    return bd.docs_all(spark, sf).select("row_id", *DOC_NUM).persist()
+
+
 @register("pca_project")
 def q_pca_project(spark, sf):
     """Embeddings → smallest k principal components reaching 95 % of the variance."""
@@ -122,7 +127,7 @@ def q_pca_properties(spark, sf):
 
 @register("ica_components")
 def q_ica_components(spark, sf):
-    d = _scaled(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
+    d = _scaled(_text_numbers(spark, sf), DOC_NUM)
     out, info = E.ica_components(d, DOC_NUM)
     return out.withColumn("converged", F.lit(info["converged"])).withColumn("n_iter", F.lit(info["n_iter"]))
 
@@ -132,7 +137,7 @@ def q_ica_components(spark, sf):
     WHERE n_chars IS NOT NULL AND n_words IS NOT NULL AND digit_share IS NOT NULL AND upper_share IS NOT NULL""")
 def q_ica_properties(spark, sf):
     """Components of the scaled text statistics: converged, of variance one, uncorrelated."""
-    d = _scaled(bd.docs_all(spark, sf).select("row_id", *DOC_NUM), DOC_NUM)
+    d = _scaled(_text_numbers(spark, sf), DOC_NUM)
     out, info = E.ica_components(d, DOC_NUM)
     ics = [c for c in out.columns if c.startswith("IC")]
     var = [F.var_samp(c) for c in ics]
