@@ -28,6 +28,19 @@ def test_cells_give_what_rows_give(spark):
     assert len(got) == 700 and max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
+def test_same_bins_as_the_library_up_to_its_sample(spark):
+    """Many values, one of them frequent: probabilities are those of the library on rows."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.lognormal(size=600), np.where(rng.random(600) < 0.5, 0.0, rng.random(600))])
+    y = (rng.random(600) < np.where(x[:, 0] * (x[:, 1] + 0.3) > 0.5, 0.9, 0.1)).astype(int)
+    d = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))],
+                              "row_id long, a double, b double, label int")
+    got = {r["row_id"]: r["p1"] for r in H.predict(H.fit_pipeline(d, FEATS, H.clf_gbt(max_iter=6, max_depth=4)), d).collect()}
+    plain = GBTClassifier(featuresCol="features", labelCol="label", maxIter=6, maxDepth=4, stepSize=0.1, seed=42)
+    want = {r["row_id"]: r["p1"] for r in H.predict(H.fit_pipeline(d, FEATS, plain), d).collect()}
+    assert len(got) == 600 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
 def test_rounds_read_cells_not_rows(spark, monkeypatch):
     """What the rounds run over does not grow with the rows: 36 cells a class at most."""
     seen = []
