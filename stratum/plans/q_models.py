@@ -21,7 +21,7 @@ from stratum.operators import stats as S
 from stratum.operators.features import fit_scale
 from stratum.operators.kernel import apply_kernel_map, fit_kernel_map
 from stratum.plans.catalog import register
-from stratum.session import scratch_path
+from stratum.session import cut_lineage, scratch_path
 from stratum.sources import bindings as bd
 from stratum.sources.io import model_load, model_store
 
@@ -215,8 +215,10 @@ def q_rank_approaches(spark, sf):
 
 
 def _metrics_row(pred, name):
-    row = merge_one_row(I.accuracy(pred), I.curve_areas(pred, "y", "p1"))
-    return row.select(F.lit(name).alias("dataset"), "accuracy", "roc_auc", "pr_auc")
+    """(dataset, accuracy, roc_auc, pr_auc, tn, fp, fn, tp), fetched."""
+    cells = {(r["actual"], r["predicted"]): r["count"] for r in I.confusion_matrix(pred, labels=[0, 1]).collect()}
+    row = merge_one_row(I.accuracy(pred), I.curve_areas(pred, "y", "p1")).first()
+    return (name, *row, *[cells[c] for c in ((0, 0), (0, 1), (1, 0), (1, 1))])
 
 
 def _balanced(train):
@@ -228,15 +230,15 @@ def _balanced(train):
 
 @register("train_eval_resampled")
 def q_train_eval_resampled(spark, sf):
-    """min-max → forest → accuracy / ROC-AUC / PR-AUC of each resampled training set on the same test rows."""
-    train, test = H.holdout(_docs(spark, sf))
-    out = None
-    for name, rows in _balanced(train).items():
-        if name == "combined":
-            continue
-        r = _metrics_row(H.predict(H.fit_pipeline(rows, DOC_NUM, H.clf_forest()), test).persist(), name)
-        out = r if out is None else out.unionByName(r)
-    return out
+    """min-max → forest → accuracy / ROC-AUC / PR-AUC / confusion matrix of each resampled training set on the
+    same test rows.  Every set and its predictions are cut from what made them: a plan that holds the searches of
+    all sets, sent out with each of a fit's jobs, filled the driver."""
+    train, test = (cut_lineage(t) for t in H.holdout(_docs(spark, sf)))
+    rows = []
+    for name, balanced in _balanced(train).items():
+        pred = cut_lineage(H.predict(H.fit_pipeline(cut_lineage(balanced), DOC_NUM, H.clf_forest()), test))
+        rows.append(_metrics_row(pred, name))
+    return spark.createDataFrame(rows, "dataset string, accuracy double, roc_auc double, pr_auc double, tn long, fp long, fn long, tp long")
 
 
 @register("compare_balancers_ttest")
