@@ -394,10 +394,11 @@ def rank_approaches(results: DataFrame, metric: str = "accuracy", order_col: str
 
 
 def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], repeats: int = 10, k: int = 5, trees: int = 200,
-                          key: str = "row_id", depth: int = 30, bins: int = 32, seed: int = 42) -> DataFrame:
+                          key: str = "row_id", depth: int = 30, bins: int = 32, seed: int = 42, held: int = 32 << 20) -> DataFrame:
     """Accuracy per (method, repeat, fold): each balanced set gets its own hash folds
     (seed = repeat), and a forest is fitted for every fold of every repeat of every
-    set, all grown together."""
+    set.  The forests of a set are grown together, as many as keep what a task holds
+    of the models' counts within ``held`` bytes."""
     from stratum.operators import trees as T
 
     names = list(sets)
@@ -406,21 +407,29 @@ def balancing_fold_scores(sets: dict[str, DataFrame], feats: list[str], repeats:
         one = d.select(key, *feats, F.col("label").cast("int").alias("_y"), F.lit(i).alias("_set"))
         rows = one if rows is None else rows.unionByName(one)
     rows = kfold_repeated(cut_lineage(rows), ["_set", "_y"], k, repeats, key)
-    models = [(m, r, f) for m in names for r in range(repeats) for f in range(k)]
-    rows = rows.withColumn("_flags", F.array(*[F.col("_folds")[r] == f for r in range(repeats) for f in range(k)]))
-
-    def counts(b):  # rows for training and for test, per model
-        test = np.column_stack([b.column(f"_k{i}").to_numpy() for i in range(repeats * k)])[:, None, :]
-        train = b.column("_n").to_numpy()[:, None, None] - test
-        here = b.column("_set").to_numpy()[:, None, None] == np.arange(len(names))[None, :, None]
-        return tuple((here * x).reshape(b.num_rows, -1) for x in (train, test))
-
-    cells = T.cell_rows(T.bin_rows(rows, feats, T.bin_edges(rows, feats, bins), key, ["_y", "_set", "_flags"]), ["_set"], counts)
-    cells = T.laid_out(cells)
-    hits = T.forest_hits(cells, len(feats), [f"{m}|{r}|{f}" for m, r, f in models], trees, depth, bins=bins, seed=seed)
-    cells.unpersist()
-    return next(iter(sets.values())).sparkSession.createDataFrame(
-        [(*m, float(x[1] / x[0])) for m, x in zip(models, hits) if x[0]], "method string, repeat int, fold int, accuracy double")
+    folds = [(r, f) for r in range(repeats) for f in range(k)]
+    rows = rows.withColumn("_flags", F.array(*[F.col("_folds")[r] == f for r, f in folds]))
+    counted = cut_lineage(T.cell_counts(T.bin_rows(rows, feats, T.bin_edges(rows, feats, bins), key, ["_y", "_set", "_flags"]), ["_set"]))
+    sizes = {r["_set"]: r["count"] for r in counted.groupBy("_set").count().collect()}
+
+    def hits(i, some):  # of some folds' forests of one set
+        def counts(b):  # rows for training and for test, per model
+            test = np.column_stack([b.column(f"_k{folds.index(x)}").to_numpy() for x in some])
+            return b.column("_n").to_numpy()[:, None] - test, test
+
+        cells = T.model_rows(counted.where(F.col("_set") == i), ["_set"], counts).persist()
+        laid = T.laid_out(cells)
+        got = T.forest_hits(laid, len(feats), [f"{names[i]}|{r}|{f}" for r, f in some], trees, depth, bins=bins, seed=seed)
+        laid.unpersist()
+        cells.unpersist()
+        return [(names[i], r, f, float(x[1] / x[0])) for (r, f), x in zip(some, got) if x[0]]
+
+    out = []
+    for i in sorted(sizes):
+        # two numbers of 8 bytes per cell and model, which every task holds
+        step = max(1, held // (16 * sizes[i]))
+        out += [x for a in range(0, len(folds), step) for x in hits(i, folds[a:a + step])]
+    return next(iter(sets.values())).sparkSession.createDataFrame(out, "method string, repeat int, fold int, accuracy double")
 
 
 def reference_grids(n_features: int, n_rows: int) -> dict:

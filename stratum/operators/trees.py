@@ -175,10 +175,20 @@ def cell_rows(binned: DataFrame, by: list[str] | None = None, models=None) -> Da
     one row.  ``models(batch)`` gives two 64-bit numbers per model, the rows for training
     and for test, from the columns _n (rows) and ``_k0``, ``_k1`` ...: how many of them
     have the first, second ... flag of the array _flags (default: one model that trains on all)."""
+    return model_rows(cell_counts(binned, by), by, models)
+
+
+def cell_counts(binned: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The cells of ``cell_rows`` with their counts alone: (_h, by, _y, _b, _n, _k0, _k1 ...)."""
     by, flagged = by or [], "_flags" in binned.columns
     n_flags = len(binned.select("_flags").first()[0]) if flagged and not binned.isEmpty() else 0
     t = binned.groupBy(*by, "_b", "_y").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_flags")[i]).alias(f"_k{i}") for i in range(n_flags)])
-    t = t.select(F.xxhash64(*by, "_b", "_y").alias("_h"), *by, "_y", "_b", "_n", *[f"_k{i}" for i in range(n_flags)])
+    return t.select(F.xxhash64(*by, "_b", "_y").alias("_h"), *by, "_y", "_b", "_n", *[f"_k{i}" for i in range(n_flags)])
+
+
+def model_rows(t: DataFrame, by: list[str] | None = None, models=None) -> DataFrame:
+    """Cells with what models take of them: the second half of ``cell_rows``."""
+    by = by or []
     fields = ", ".join(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in ["_h", *by, "_y", "_b"])
 
     def run(batches):

@@ -214,18 +214,15 @@ def q_rank_approaches(spark, sf):
     return H.rank_approaches(t.join(order, "approach").select("approach", "declared", "accuracy"))
 
 
-def _metrics_row(pred, name):
-    """(dataset, accuracy, roc_auc, pr_auc, tn, fp, fn, tp), fetched."""
-    cells = {(r["actual"], r["predicted"]): r["count"] for r in I.confusion_matrix(pred, labels=[0, 1]).collect()}
-    row = merge_one_row(I.accuracy(pred), I.curve_areas(pred, "y", "p1")).first()
-    return (name, *row, *[cells[c] for c in ((0, 0), (0, 1), (1, 0), (1, 1))])
+_SETS = ["original", "undersampled", "smote", "combined"]
 
 
 def _balanced(train):
     """The balanced versions of training rows; test rows are never resampled."""
+    near = G.minority_neighbours(train, DOC_NUM, "label")
     return {"original": train, "undersampled": G.undersample_random(train, "label", 1.0),
-            "smote": G.smote(train, DOC_NUM, "label", 1.0).drop("synthetic"),
-            "combined": G.smote_undersample(train, DOC_NUM, "label").drop("synthetic", "undersample_applied")}
+            "smote": G.smote(train, DOC_NUM, "label", 1.0, near=near).drop("synthetic"),
+            "combined": G.smote_undersample(train, DOC_NUM, "label", near=near).drop("synthetic", "undersample_applied")}
 
 
 @register("train_eval_resampled")
@@ -234,18 +231,24 @@ def q_train_eval_resampled(spark, sf):
     same test rows.  Every set and its predictions are cut from what made them: a plan that holds the searches of
     all sets, sent out with each of a fit's jobs, filled the driver."""
     train, test = (cut_lineage(t) for t in H.holdout(_docs(spark, sf)))
-    rows = []
+    preds = None
     for name, balanced in _balanced(train).items():
-        pred = cut_lineage(H.predict(H.fit_pipeline(cut_lineage(balanced), DOC_NUM, H.clf_forest()), test))
-        rows.append(_metrics_row(pred, name))
-    return spark.createDataFrame(rows, "dataset string, accuracy double, roc_auc double, pr_auc double, tn long, fp long, fn long, tp long")
+        p = cut_lineage(H.predict(H.fit_pipeline(cut_lineage(balanced), DOC_NUM, H.clf_forest()), test).withColumn("dataset", F.lit(name)))
+        preds = p if preds is None else preds.unionByName(p)
+    cells = preds.groupBy("dataset").agg(*[F.count_if((F.col("y") == y) & (F.col("yhat") == yhat)).alias(c)
+                                           for c, y, yhat in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
+    found = [{r["dataset"]: r for r in t.collect()} for t in (I.accuracy(preds, by=["dataset"]), I.curve_areas(preds, "y", "p1", by=["dataset"]), cells)]
+    rows = [(n, *[found[i][n][c] if n in found[i] else None for i, cs in enumerate((["accuracy"], ["roc_auc", "pr_auc"], ["tn", "fp", "fn", "tp"])) for c in cs])
+            for n in found[0]]
+    return spark.createDataFrame(sorted(rows, key=lambda r: _SETS.index(r[0])),
+                                 "dataset string, accuracy double, roc_auc double, pr_auc double, tn long, fp long, fn long, tp long")
 
 
 @register("compare_balancers_ttest")
 def q_compare_balancers_ttest(spark, sf):
     """{original, undersampled, smote, combined} training rows × folds: forest accuracy, paired t against
     the original (ten repeats of five folds, 200 trees: 200 forests grown together)."""
-    train, _ = H.holdout(_docs(spark, sf))
+    train = cut_lineage(H.holdout(_docs(spark, sf))[0])
     scores = H.balancing_fold_scores(_balanced(train), DOC_NUM, repeats=10, k=5, trees=200)
     orig = scores.where("method = 'original'").select("repeat", "fold", F.col("accuracy").alias("original"))
     out = None

@@ -39,3 +39,13 @@ def test_every_balanced_set_is_trained_and_measured(spark, sf, monkeypatch):
         assert r["tn"] + r["fp"] == 12 and r["fn"] + r["tp"] == 36
         assert r["accuracy"] == pytest.approx((r["tn"] + r["tp"]) / 48, abs=1e-6) and r["roc_auc"] > 0.6 and r["pr_auc"] > 0.6
     assert len(plans) == 4 and not any(w in p for p in plans for w in ("Join", "Window", "Union", "InMemoryRelation"))
+
+
+def test_forests_of_a_contest_in_parts(spark):
+    """As many forests at a time as ``held`` allows; the scores are those of all together."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 2)), 1)
+    d = spark.createDataFrame([(i, float(a), float(b), int(a > b)) for i, (a, b) in enumerate(x)], "row_id long, a double, b double, label int").persist()
+    whole, parts = (sorted(H.balancing_fold_scores({"all": d, "half": d.where("row_id % 2 = 0")}, ["a", "b"], repeats=2, k=2, trees=5, bins=8, held=held).collect())
+                    for held in (1 << 25, 16 * 100))
+    assert whole == parts and len(whole) == 8
